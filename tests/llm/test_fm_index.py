@@ -1,0 +1,91 @@
+import hashlib
+import re
+
+import numpy as np
+import pytest
+
+from lexloom.llm import fm_index, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute(docs, items):
+    windows = {}
+    for item, text in items:
+        w = words(text)
+        if item is not None:
+            for i in range(max(1, len(w) - 9)) if w else ():
+                windows.setdefault(tuple(w[i : i + 10]), set()).add(item)
+    lengths = {len(x) for x in windows}
+    out = []
+    for k, text in docs:
+        w = words(text)
+        hit, found = set(), set()
+        for n in lengths:
+            for i in range(len(w) - n + 1):
+                if own := windows.get(tuple(w[i : i + n])):
+                    hit.update(range(i, i + n))
+                    found |= own
+        digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+        out.append((k, len(w), len(hit), len(found), digest, bool(hit)))
+    return sorted(out, key=str)
+
+
+def test_query_equals_brute_force(spark):
+    for sf in (SF, "/root/testdata/sf0.01"):
+        docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+        items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+        assert sorted((tuple(r) for r in queries.op8_decontaminate(spark, sf).collect()), key=str) == brute(docs, items)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rng = np.random.default_rng(5)
+    some = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 30, n))
+    items = [(1, some(14)), (1, some(12)), (2, "ONE two"), (3, "é9"), (4, None), (5, " .,"), (None, "w1"), (6, "ONE, two"), (-7, some(10))]
+    docs = [(i, some(int(n))) for i, n in enumerate(rng.integers(0, 300, 60))]
+    docs += [(i, f"{some(5)}; {items[i % 2][1]}. One-TWO {some(3)} É9") for i in range(60, 90)]
+    docs += [(60, docs[60][1]), (None, "one two"), (90, None), (91, ""), (92, "one " + items[0][1] + " two"), (93, some(40000) + " é9 é9"), (94, items[1][1])]
+    return docs, items
+
+
+@pytest.mark.parametrize("block_bytes, shard_bytes", [(10**7, 10**7), (40, 1000)])
+def test_odd_rows_in_blocks_and_shards(spark, odd, block_bytes, shard_bytes):
+    docs, items = odd
+    d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, items int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = queries.contamination_digest(fm_index.contamination(d, b, block_bytes=block_bytes, shard_bytes=shard_bytes))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs, items)
+    assert fm_index.contamination(d.limit(0), b).collect() == []
+    assert not any(r["contaminated"] for r in fm_index.contamination(d, b.limit(0)).collect())
+
+
+def test_removal_leaves_no_window_and_clean_texts_as_they_are(spark, odd):
+    docs, items = odd
+    d = spark.createDataFrame([(k, t, len(t or "")) for k, t in docs], "doc_id long, text string, n_chars long")
+    got = fm_index.remove_spans(d, spark.createDataFrame(items, "item_id long, text string"))
+    rows = got.collect()
+    assert got.columns == d.columns and not any(r[5] for r in brute([(r["doc_id"], r["text"]) for r in rows], items))
+    dirty = {r[0] for r in brute(docs, items) if r[5]}
+    before = {(k, t) for k, t in docs if k not in dirty}
+    after = {(r["doc_id"], r["text"]) for r in rows}
+    # of 94 all goes; of 92 a cut brings together "one two", which goes too
+    assert before <= after and {k for k, _ in after} == {k for k, _ in docs} - {None, 92, 94}
+    assert all(r["n_chars"] == len(r["text"] or "") for r in rows) and 94 not in {k for k, _ in after}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_index_counts_and_locates(seed):
+    rng = np.random.default_rng(seed)
+    text = rng.integers(0, 4, rng.integers(1, 400))
+    index = fm_index.FMIndex(text, 5)
+    phrases = rng.integers(1, 6, (50, 4))
+    lengths = rng.integers(1, 5, 50)
+    low, high = index.search(phrases, lengths)
+    for p, n, a, b in zip(phrases, lengths, low, high, strict=True):
+        places = [i for i in range(len(text) - n + 1) if (text[i : i + n] == p[:n]).all()]
+        assert sorted(index.locate(np.arange(a, b)).tolist()) == places
