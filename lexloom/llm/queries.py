@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chatfsm, fm_index, html_text, line_windows, quality, simhash, url_lm, warc
+from lexloom.llm import chatfsm, fm_index, html_text, line_windows, quality, secret_cnn, simhash, url_lm, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_cnn.find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def contamination_digest(found: DataFrame) -> DataFrame:
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_warc": op5_warc,
         "op6_html_text": op6_html_text,
+        "op7_secret_scan": op7_secret_scan,
         "op8_decontaminate": op8_decontaminate,
         "op9_line_dedup": op9_line_dedup,
         "op10_chat_format": op10_chat_format,
