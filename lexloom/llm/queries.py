@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lexloom.llm import chatfsm, fm_index, html_text, line_windows, quality, secret_cnn, simhash, spm_sample, url_lm, warc
 
 
@@ -73,6 +74,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatfsm.digests(turns.unionByName(probe)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py; the rows without the piece ids, which ids_sha256 stands for."""
+    return corpus_pipeline.run(spark, sf_dir).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -85,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_line_dedup": op9_line_dedup,
         "op10_chat_format": op10_chat_format,
+        "pipeline": pipeline,
     }
 
 

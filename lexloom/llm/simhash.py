@@ -11,9 +11,9 @@ Equal fingerprints are one point from the start. Of the pairs found in a cell on
 leaves the task. A cell of more than BLOCK fingerprints is cut into blocks, and every two blocks meet
 in a task of their own, so no cell is gathered whole and none is capped.
 
-Wide fingerprints (several words of 64 bits) serve lower similarities, where a radius is too large for
-popcount cells to tell anything: there the cells are the bits of single segments, and the bit counts
-of the words give the lower bound.
+Wide fingerprints (16 words of 64 bits) serve lower similarities, where a radius is too large for popcount
+cells to tell anything: there the cells are the bits of single segments, the bit counts of the words give
+the lower bound, and components of what is left are checked on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -172,45 +172,33 @@ def linked(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> t
             root = _merged(root, local[i], local[i + d])
 
 
-def links(points: DataFrame, words: int, radius: int, cells) -> DataFrame:
-    """Edges (a, b) that span the links among points (node, fp0, ...), one row for each node.
-
-    cells: gives the cell keys of an array of fingerprints.
+def _meeting(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """rows (group, node, ...) of groups of two and more, once for each pair of blocks that theirs is in;
+    cell tells the pair. Rows of a cell number about twice block at most.
     """
-    names = [f"fp{w}" for w in range(words)]
-
-    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                fp = np.ascontiguousarray(np.stack([part.column(1 + w).to_numpy() for w in range(words)], axis=1)).view(np.uint64)
-                keys = cells(fp)
-                rows = np.repeat(np.arange(len(fp)), keys.shape[1])
-                cols = [pa.array(keys.ravel()), part.column(0).take(pa.array(rows)), *(part.column(1 + w).take(pa.array(rows)) for w in range(words))]
-                yield pa.RecordBatch.from_arrays(cols, names=["cell", "node", *names])
-
-    cols = ", ".join(f"{n} bigint" for n in names)
-    rows = points.select("node", *names).mapInArrow(filed, f"cell bigint, node bigint, {cols}")
-    shared = rows.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rest = [c for c in rows.columns if c != group]
+    shared = rows.groupBy(group).agg(F.count("*").alias("__n")).filter("__n > 1")
+    blocks = F.ceil(F.col("__n") / block).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
-    split = (
-        rows.join(shared, "cell")
-        .withColumns({"blocks": blocks, "own": own})
-        .select("cell", "node", *names, F.explode(meets).alias("m"))
-        .select(F.xxhash64("cell", "m.i", "m.j").alias("cell"), "node", *names)
+    meets = F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda j: F.struct(F.least(F.col("__own"), j).alias("i"), F.greatest(F.col("__own"), j).alias("j")))
+    return (
+        rows.join(shared, group)
+        .withColumns({"__blocks": blocks, "__own": own})
+        .select(group, *rest, F.explode(meets).alias("__m"))
+        .select(F.xxhash64(group, "__m.i", "__m.j").alias("cell"), *rest)
     )
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cells arrive sorted; the last of a batch waits for the next. A cell has few times BLOCK rows."""
+
+def _by_cell(rows: DataFrame, judge) -> DataFrame:
+    """Edges (a, b) that judge finds in whole cells of rows: it gets a table of whole cells, sorted by cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The last cell of a batch waits for the next batch."""
         held: list[pa.RecordBatch] = []
 
         def out(table: pa.Table) -> pa.RecordBatch:
-            fp = np.ascontiguousarray(np.stack([table.column(n).to_numpy() for n in names], axis=1)).view(np.uint64)
-            node, root = linked(table.column("cell").to_numpy(), table.column("node").to_numpy(), fp, radius)
-            far = node != root
-            return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(root[far])], names=["a", "b"])
+            a, b = judge(table)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -225,15 +213,45 @@ def links(points: DataFrame, words: int, radius: int, cells) -> DataFrame:
         if held:
             yield out(pa.Table.from_batches(held))
 
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return split.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(join, "a bigint, b bigint")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint")
+
+
+def _prints(table, names: list[str]) -> np.ndarray:
+    return np.ascontiguousarray(np.stack([table.column(n).to_numpy() for n in names], axis=1)).view(np.uint64)
 
 
-def _classes(marked: DataFrame, key: str, words: int, radius: int, cells) -> DataFrame:
-    """(node, component_id): the least key of every document that links reach. marked: (key, node, fp0, ...), checkpointed."""
+def links(points: DataFrame, words: int, radius: int, cells, carried: int | None = None) -> DataFrame:
+    """Edges (a, b) that span the links among points (node, fp0, ...), one row for each node.
+
+    cells: gives the cell keys of an array of fingerprints of so many words. carried: how many of the
+    words go along and are compared; radius is meant for those.
+    """
     names = [f"fp{w}" for w in range(words)]
-    points = checkpointed(marked.groupBy("node").agg(F.min(f"`{key}`").alias("low"), *(F.first(n).alias(n) for n in names)))
-    roots = checkpointed(components(checkpointed(links(points, words, radius, cells))))
+    own = names[: carried or words]
+
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                keys = cells(_prints(part, names))
+                rows = pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))
+                cols = [pa.array(keys.ravel()), part.column(0).take(rows), *(part.column(n).take(rows) for n in own)]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "node", *own])
+
+    rows = points.select("node", *names).mapInArrow(filed, "key bigint, node bigint, " + ", ".join(f"{n} bigint" for n in own))
+
+    def judge(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, root = linked(table.column("cell").to_numpy(), table.column("node").to_numpy(), _prints(table, own), radius)
+        far = node != root
+        return node[far], root[far]
+
+    return _by_cell(_meeting(rows, "key", BLOCK), judge)
+
+
+def _classes(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component_id): the least key, low, of all that edges reach."""
+    roots = checkpointed(components(edges))
     rooted = checkpointed(points.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")))
     least = checkpointed(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
     return checkpointed(rooted.join(least, "root").select("node", "component_id"))
@@ -248,37 +266,84 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     An empty table gives an empty result; other columns are not looked at.
     """
     marked = checkpointed(fingerprint_column(docs, key, text, size).select(f"`{key}`", F.col("fp0").alias("node"), "fp0"))
-    classes = _classes(marked, key, 1, radius, lambda fp: grid_cells(fp[:, 0].copy(), radius))
+    points = checkpointed(marked.groupBy("node").agg(F.min(f"`{key}`").alias("low"), F.first("fp0").alias("fp0")))
+    classes = _classes(points, links(points, 1, radius, lambda fp: grid_cells(fp[:, 0].copy(), radius)))
     joined = marked.join(classes, "node")
     return joined.select(f"`{key}`", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For five-word shingles: words of 64 bits, and the share of differing bits at Jaccard similarity 0.8.
-WIDE_WORDS, SIMILARITY = 8, 0.8
+#: Wide fingerprints: words of 64 bits, of which so many are compared within cells; documents of a block in the exact check.
+WIDE_WORDS, CARRIED, SIMILARITY, TEXT_BLOCK = 16, 4, 0.8, 256
+
 
+def wide_radius(similarity: float, words: int, deviations: float = 3.3) -> int:
+    """Differing bits that shingle sets of this Jaccard similarity or more do not exceed, but for one in two thousand."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = 64 * words
+    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
-def wide_radius(similarity: float, words: int) -> int:
-    """Differing bits to expect of two shingle sets with this Jaccard similarity."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(round(64 * words * np.arccos(cosine) / np.pi))
 
+def alike(texts: list[str | None], node: np.ndarray, fp: np.ndarray, radius: int, size: int, similarity: float) -> tuple[list[int], list[int]]:
+    """Pairs of nodes that span the links between texts whose shingle sets have that Jaccard similarity."""
+    import xxhash
+
+    sets = [np.unique(shingle_hashes(t, size, xxhash.xxh64_intdigest)) for t in texts]
+    n = np.array([len(x) for x in sets])
+    root = np.arange(len(texts))
+    a, b = [], []
+    for i in range(len(texts) - 1):
+        near = np.flatnonzero(_ones(fp[i + 1 :] ^ fp[i]) <= radius) + i + 1
+        near = near[np.minimum(n[near], n[i]) >= similarity * np.maximum(n[near], n[i])]
+        for j in near.tolist():
+            if root[i] == root[j] or node[i] == node[j]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= similarity * (n[i] + n[j] - both):
+                a.append(int(node[i]))
+                b.append(int(node[j]))
+                root[root == root[j]] = root[i]
+    return a, b
 
-def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = SIMILARITY, words: int = WIDE_WORDS) -> DataFrame:
-    """(key, component_id) with links between documents whose wide fingerprints are as alike as shingle
-    sets of that Jaccard similarity are. Nulls, ties and repeats as in near_duplicates(), except that
+
+def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, component_id) with links between documents whose sets of shingles have that Jaccard similarity.
+
+    Candidates are found by wide fingerprints: pairs that share a segment's bits and whose carried words
+    are as near as the similarity makes them. Their components are then checked exactly, on the sets
+    themselves, in blocks that meet pair by pair. A pair at the very similarity shares a segment with
+    probability 0.993, a closer one with more. Nulls, ties and repeats as in near_duplicates(), except that
     documents with no word, about which shingles say nothing, are left out.
     """
-    radius = wide_radius(similarity, words)
-    names = [f"fp{w}" for w in range(words)]
-    found = fingerprint_column(docs, key, text, size, words)
+    names = [f"fp{w}" for w in range(WIDE_WORDS)]
+    radius = wide_radius(similarity, CARRIED)
+    held = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    tagged = held.select(F.struct("key", F.xxhash64("text").alias("h")).alias("key"), "text")
+    found = fingerprint_column(tagged, "key", "text", size, WIDE_WORDS)
     worded = found.filter(F.greatest(*(F.col(n) != 0 for n in names)))
-    marked = checkpointed(worded.select(f"`{key}`", F.xxhash64(*names).alias("node"), *names))
-    classes = _classes(marked, key, words, radius, band_cells)
-    return marked.select(f"`{key}`", "node").join(classes, "node").select(f"`{key}`", "component_id")
+    marked = checkpointed(worded.select("key", F.xxhash64(*names).alias("node"), *names))
+    points = checkpointed(marked.groupBy("node").agg(F.min("key").alias("low"), *(F.first(n).alias(n) for n in names)))
+    loose = checkpointed(components(links(points, WIDE_WORDS, radius, band_cells, CARRIED)))
+    asked = checkpointed(points.join(loose, "node").select("low", "node", "root", *names[:CARRIED]))
+    texts = held.withColumn("h", F.xxhash64("text")).join(asked.select(F.col("low.key").alias("key"), F.col("low.h").alias("h"), "node", "root", *names[:CARRIED]), ["key", "h"])
+
+    def judge(table: pa.Table) -> tuple[list[int], list[int]]:
+        cell, node, fp = table.column("cell").to_numpy(), table.column("node").to_numpy(), _prints(table, names[:CARRIED])
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
+        a, b = [], []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if hi - lo > 1:
+                x, y = alike(table.column("text").slice(lo, hi - lo).to_pylist(), node[lo:hi], fp[lo:hi], radius, size, similarity)
+                a += x
+                b += y
+        return a, b
+
+    edges = _by_cell(_meeting(texts.select("root", "node", *names[:CARRIED], "text"), "root", TEXT_BLOCK), judge)
+    classes = _classes(points.select("node", F.col("low.key").alias("low")), edges)
+    return marked.select(F.col("key.key").alias(key), "node").join(classes, "node").select(f"`{key}`", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without those that another document of a smaller key stands for; its own columns.
+    """docs without those that another document of a smaller key stands for, by similar_classes(); its own columns.
 
     Rows that repeat a key whole stay or go together; rows with a null key or no word stay.
     """

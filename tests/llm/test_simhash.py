@@ -110,3 +110,31 @@ def test_keep_one_drops_near_copies_and_keeps_others(spark):
     assert got.columns == docs.columns
     kept = {r["doc_id"] for r in got.collect()}
     assert kept == {10 * i + j for i in range(40) for j in (0, 3)} | {5000, 5001, 5002, None}
+
+
+def test_similar_classes_equal_brute_force(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = {}
+    for k, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        if w:
+            sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    expected = brute_components(list(sets.items()), lambda a, b: 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links = sum(expected[k] != k for k in expected)
+    wrong = [k for k in expected if expected[k] != got[k]]
+    assert set(got) == set(expected) and links > 40 and len(wrong) <= 0.01 * links, wrong
+
+
+def test_near_copies_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TEXT_BLOCK", 5)
+    monkeypatch.setattr(simhash, "BLOCK", 9)
+    rng = np.random.default_rng(8)
+    text = words(rng, 300)
+    rows = []
+    for i in range(60):
+        edited = text.copy()
+        edited[int(rng.integers(0, 300))] = f"x{i}"
+        rows.append((i, " ".join(edited)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys(range(60), 0)
