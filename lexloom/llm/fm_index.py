@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -283,7 +284,7 @@ def _pass(docs: DataFrame, text: str, windows: Windows, cutting: bool, shard_byt
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            n = np.array([x or 0 for x in pa.compute.binary_length(batch.column(at)).to_pylist()], np.int64)
+            n = np.array([x or 0 for x in pc.binary_length(batch.column(at)).to_pylist()], np.int64)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff((size + np.cumsum(n)) // shard_bytes)) + 1, [len(n)]]) if len(n) else []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 held.append(batch.slice(int(a), int(b - a)))
