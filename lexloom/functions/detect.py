@@ -39,6 +39,7 @@ def consecutive(text: Column) -> Column:
     return T.let(found, lambda n: (F.size(n) > 1) & F.coalesce(F.forall(F.transform(n, lambda x, i: x == n[0] + i), lambda ok: ok), F.lit(False)))
 
 
+@T.bound2
 def book_score(text: Column, n_pages: Column) -> Column:
     length = F.when(n_pages >= 100, 0.3).when(n_pages >= 50, 0.2).when(n_pages >= 30, 0.1).otherwise(0.0)
     hits = sum((T.count_of(text, p) for p in BOOK_PATTERNS), F.lit(0))
@@ -46,6 +47,7 @@ def book_score(text: Column, n_pages: Column) -> Column:
     return F.least(length + chapters + _points(consecutive(text), 0.2) + _points(T.has(text, CONTENTS), 0.1), F.lit(1.0))
 
 
+@T.bound
 def paper_score(text: Column) -> Column:
     sections = sum((T.has(text, SECTION.replace("{name}", f"(?:{s})")).cast("int") for s in PAPER_SECTIONS), F.lit(0))
     score = sections / F.lit(8.0) * F.lit(0.5)
@@ -61,6 +63,7 @@ def kind_of(book: Column, paper: Column) -> Column:
     return F.when((book > F.lit(0.6)) & (book > paper), "book").when(paper > F.lit(0.5), "paper").otherwise("general")
 
 
+@T.bound
 def detection(text: Column, digits: int | None = 2) -> Column:
     """struct(type, confidence, metadata(pages, words, has_chapters, has_abstract)); digits None leaves numbers as they are."""
     rounded = lambda x, n: F.bround(x, n) if digits is not None else x

@@ -32,6 +32,7 @@ def _sentences(normal: Column, over: int) -> Column:
     return F.filter(F.transform(F.split(normal, "[.!?]+"), T.strip), lambda x: F.length(x) > over)
 
 
+@T.bound
 def flesch(text: Column) -> Column:
     """Reading ease, between 0 and 100; 50 where there is too little text."""
 
@@ -54,12 +55,14 @@ def content_words(text: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda x: (F.length(x) >= 3) & ~x.isin(COMMON)))
 
 
+@T.bound2
 def coverage(original: Column, summary: Column) -> Column:
     """Share of the original's content words that the summary has, times 1.3, at most 1."""
     share = T.let(content_words(original), lambda o: F.when(F.size(o) == 0, 0.5).otherwise(T.capped(F.size(F.array_intersect(o, content_words(summary))) / F.size(o) * F.lit(1.3))))
     return F.when(F.coalesce((original == "") | (summary == ""), F.lit(True)), 0.0).otherwise(share)
 
 
+@T.bound
 def redundancy(summary: Column) -> Column:
     """Share of sentences that repeat an earlier one; 0 under fifty words or two sentences."""
     found = F.transform(_sentences(N.bullets(summary), 15), F.lower)
@@ -67,6 +70,7 @@ def redundancy(summary: Column) -> Column:
     return F.when(F.coalesce(T.count_tokens(summary) < 50, F.lit(True)), 0.0).otherwise(share)
 
 
+@T.bound
 def density(summary: Column) -> Column:
     terms = F.size(F.array_distinct(F.regexp_extract_all(T.plain_words(F.lower(summary)), F.lit(TERM), F.lit(0))))
     n = T.count_tokens(summary)
@@ -99,6 +103,7 @@ def overall(cosine: Column, cover: Column, ratio: Column, dense: Column, redunda
     return T.capped(parts)
 
 
+@T.bound2
 def evaluate(original: Column, summary: Column, cosine: Column | None = None, rounded: bool = False) -> Column:
     """All scores as one struct. Of an empty pair: zeros and a reading ease of 50, the rest null."""
     cosine = F.lit(0.5) if cosine is None else cosine

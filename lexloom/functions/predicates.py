@@ -15,6 +15,7 @@ BOILERPLATE_YEAR = r"\b(19|20)[0-9]{2}\b"
 BOILERPLATE_RIGHTS = r"(?i)©{s}*{d}{4}|\(c\){s}*{d}{4}"
 
 
+@T.bound
 def text_valid(c: Column, min_chars: int = 100) -> Column:
     """Long enough, words of 20 characters or fewer on average, and a twentieth of plain vowels."""
     n = T.count_tokens(c)
@@ -25,9 +26,11 @@ def text_valid(c: Column, min_chars: int = 100) -> Column:
 
 
 def valid_chunk(c: Column) -> Column:
-    t = T.strip(c)
-    alnum = F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
-    return F.coalesce((F.length(t) >= 50) & (T.count_tokens(t) >= 10) & (alnum / F.length(t) >= F.lit(0.3)), F.lit(False))
+    def judged(t: Column) -> Column:
+        alnum = F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
+        return F.coalesce((F.length(t) >= 50) & (T.count_tokens(t) >= 10) & (alnum / F.length(t) >= F.lit(0.3)), F.lit(False))
+
+    return T.let(T.strip(c), judged)
 
 
 def long_enough(c: Column, least: int = 100) -> Column:
@@ -52,6 +55,7 @@ def data_row(line: Column) -> Column:
     return T.let(T.tokens(line), lambda w: (F.size(w) >= 4) & (2 * F.size(F.filter(w, data_token)) > F.size(w)))
 
 
+@T.bound
 def boilerplate(line: Column) -> Column:
     canon = N.canonical(line)
 
@@ -72,8 +76,7 @@ def boilerplate(line: Column) -> Column:
 
 def symbol_line_ok(line: Column) -> Column:
     """Blank, or two fifths or more of plain letters and digits."""
-    s = T.strip(line)
-    return (s == "") | (F.length(F.regexp_replace(s, "[^a-zA-Z0-9]", "")) / F.length(s) >= F.lit(0.4))
+    return T.let(T.strip(line), lambda s: (s == "") | (F.length(F.regexp_replace(s, "[^a-zA-Z0-9]", "")) / F.length(s) >= F.lit(0.4)))
 
 
 def page_number(line: Column) -> Column:

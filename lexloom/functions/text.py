@@ -5,6 +5,8 @@ The character classes are spelled out, so that the JVM's regular expressions and
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,32 @@ def count_tokens(c: Column) -> Column:
     return F.size(tokens(c))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once per row, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def bound(function):
+    """A function of a column that names it more than once, made to compute it once."""
+
+    @functools.wraps(function)
+    def run(c: Column, *args, **options) -> Column:
+        return let(c, lambda x: function(x, *args, **options))
+
+    return run
+
+
+def bound2(function):
+    """The same for a function of two columns."""
+
+    @functools.wraps(function)
+    def run(a: Column, b: Column, *args, **options) -> Column:
+        return let(F.struct(a.alias("a"), b.alias("b")), lambda x: function(x["a"], x["b"], *args, **options))
+
+    return run
+
+
+@bound
 def lines(c: Column) -> Column:
     """Split at every kind of line break; a break at the end opens no line."""
     all_ = F.split(replace(c, rf"(?:{BREAK})\z", ""), BREAK)
@@ -76,11 +104,6 @@ def has(c: Column, pattern: str) -> Column:
     return c.rlike(rx(pattern))
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
 

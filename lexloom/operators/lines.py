@@ -10,6 +10,7 @@ from lexloom.functions import predicates as P
 from lexloom.functions import text as T
 
 
+@T.bound
 def remove_repeated_lines(text: Column, threshold: float = 0.5, max_removed: float = 0.2) -> Column:
     """Text without boilerplate lines that make up a share of threshold or more of the filled lines.
 

@@ -22,6 +22,7 @@ def _unix(pattern: str) -> str:
     return T.rx(pattern).replace("(?im)", "(?imd)")
 
 
+@T.bound
 def sections(text: Column) -> Column:
     """array<struct<name, text>> by headers alone on their line; a repeated name keeps its first place and last text.
 
@@ -51,6 +52,7 @@ def summarised_sections(found: Column) -> Column:
     return F.filter(found, lambda s: F.lower(s["name"]) != "references")
 
 
+@T.bound
 def chapters(text: Column) -> Column:
     """array<struct<number, title, text>> by headings; without one the whole text is one chapter."""
     pattern = _unix(CHAPTER)
@@ -103,11 +105,13 @@ def book_title(text: Column) -> Column:
     return F.coalesce(_first(F.slice(F.split(text, "\n"), 1, 20), fits), F.lit(NO_TITLE))
 
 
+@T.bound
 def paper_authors(text: Column) -> Column:
     """Up to three distinct names, in the patterns' order."""
     return F.slice(F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(T.rx(p)), F.lit(1)) for p in PAPER_AUTHORS))), 1, 3)
 
 
+@T.bound
 def book_author(text: Column) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(text, T.rx(p), 1), F.lit("")) for p in BOOK_AUTHORS), F.lit(NO_AUTHOR))
 

@@ -12,6 +12,7 @@ from lexloom.functions import normalize as N
 from lexloom.functions import predicates as P
 from lexloom.functions import text as T
 from lexloom.operators import chunking, lines, models, structure, vectors
+from lexloom.session import checkpointed
 
 PARALLEL_OVER, SEQUENTIAL_CAP = 4, 8000
 EVENTS = ("doc_detected", "summary_start", "chunk_summary", "final", "error")
@@ -73,8 +74,9 @@ def run_pipeline(docs: DataFrame, doc: str = "doc_id", text: str = "text", backe
 
     In order: doc_detected, summary_start, a chunk_summary for each chunk with a summary, final; or one
     error for a document that is too short. A document without a valid chunk still gets its final event.
+    The cleaned text is written to the shared folder once, as several branches of the plan read it.
     """
-    ready = gated(docs.select(doc, F.coalesce(F.col(text), F.lit("")).alias("text")))
+    ready = checkpointed(gated(docs.select(doc, F.coalesce(F.col(text), F.lit("")).alias("text"))).select(doc, "clean", "passes"))
     passed = ready.filter("passes").select(doc, "clean")
     done = passed.join(summarised(passed, doc, backend), doc, "left").select(
         doc,
@@ -129,7 +131,7 @@ def adaptive_summarise(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     Detection reads the raw text. Books go by chapter, papers by section, all else by chunk.
     """
     held = docs.select(doc, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    seen = held.withColumn("d", detect.detection(F.col("text"))).withColumn("route", adaptive_route(F.col("d")))
+    seen = checkpointed(held.withColumn("d", detect.detection(F.col("text"))).withColumn("route", adaptive_route(F.col("d"))))
     shared = [F.col(doc), F.col("route").alias("doc_type"), F.col("d.confidence").alias("confidence")]
     first = lambda a: F.transform(a, lambda s: s["text"])
 
@@ -168,7 +170,7 @@ def adaptive_summarise(docs: DataFrame, doc: str = "doc_id", text: str = "text",
         F.col("d.metadata").alias("metadata"),
     )
     general = seen.filter("route = 'general'")
-    plain = lines.clean_documents(general.select(doc, "text"))
+    plain = checkpointed(lines.clean_documents(general.select(doc, "text")).select(doc, "clean"))
     found = chunking.with_fallback(plain, chunking.chunk_documents(plain, doc, "clean"), doc, "clean")
     ordered = F.array_sort(F.collect_list(F.struct("chunk_id", "text")))
     by_doc = found.groupBy(doc).agg(F.transform(ordered, lambda c: c["text"]).alias("texts"))
