@@ -19,13 +19,13 @@ TERM = r"[a-zA-Z]{4,}"
 
 
 def syllables(word: Column) -> Column:
-    """Groups of vowels, less a final e, at least one; one for three letters or fewer."""
+    """Groups of vowels of a word of plain letters and hyphens, less a final e, at least one; one for three letters or fewer."""
 
     def counted(w: Column) -> Column:
         groups = F.regexp_count(w, F.lit("[aeiouy]+"))
         return F.when(F.length(w) <= 3, 1).otherwise(F.greatest(groups - F.when(w.endswith("e") & (groups > 1), 1).otherwise(0), F.lit(1)))
 
-    return T.let(T.replace(F.lower(word), "{W}", ""), counted)
+    return T.let(F.replace(F.lower(word), F.lit("-"), F.lit("")), counted)
 
 
 def _sentences(normal: Column, over: int) -> Column:

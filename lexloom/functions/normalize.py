@@ -69,8 +69,12 @@ def canonical(c: Column) -> Column:
     return T.chain(F.lower(c), CANONICAL)
 
 
+@T.bound
 def ligatures(c: Column) -> Column:
-    return T.chain(c, [(rf"(?iu)(?U)\b{found}\b", whole) for found, whole in LIGATURES])
+    """The fixes in order, for texts in which one of them can find anything."""
+    heads, tails = (sorted({x.split(" ")[i] for x, _ in LIGATURES}) for i in (0, 1))
+    some = T.has(c, rf"(?iu)(?:{'|'.join(heads)}) (?:{'|'.join(tails)})")
+    return F.when(some, T.chain(c, [(rf"(?iu)(?U)\b{found}\b", whole) for found, whole in LIGATURES])).otherwise(c)
 
 
 def glyphs(c: Column) -> Column:

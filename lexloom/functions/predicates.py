@@ -41,13 +41,12 @@ def summary_ok(c: Column, over: int = 20) -> Column:
     return F.coalesce(F.length(T.strip(c)) > over, F.lit(False))
 
 
+#: Digits; up to five capitals; two to eight capitals, digits and hyphens with a digit; four or more without a plain vowel.
+DATA_TOKEN = r"^(?:{d}+|[A-Z]{1,5}|(?=[A-Z0-9-]*[0-9])[A-Z0-9-]{2,8}|[^aeiouAEIOU]{4,})\z"
+
+
 def data_token(t: Column) -> Column:
-    return (
-        T.has(t, "^{d}+$")
-        | T.has(t, "^[A-Z]{1,5}$")
-        | (T.has(t, r"^[A-Z0-9\-]{2,8}$") & T.has(t, "{d}"))
-        | ((F.length(t) >= 4) & ~T.has(t, "[aeiouAEIOU]"))
-    )
+    return T.has(t, DATA_TOKEN)
 
 
 def data_row(line: Column) -> Column:

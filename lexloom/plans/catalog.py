@@ -13,14 +13,14 @@ from lexloom.functions import predicates as P
 from lexloom.functions import text as T
 from lexloom.operators import chunking, lines, models, structure, vectors
 from lexloom.plans import oracle, pipeline
-from lexloom.session import table
+from lexloom.session import spread, table
 from lexloom.sources import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def of_text(**cols: Callable[[Column], Column]) -> Query:

@@ -1,0 +1,83 @@
+import glob
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexloom.operators import models
+from lexloom.plans import pipeline
+from lexloom.streaming import events
+
+GOOD = " ".join(f"This is sentence number {w} of the text that we have here." for w in "one two three four five six seven".split())
+LONG = " ".join(f"Part{i} " + "word " * 160 + "end." for i in range(6))
+ROWS = [(1, GOOD), (2, "short"), (3, None), (4, LONG), (5, "ab cd. " * 40), (6, "#$%" * 100)]
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    rows = pipeline.run_pipeline(docs).orderBy("doc_id", "seq").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["doc_id"], []).append(r)
+    return by
+
+
+def test_order_of_events(made):
+    assert [r["type"] for r in made[1]] == ["doc_detected", "summary_start", "chunk_summary", "final"]
+    for k in (2, 3, 6):
+        assert [r["type"] for r in made[k]] == ["error"]
+    assert all([r["seq"] for r in rs] == list(range(len(rs))) for rs in made.values())
+    assert set(made) == {k for k, _ in ROWS}
+
+
+def test_many_chunks_come_in_order(made):
+    told = [r for r in made[4] if r["type"] == "chunk_summary"]
+    assert [r["chunk_id"] for r in told] == list(range(6)) and all(f"Part{i}" in r["summary"] for i, r in enumerate(told))
+    assert made[4][1]["total_chunks"] == 6
+
+
+def test_final_event_has_scores(made):
+    last = made[1][-1]
+    assert 0 < last["metrics"]["overall_score"] <= 1 and last["metrics"]["original_words"] == len(GOOD.split()) and last["summary"]
+    assert made[1][0]["detection"]["type"] == "general"
+
+
+def test_no_valid_chunk_still_ends_well(made):
+    assert [r["type"] for r in made[5]][0] == "doc_detected" and made[5][-1]["type"] == "final"
+
+
+def test_adaptive_strategies(spark):
+    book = "A BOOK OF CHAPTERS\nBy: Ann Lee\nContents\n" + "\n".join(f"Chapter {i}: Name {i}\n{GOOD}" for i in range(1, 8))
+    paper = "A Paper With a Long Title\nBob Ray, 1\n" + "\n".join(f"{s}\n{GOOD}" for s in ("Abstract", "Introduction", "Methodology", "Results", "Discussion", "Conclusion", "References"))
+    got = {r["doc_id"]: r for r in pipeline.adaptive_summarise(spark.createDataFrame([(1, book), (2, paper), (3, GOOD), (4, None)], "doc_id long, text string")).collect()}
+    assert [got[i]["doc_type"] for i in (1, 2, 3, 4)] == ["book", "paper", "general", "general"]
+    assert got[1]["title"] == "A BOOK OF CHAPTERS" and got[1]["names"] == ["Ann Lee"] and got[1]["parts"] == 5
+    assert "**Chapters:** 7 total, 5 summarized" in got[1]["summary"] and "### Chapter 1: Name 1" in got[1]["summary"]
+    assert got[2]["names"] == ["Bob Ray"] and "References" not in got[2]["summary"].split("\n\n")[1] and got[2]["parts"] == 6
+    assert "sentence number one" in got[3]["summary"] and got[4]["summary"] == ""
+
+
+def test_near_summaries_are_dropped(spark):
+    rows = spark.createDataFrame([(["a b c d", "a b c d e", "x y z", None],)], "t array<string>")
+    assert rows.select(pipeline.dedup_texts(F.col("t"))).first()[0] == ["a b c d", "x y z"]
+
+
+def test_stream_gives_the_events_of_the_table(spark, tmp_path, made):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = events.read_stream(spark, str(tmp_path / "in"), docs.schema, files_per_trigger=2)
+    query = events.stream_events(stream, events.parquet_sink(str(tmp_path / "out")), str(tmp_path / "ck"))
+    assert query.awaitTermination(180)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert len(glob.glob(str(tmp_path / "out/batch=*"))) >= 2
+    assert {(r["doc_id"], r["seq"], r["type"], r["summary"]) for r in got.collect()} == {(r["doc_id"], r["seq"], r["type"], r["summary"]) for rs in made.values() for r in rs}
+
+
+def test_a_failing_backend_leaves_the_orchestration(spark):
+    class Silent:
+        def complete(self, request):
+            return models.Response(False, error="down")
+
+    rows = pipeline.run_pipeline(spark.createDataFrame([(1, GOOD)], "doc_id long, text string"), backend=Silent()).orderBy("seq").collect()
+    assert [r["type"] for r in rows] == ["doc_detected", "summary_start", "final"]
+    assert rows[-1]["summary"] == "" and rows[-1]["metrics"]["overall_score"] == 0.0 and rows[-1]["metrics"]["length_penalty"] is None

@@ -1,0 +1,55 @@
+import pytest
+from pyspark.sql import functions as F
+
+from lexloom.sources import binary, documents
+
+
+def test_text_files_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("é\r\nb\rc".encode())
+    rows = documents.read_text_files(spark, str(tmp_path)).collect()
+    assert [r["text"] for r in rows] == ["é\nb\nc"] and rows[0]["path"].endswith("a.txt")
+
+
+def test_gate_and_pages(spark):
+    rows = spark.createDataFrame([(" x " * 10, [" a ", "", "b"]), ("y" * 50, [])], "t string, p array<string>")
+    assert [tuple(r) for r in rows.select(documents.gate(F.col("t")), documents.join_pages(F.col("p"))).collect()] == [("", "a\n\nb"), ("y" * 50, "")]
+
+
+def test_recognition_is_for_pages_without_valid_text(spark):
+    rows = spark.createDataFrame([("a good page of text " * 5, "r"), ("x", " r "), ("x", None)], "n string, r string")
+    assert [r[0] for r in rows.select(documents.page_text(F.col("n"), F.col("r"))).collect()] == [("a good page of text " * 5).strip(), "r", ""]
+
+
+@pytest.fixture
+def fake():
+    def run(content):
+        if content == b"broken":
+            raise OSError("unreadable")
+        return [(content.decode() * 20, None), ("", "modern page")]
+
+    return run
+
+
+def test_binary_files_by_plug_in(spark, tmp_path, fake):
+    (tmp_path / "a.PDF").write_bytes(b"some text. ")
+    (tmp_path / "b.png").write_bytes(b"broken")
+    got = {r["path"][-5:]: r for r in binary.read_binary(spark, f"file://{tmp_path}", {"pdf": fake, "image": fake}).collect()}
+    assert got["a.PDF"]["text"].endswith("some text.\n\nmodem page") and got["b.png"]["text"] == ""
+    assert got["b.png"]["low_quality"] and not got["a.PDF"]["low_quality"]
+
+
+def test_unknown_extensions_and_missing_libraries_fail(spark, tmp_path, fake):
+    (tmp_path / "a.xyz").write_bytes(b"x")
+    with pytest.raises(Exception, match="unsupported file type"):
+        binary.read_binary(spark, str(tmp_path), {"pdf": fake, "image": fake}).collect()
+    with pytest.raises(binary.MissingLibrary, match="no_such_library"):
+        binary.need("no_such_library")
+    assert binary.local_path("file:///tmp/a%20b.pdf") == "/tmp/a b.pdf" and binary.local_path("/x") == "/x"
+
+
+@pytest.mark.parametrize("kind", ["parquet", "json", "text"])
+def test_stage_sinks(spark, tmp_path, kind):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    documents.write_stage(df, str(tmp_path / kind), kind)
+    back = getattr(spark.read, kind)(str(tmp_path / kind))
+    assert sorted(r[back.columns[-1]] for r in back.collect()) == ["a", "b"]
