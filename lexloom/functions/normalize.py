@@ -107,7 +107,7 @@ def bullets(c: Column) -> Column:
 def light_cleanup(c: Column) -> Column:
     """Sentences with a fifth or more of plain letters, joined by spaces."""
     parts = F.transform(F.split(c, T.rx(r"(?<=[.!?]){s}+")), T.strip)
-    letters = lambda x: F.length(F.regexp_replace(x, "[^a-zA-Z]", ""))
+    letters = lambda x: T.count_of(x, "[a-zA-Z]")
     return F.array_join(F.filter(parts, lambda x: (x != "") & (letters(x) / F.length(x) >= F.lit(0.2))), " ")
 
 
