@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: White space between words: a space and the characters 9 to 13.
-SPACES = " \t\n\x0b\x0c\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lexloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+from lexloom.functions.text import let
+from lexloom.session import checkpointed, shared_dir
 
+__all__ = ["SPACES", "checkpointed", "let", "put", "shared_dir", "words_of"]
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by files in the shared folder; it outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once per row, however often body names it."""
-    return F.transform(F.array(value), body)[0]
+#: White space between words: a space and the characters 9 to 13.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def words_of(text: Column) -> Column:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexloom.llm import chatfsm, fm_index, html_text, line_windows, quality, secret_cnn, simhash, spm_sample, url_lm, warc
+from lexloom.session import spread
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tokenizer_path() -> str:
