@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib.util
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote
@@ -17,6 +18,7 @@ from lexloom.sources.documents import join_pages, page_text
 
 # File kinds by extension, and the recogniser's settings.
 PDF, IMAGES = (".pdf",), (".png", ".jpg", ".jpeg", ".tiff", ".bmp")
+RECOGNISER_PATHS = ("/usr/bin/tesseract", "/usr/local/bin/tesseract", "/opt/homebrew/bin/tesseract")
 OCR_SETTINGS = "--oem 3 --psm 6 -c preserve_interword_spaces=1"
 
 
@@ -56,6 +58,11 @@ class ImageExtractor:
         return [("", recognise(content))]
 
 
+def recogniser_path(paths: tuple[str, ...] = RECOGNISER_PATHS) -> str | None:
+    """The first of these programs that a worker has."""
+    return next((p for p in paths if os.path.exists(p)), None)
+
+
 def recognise(image: bytes) -> str:
     """Text of an image: grey, contrast and sharpness doubled, then recognised."""
     need("PIL", "pytesseract")
@@ -64,6 +71,8 @@ def recognise(image: bytes) -> str:
     import pytesseract
     from PIL import Image, ImageEnhance
 
+    if path := recogniser_path():
+        pytesseract.pytesseract.tesseract_cmd = path
     picture = Image.open(io.BytesIO(image)).convert("L")
     picture = ImageEnhance.Sharpness(ImageEnhance.Contrast(picture).enhance(2)).enhance(2)
     return pytesseract.image_to_string(picture, config=OCR_SETTINGS)

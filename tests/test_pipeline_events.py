@@ -1,11 +1,12 @@
 import glob
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import models
 from lexloom.plans import pipeline
-from lexloom.streaming import events
+from lexloom.streaming import events, progress
 
 GOOD = " ".join(f"This is sentence number {w} of the text that we have here." for w in "one two three four five six seven".split())
 LONG = " ".join(f"Part{i} " + "word " * 160 + "end." for i in range(6))
@@ -66,9 +67,18 @@ def test_stream_gives_the_events_of_the_table(spark, tmp_path, made):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     docs.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = events.read_stream(spark, str(tmp_path / "in"), docs.schema, files_per_trigger=2)
+    seen = progress.Progress()
+    stop = seen.watch(spark)
     query = events.stream_events(stream, events.parquet_sink(str(tmp_path / "out")), str(tmp_path / "ck"))
     assert query.awaitTermination(180)
+    for _ in range(50):
+        if seen.ended:
+            break
+        time.sleep(0.2)
+    stop()
+    assert sum(s.rows for s in seen.steps) == len(ROWS) and seen.ended == [None]
     got = spark.read.parquet(str(tmp_path / "out"))
+    assert {r["type"]: r["n"] for r in progress.event_totals(got).collect()}["error"] == 3
     assert len(glob.glob(str(tmp_path / "out/batch=*"))) >= 2
     assert {(r["doc_id"], r["seq"], r["type"], r["summary"]) for r in got.collect()} == {(r["doc_id"], r["seq"], r["type"], r["summary"]) for rs in made.values() for r in rs}
 

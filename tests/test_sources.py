@@ -47,6 +47,12 @@ def test_unknown_extensions_and_missing_libraries_fail(spark, tmp_path, fake):
     assert binary.local_path("file:///tmp/a%20b.pdf") == "/tmp/a b.pdf" and binary.local_path("/x") == "/x"
 
 
+def test_the_first_recogniser_there_is(tmp_path):
+    (tmp_path / "b").touch()
+    assert binary.recogniser_path((str(tmp_path / "a"), str(tmp_path / "b"))) == str(tmp_path / "b")
+    assert binary.recogniser_path((str(tmp_path / "a"),)) is None
+
+
 @pytest.mark.parametrize("kind", ["parquet", "json", "text"])
 def test_stage_sinks(spark, tmp_path, kind):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
