@@ -39,6 +39,8 @@ BAD_WORDS = frozenset(
     "disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo "
     "promoted promotion recommended related reply replies respond share sharing sidebar sidenav signup social sponsor sponsored subscribe teaser toolbar topbar widget widgets".split()
 )
+#: Next to these such a word tells of a layout, not of the element.
+MODIFIERS = frozenset("has with no without".split())
 ARTICLE_WORDS = frozenset("article articlebody content entry post story maincontent".split())
 
 _RAW = "|".join(RAW_TAGS)
@@ -98,7 +100,8 @@ def _region(tag: str, attributes: str, inside: int) -> int:
                 words = {w.lower() for w in _WORD.findall(_CAMEL.sub(" ", value))}
                 if tag in ARTICLE_TAGS:
                     continue
-                if words & BAD_WORDS:
+                bad = words & BAD_WORDS
+                if bad and not words & MODIFIERS and not (inside and bad == {"header"}):
                     return -1
                 if not inside and words & ARTICLE_WORDS:
                     found = 1

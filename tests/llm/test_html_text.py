@@ -48,6 +48,7 @@ NAV = '<nav><ul><li><a href="/">Home</a></li><li><a href="/x">More of the news</
         (f"<div><p>{LONG}</p><ul><li><a href=x>Read this too</a></li><li><a href=y>And that</a></li></ul></div>", LONG.strip()),
         ('<div class="post-content"><p>x</p><p title="a>b">y</p></div><div class="adbox"><p>z</p></div>', "x\ny"),
         ("<article><p>cut of", "cut of"),
+        (f"<div class='layout with-sidebar'><article><header class='post-header'><h1>T</h1></header><p>x</p></article><div class='sidebar'>{LONG}</div></div>", "T\nx"),
         ("<article><p>cut</p></artic", "cut"),
         ("<article><p>1 < 2 and a<b></b>c <3</p></article>", "1 < 2 and ac <3"),
         ("<article><p><b>open<br><p>next &am", "open\nnext &am"),
