@@ -13,9 +13,6 @@ from lexloom.functions import predicates as P
 from lexloom.functions import text as T
 from lexloom.operators import chunking, structure
 
-ALL_WS = T.WS
-
-
 def lit(s: str) -> str:
     """A literal; control characters are spelled by chr()."""
     out, plain = [], ""
@@ -304,7 +301,7 @@ def detected(like: str) -> str:
     )
 
 
-_HEADER = structure.HEADER.replace("(?im)", "(?im)")
+_HEADER = structure.HEADER
 _TITLE = "array_to_string(list_transform(string_split(lower(n), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 
 
@@ -312,7 +309,7 @@ def section_steps(like: str) -> list[str]:
     return [
         f"e AS (SELECT doc_id, {like} AS text FROM d)",
         f"n AS (SELECT doc_id, text, regexp_extract_all(text, {pat(_HEADER)}, 1) AS ns, string_split_regex(text, {pat(_HEADER)}) AS bs FROM e)",
-        f"x AS (SELECT doc_id, unnest(ns) AS n, generate_subscripts(ns, 1) AS i, bs FROM n)",
+        "x AS (SELECT doc_id, unnest(ns) AS n, generate_subscripts(ns, 1) AS i, bs FROM n)",
         f"y AS (SELECT doc_id, {_TITLE} AS name, i, left({strip('bs[i + 1]')}, {structure.SECTION_CAP}) AS t FROM x)",
         "z AS (SELECT doc_id, name, min(i) AS i, arg_max(t, i) AS t FROM y WHERE t <> '' GROUP BY doc_id, name)",
         "u AS (SELECT doc_id, name, i, t FROM z UNION ALL SELECT doc_id, 'body', 1, text FROM n WHERE len(ns) = 0)",
@@ -482,9 +479,7 @@ def layouts() -> str:
 def sql() -> dict[str, str]:
     c = condensed("text")
     nt = n_tok("text")
-    vowels = rep("text", "[^aeiouAEIOU]", "")
     page_ok = lambda x, n: f"(length({x}) >= {n} AND CASE WHEN {n_tok(x)} = 0 THEN true ELSE length({rep(x, '{s}', '')})::DOUBLE / {n_tok(x)} <= 20.0::DOUBLE END AND length({rep(x, '[^aeiouAEIOU]', '')})::DOUBLE / greatest(length({x}), 1) >= 0.05::DOUBLE)"
-    assert vowels
     stripped_pages = f"list_filter(list_transform(string_split(text, chr(10)), lambda p: {strip('p')}), lambda p: p <> '')"
     blank = f"list_filter(list_transform(string_split_regex(f, {pat(chr(92) + 'n{s}*' + chr(92) + 'n+')}), lambda p: {strip('p')}), lambda p: p <> '')"
     by_section = f"list_filter(list_transform(string_split(regexp_replace(f, {pat('(' + chr(92) + 'n{d}+' + chr(92) + '.{d}+{s}+[A-Z])')}, chr(1) || '\\1', 'g'), chr(1)), lambda p: {strip('p')}), lambda p: p <> '')"
@@ -544,7 +539,7 @@ def sql() -> dict[str, str]:
         "chunk_config": """WITH q AS (SELECT doc_id, length(coalesce(text, '')) * 10 AS n, unnest(['Fast', 'Balanced', 'High Quality', 'other']) AS quality FROM documents),
           b AS (SELECT *, CASE quality WHEN 'Fast' THEN 1000 WHEN 'High Quality' THEN 600 ELSE 800 END AS base FROM q)
           SELECT doc_id, quality, CASE WHEN n > 50000 THEN least(1200, base + 200) ELSE base END AS max_tokens FROM b""",
-        "valid_chunks": docs(*chunk_steps(20), f"f AS (SELECT doc_id, text FROM k UNION ALL SELECT doc_id, left(text, 8000) FROM d WHERE doc_id NOT IN (SELECT doc_id FROM k))", final=f"SELECT doc_id, count(*) AS n_chunks, sum({valid_chunk('text')}::BIGINT)::BIGINT AS n_valid FROM f GROUP BY doc_id"),
+        "valid_chunks": docs(*chunk_steps(20), "f AS (SELECT doc_id, text FROM k UNION ALL SELECT doc_id, left(text, 8000) FROM d WHERE doc_id NOT IN (SELECT doc_id FROM k))", final=f"SELECT doc_id, count(*) AS n_chunks, sum({valid_chunk('text')}::BIGINT)::BIGINT AS n_valid FROM f GROUP BY doc_id"),
         "detect_book_score": of_text(BOOK, n_words=nt, book_score=f"round({book_score('text')}, 6)", paper_score=f"round({paper_score('text')}, 6)"),
         "detect_paper_score": of_text(PAPER, n_words=nt, book_score=f"round({book_score('text')}, 6)", paper_score=f"round({paper_score('text')}, 6)"),
         "detect_document_type": detected("text"),

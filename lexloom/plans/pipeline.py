@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from lexloom.functions import detect, metrics
 from lexloom.functions import normalize as N
 from lexloom.functions import predicates as P
-from lexloom.functions import text as T
 from lexloom.operators import chunking, lines, models, structure, vectors
 from lexloom.session import checkpointed
 
@@ -113,7 +112,7 @@ def run_pipeline(docs: DataFrame, doc: str = "doc_id", text: str = "text", backe
         F.array(event("final", summary=F.col("summary"), metrics=F.col("metrics"), total_chunks=F.col("total_chunks").cast("int"))),
     )
     good = scored.select(doc, F.posexplode(events).alias("seq", "e")).select(doc, "seq", "e.*")
-    bad = ready.filter(~F.col("passes")).select(doc, F.lit(0).alias("seq"), F.expr("1").alias("__one"), event("error", message=F.lit("text is too short")).alias("e"))
+    bad = ready.filter(~F.col("passes")).select(doc, F.lit(0).alias("seq"), event("error", message=F.lit("text is too short")).alias("e"))
     return good.unionByName(bad.select(doc, "seq", "e.*"))
 
 
@@ -195,7 +194,3 @@ def fold_only(texts: list[str], backend: models.Backend) -> str:
         answer = backend.complete(models.Request(models.prompt("refine", t, running[: models.RUNNING_CAP]), models.REFINE_TOKENS, models.WARM))
         running = models.tidy(answer.text) if answer.ok else running + "\n\n" + t
     return running
-
-
-def token_total(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.agg(F.sum(T.count_tokens(F.col(text)).cast("bigint")).alias("tokens"))
