@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import checkpointed, put
+from lexloom.llm.common import checkpointed
 from lexloom.llm.graph import components
 
-BLOCK = 1024
+BLOCK = 256
 #: Odd multipliers that derive further words from a shingle's hash (fractions of the golden ratio and roots).
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     rows. A null key is no candidate for component_id, which is null where only such keys are linked.
     An empty table gives an empty result; other columns are not looked at.
     """
-    marked = checkpointed(fingerprint_column(docs, key, text, size).select(f"`{key}`", F.col("fp0").alias("node"), "fp0"))
+    marked = checkpointed(fingerprint_column(docs, key, text, size).select(f"`{key}`", F.col("fp0").alias("node"), "fp0").hint("rebalance"))
     points = checkpointed(marked.groupBy("node").agg(F.min(f"`{key}`").alias("low"), F.first("fp0").alias("fp0")))
     classes = _classes(points, links(points, 1, radius, lambda fp: grid_cells(fp[:, 0].copy(), radius)))
     joined = marked.join(classes, "node")
@@ -320,7 +320,8 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     tagged = held.select(F.struct("key", F.xxhash64("text").alias("h")).alias("key"), "text")
     found = fingerprint_column(tagged, "key", "text", size, WIDE_WORDS)
     worded = found.filter(F.greatest(*(F.col(n) != 0 for n in names)))
-    marked = checkpointed(worded.select("key", F.xxhash64(*names).alias("node"), *names))
+    # fingerprints are far smaller than texts: fewer files than the texts have partitions
+    marked = checkpointed(worded.select("key", F.xxhash64(*names).alias("node"), *names).hint("rebalance"))
     points = checkpointed(marked.groupBy("node").agg(F.min("key").alias("low"), *(F.first(n).alias(n) for n in names)))
     loose = checkpointed(components(links(points, WIDE_WORDS, radius, band_cells, CARRIED)))
     asked = checkpointed(points.join(loose, "node").select("low", "node", "root", *names[:CARRIED]))
