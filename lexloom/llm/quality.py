@@ -108,44 +108,41 @@ def compiled(rules: tuple[Rule, ...], values: dict[str, Column]) -> Column:
     return verdict
 
 
-def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50) -> Column:
+    """A struct of RESULT for a text, from statistics that are computed once."""
+    ratio = lambda a, b: F.when(b > 0, a.cast("double") / b)
+
+    def judged(s: Column) -> Column:
+        n, rep, lines = s["by_words"]["n"], s["by_words"]["rep"], s["by_lines"]["n"]
+        values = {
+            "mean_word_chars": ratio(s["word_chars"], n),
+            "symbols_per_word": ratio(s["n_symbols"], n),
+            "stop_word_ratio": ratio(s["n_stop"], n),
+            "dup_line_ratio": ratio(s["by_lines"]["dup"], lines),
+            "bullet_line_ratio": ratio(s["by_lines"]["bullet"], lines),
+            "ellipsis_line_ratio": ratio(s["by_lines"]["ellipsis"], lines),
+        }
+        failed = (n < min_words) | (rep * 100 > n * max_repeat_percent)
+        found = (n, s["word_chars"], s["n_symbols"], s["by_lines"]["dup"], rep, failed, ~failed & compiled(rules, values))
+        return F.struct(*[c.alias(name) for c, name in zip(found, RESULT, strict=True)])
+
+    return let(F.struct(*[v.alias(k) for k, v in statistics(text).items()]), judged)
+
+
+def judge(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
     A null or empty text has no words, so base_failed. A window of three words counts as found twice
     by its 64-bit hash. Very long texts are taken whole, repeated rows are judged alike, an empty table
     gives an empty result, and input columns named like the result's give way to them.
     """
-    from_text = statistics(F.col(f"`{text}`"))
-    mid = put(docs, **{f"__q_{k}": v for k, v in from_text.items()})
-    n, lines = F.col("__q_by_words.n"), F.col("__q_by_lines.n")
-    ratio = lambda a, b: F.when(b > 0, a.cast("double") / b)
-    values = {
-        "mean_word_chars": ratio(F.col("__q_word_chars"), n),
-        "symbols_per_word": ratio(F.col("__q_n_symbols"), n),
-        "stop_word_ratio": ratio(F.col("__q_n_stop"), n),
-        "dup_line_ratio": ratio(F.col("__q_by_lines.dup"), lines),
-        "bullet_line_ratio": ratio(F.col("__q_by_lines.bullet"), lines),
-        "ellipsis_line_ratio": ratio(F.col("__q_by_lines.ellipsis"), lines),
-    }
-    rep = F.col("__q_by_words.rep")
-    failed = (n < min_words) | (rep * 100 > n * max_repeat_percent)
-    out = put(
-        mid,
-        n_words=n,
-        word_chars=F.col("__q_word_chars"),
-        n_symbols=F.col("__q_n_symbols"),
-        n_dup_lines=F.col("__q_by_lines.dup"),
-        n_repeat_words=rep,
-        base_failed=failed,
-        kept=~failed & compiled(rules, values),
-    )
-    return out.drop(*[f"__q_{k}" for k in from_text])
+    mid = put(docs, __verdict=verdict(F.col(f"`{text}`"), **options))
+    return put(mid, **{name: F.col(f"__verdict.{name}") for name in RESULT}).drop("__verdict")
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of docs that judge() keeps, with the columns of docs."""
-    own = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
-    if {c.lower() for c in docs.columns} & set(own):
-        held = docs.select(F.struct("*").alias("__row"), F.col(options.pop("text", "text")).alias("__text"))
-        return judge(held, text="__text", **options).filter("kept").select("__row.*")
-    return judge(docs, **options).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.filter(verdict(F.col(f"`{text}`"), **options)["kept"])
