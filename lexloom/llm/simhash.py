@@ -311,7 +311,7 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     Candidates are found by wide fingerprints: pairs that share a segment's bits and whose carried words
     are as near as the similarity makes them. Their components are then checked exactly, on the sets
     themselves, in blocks that meet pair by pair. A pair at the very similarity shares a segment with
-    probability 0.993, a closer one with more. Nulls, ties and repeats as in near_duplicates(), except that
+    probability 0.992, a closer one with more. Nulls, ties and repeats as in near_duplicates(), except that
     documents with no word, about which shingles say nothing, are left out.
     """
     names = [f"fp{w}" for w in range(WIDE_WORDS)]
