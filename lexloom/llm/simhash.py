@@ -84,8 +84,8 @@ def fingerprints(hashes: list[np.ndarray], words: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprint_column(docs: DataFrame, key: str, text: str, size: int, words: int = 1, column: str = "fp") -> DataFrame:
-    """(key, fp0, fp1, ...) for each row of docs, as signed longs."""
+def fingerprint_column(docs: DataFrame, key: str, text: str, size: int, words: int = 1, column: str = "fp", distinct: bool = False) -> DataFrame:
+    """(key, fp0, fp1, ...) for each row of docs, as signed longs. distinct: of the set of shingles, without repeats."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,6 +95,8 @@ def fingerprint_column(docs: DataFrame, key: str, text: str, size: int, words: i
             texts = batch.column(1)
             for at in range(0, len(texts), 512):
                 hashes = [shingle_hashes(x, size, xxhash.xxh64_intdigest) for x in texts.slice(at, 512).to_pylist()]
+                if distinct:
+                    hashes = [np.unique(h) for h in hashes]
                 got = fingerprints(hashes, words).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, 512), *(pa.array(got[:, w]) for w in range(words))],
@@ -318,7 +320,8 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     radius = wide_radius(similarity, CARRIED)
     held = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     tagged = held.select(F.struct("key", F.xxhash64("text").alias("h")).alias("key"), "text")
-    found = fingerprint_column(tagged, "key", "text", size, WIDE_WORDS)
+    # of sets, as the measure is: repeats would part the fingerprints of texts that differ in their number alone
+    found = fingerprint_column(tagged, "key", "text", size, WIDE_WORDS, distinct=True)
     worded = found.filter(F.greatest(*(F.col(n) != 0 for n in names)))
     # fingerprints are far smaller than texts: fewer files than the texts have partitions
     marked = checkpointed(worded.select("key", F.xxhash64(*names).alias("node"), *names).hint("rebalance"))

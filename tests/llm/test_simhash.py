@@ -138,3 +138,21 @@ def test_near_copies_in_blocks(spark, monkeypatch):
         rows.append((i, " ".join(edited)))
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict.fromkeys(range(60), 0)
+
+
+def test_unequal_numbers_of_repeats_part_no_near_copies(spark):
+    rng = np.random.default_rng(11)
+    rows, sets = [], {}
+    for i in range(40):
+        text, phrase = words(rng, 300), words(rng, 10)
+        at = int(rng.integers(20, 280))
+        rows.append((10 * i, " ".join(text)))
+        rows.append((10 * i + 1, " ".join(text[:at] + phrase * 8 + text[at:])))
+        rows.append((10 * i + 2, " ".join(text + text[-1:] * 25)))
+    for k, t in rows:
+        w = t.split()
+        sets[k] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    expected = brute_components(list(sets.items()), lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    assert expected == {k: k // 10 * 10 for k in sets}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected
