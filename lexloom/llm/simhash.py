@@ -85,7 +85,11 @@ def fingerprints(hashes: list[np.ndarray], words: int = 1) -> np.ndarray:
 
 
 def fingerprint_column(docs: DataFrame, key: str, text: str, size: int, words: int = 1, column: str = "fp", distinct: bool = False) -> DataFrame:
-    """(key, fp0, fp1, ...) for each row of docs, as signed longs. distinct: of the set of shingles, without repeats."""
+    """(key, fp0, fp1, ...) for each row of docs, as signed longs.
+
+    distinct: of the set of shingles, without repeats, and after the key a column node: a hash of the sorted set,
+    null without a word.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,12 +102,13 @@ def fingerprint_column(docs: DataFrame, key: str, text: str, size: int, words: i
                 if distinct:
                     hashes = [np.unique(h) for h in hashes]
                 got = fingerprints(hashes, words).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 512), *(pa.array(got[:, w]) for w in range(words))],
-                    names=[key, *(f"{column}{w}" for w in range(words))],
-                )
+                cols = [batch.column(0).slice(at, 512), *(pa.array(got[:, w]) for w in range(words))]
+                if distinct:
+                    sets = [xxhash.xxh64_intdigest(h.tobytes(), 42) if len(h) else None for h in hashes]
+                    cols.insert(1, pa.array([x if x is None else x - 2**64 * (x >= 2**63) for x in sets], pa.int64()))
+                yield pa.RecordBatch.from_arrays(cols, names=[key, *["node"][: int(distinct)], *(f"{column}{w}" for w in range(words))])
 
-    schema = f"`{key}` {kind}, " + ", ".join(f"{column}{w} bigint" for w in range(words))
+    schema = f"`{key}` {kind}, " + "node bigint, " * distinct + ", ".join(f"{column}{w} bigint" for w in range(words))
     return docs.select(f"`{key}`", f"`{text}`").mapInArrow(run, schema)
 
 
@@ -311,7 +316,8 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """(key, component_id) with links between documents whose sets of shingles have that Jaccard similarity.
 
     Candidates are found by wide fingerprints: pairs that share a segment's bits and whose carried words
-    are as near as the similarity makes them. Their components are then checked exactly, on the sets
+    are as near as the similarity makes them. Texts of equal sets are one node: its name is a hash of the
+    set, not the fingerprint, which one frequent shingle can make up. Components are then checked exactly, on the sets
     themselves, in blocks that meet pair by pair. A pair at the very similarity shares a segment with
     probability 0.992, a closer one with more. Nulls, ties and repeats as in near_duplicates(), except that
     documents with no word, about which shingles say nothing, are left out.
@@ -322,9 +328,9 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     tagged = held.select(F.struct("key", F.xxhash64("text").alias("h")).alias("key"), "text")
     # of sets, as the measure is: repeats would part the fingerprints of texts that differ in their number alone
     found = fingerprint_column(tagged, "key", "text", size, WIDE_WORDS, distinct=True)
-    worded = found.filter(F.greatest(*(F.col(n) != 0 for n in names)))
+    worded = found.filter("node is not null")
     # fingerprints are far smaller than texts: fewer files than the texts have partitions
-    marked = checkpointed(worded.select("key", F.xxhash64(*names).alias("node"), *names).hint("rebalance"))
+    marked = checkpointed(worded.select("key", "node", *names).hint("rebalance"))
     points = checkpointed(marked.groupBy("node").agg(F.min("key").alias("low"), *(F.first(n).alias(n) for n in names)))
     loose = checkpointed(components(links(points, WIDE_WORDS, radius, band_cells, CARRIED)))
     asked = checkpointed(points.join(loose, "node").select("low", "node", "root", *names[:CARRIED]))

@@ -156,3 +156,18 @@ def test_unequal_numbers_of_repeats_part_no_near_copies(spark):
     assert expected == {k: k // 10 * 10 for k in sets}
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == expected
+
+
+def test_texts_with_the_same_long_run_stay_apart(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(words(rng, 60) + ["0"] * 300)) for i in range(30)]
+    rows += [(100 + i, t) for i, t in rows[:5]]  # exact copies
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(docs).collect()}
+    assert got == {k: k % 100 for k, _ in rows}
+
+
+def test_a_node_is_a_set_of_shingles(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "A b  c d e f"), (3, "a b c d e f a b c d e f"), (4, "x y"), (5, "X Y"), (6, " "), (7, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["node"] for r in simhash.fingerprint_column(docs, "doc_id", "text", 5, 2, distinct=True).collect()}
+    assert got[1] == got[2] != got[3] and got[4] == got[5] and got[6] is got[7] is None
