@@ -1,7 +1,7 @@
 """Secret scans: patterns, and a character convolutional network in numpy over every candidate.
 
-Patterns find the base spans. Every other run of 12 or more key characters with a digit in it is a
-candidate; the network reads it whole with the characters around it. It is trained where it is used, on
+Patterns find the base spans. Every run of 12 or more key characters is a candidate, those that overlap
+base spans included; the network reads it whole with the characters around it. It is trained where it is used, on
 labelled findings made from a seed, its scores are calibrated on findings held out, and each kind of
 candidate gets the highest threshold that keeps the recall asked for.
 """
@@ -24,7 +24,6 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run is as long as it can be, so runs of 16 are the runs that pass
 _NAMED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-_DIGIT = re.compile(r"[0-9]")
 
 CONTEXT, WINDOW = 24, 192  # characters on either side; candidate characters read at a time
 
@@ -41,25 +40,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of key characters with a digit that no base span touches."""
-    out = []
-    if not _DIGIT.search(text):
-        return out
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if _DIGIT.search(text, a, b) and not any(s < b and a < e for s, _, e in taken):
-            out.append((a, b))
-    return out
+def candidates(text: str) -> list[tuple[int, int]]:
+    """All runs of key characters."""
+    return [m.span() for m in CANDIDATE.finditer(text)]
 
 
 def kind_of(run: str) -> int:
-    """0: digits and separators; 1: hexadecimal; 2: letters and digits; 3: with signs."""
+    """0: digits and separators; 1: hexadecimal; 2: letters and digits; 3: with signs; 4: letters alone."""
     if not re.search(r"[A-Za-z]", run):
         return 0
     if re.fullmatch(r"[0-9a-fA-F]+", run):
         return 1
-    return 2 if run.isalnum() else 3
+    if not run.isalnum():
+        return 3
+    return 4 if run.isalpha() else 2
 
 
 def _codes(text: str) -> np.ndarray:
@@ -97,7 +91,7 @@ class Network:
     out_bias: np.ndarray
     slope: float = 1.0
     offset: float = 0.0
-    thresholds: tuple[float, ...] = (0.5, 0.5, 0.5, 0.5)
+    thresholds: tuple[float, ...] = (0.5, 0.5, 0.5, 0.5, 0.5)
 
     WIDTH = 5
 
@@ -115,9 +109,15 @@ class Network:
         """Raw scores of rows of symbols, padded by PAD."""
         half = self.WIDTH // 2
         wide = np.pad(batch, ((0, 0), (half, half)), constant_values=PAD)
-        view = np.lib.stride_tricks.sliding_window_view(wide, self.WIDTH, axis=1)
-        seen = self.embed[view].reshape(*batch.shape, -1)
-        act = np.maximum(seen @ self.conv + self.bias, 0)
+        if keep is None:  # embedding and convolution are one table for each place of the window
+            act = np.broadcast_to(self.bias, (*batch.shape, len(self.bias))).copy()
+            for w, part in enumerate(np.split(self.conv, self.WIDTH)):
+                act += (self.embed @ part)[wide[:, w : w + batch.shape[1]]]
+            np.maximum(act, 0, out=act)
+        else:
+            view = np.lib.stride_tricks.sliding_window_view(wide, self.WIDTH, axis=1)
+            seen = self.embed[view].reshape(*batch.shape, -1)
+            act = np.maximum(seen @ self.conv + self.bias, 0)
         real = (batch != PAD)[:, :, None]
         act = act * real
         n = real.sum(axis=1)
@@ -171,7 +171,8 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     some = lambda chars, k: "".join(rng.choice(list(chars), k))
     pick = lambda *xs: xs[rng.integers(len(xs))]
-    word = lambda: some(low, int(rng.integers(2, 10)))
+    onset, vowel, coda = (x.split(" ") for x in ("b c d f g h l m n p r s t v w st tr ch sch th wh br pr qu ", "a e i o u a e i o u ei ie au ou ai ea io", "    n r s t l m ng nd nt ch st rs tz ble"))
+    word = lambda: "".join(pick(*onset) + pick(*vowel) + pick(*coda) for _ in range(int(rng.integers(1, 4))))
     size = lambda a, b: int(rng.integers(a, b))
     mixed = low + up + dig
     positive = (
@@ -183,6 +184,11 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         lambda: some("0123456789ABCDEF", pick(32, 40, 64)),
         lambda: "-".join(some(mixed, size(6, 12)) for _ in range(size(3, 6))),
         lambda: pick("AIza", "SG.", "AC", "key-") + some(mixed, size(24, 40)),
+        lambda: some(mixed, size(12, 20)),
+        lambda: some(low + up, size(12, 64)),
+        lambda: some(pick(low, up), size(20, 48)),
+        lambda: some("0123456789abcdef", pick(32, 40, 64)),
+        lambda: some(dig, size(32, 64)),
     )
     negative = (
         lambda: some(dig, size(12, 15)),
@@ -196,13 +202,17 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         lambda: (word() + word() + word()).capitalize() + str(size(1, 2030)) + word(),
         lambda: ".".join(str(size(0, 256)) for _ in range(size(4, 7))),
         lambda: (word() + word()).upper() + "-" + str(size(1, 10000)) + "-" + word().upper() + word(),
-        lambda: pick("=", "-", "_", ".") * size(12, 40) + str(size(0, 9)) + pick("=", "-", "_", ".") * size(1, 9),
+        lambda: pick("=", "-", "_", ".") * size(12, 40) + pick("", str(size(0, 9))) + pick("=", "-", "_", ".") * size(1, 9),
+        *[lambda: pick(str.lower, str.capitalize, str.upper)("".join(word() for _ in range(size(2, 5)))) + pick("", "", ".", "...")] * 4,
+        lambda: pick("-", "_", "/", ".", "=").join(pick(str.lower, str.capitalize)(word()) for _ in range(size(2, 6))),
+        lambda: word() + "".join(word().capitalize() for _ in range(size(1, 4))),
+        lambda: "www." + word() + word() + ".example.com/" + word(),
     )
     out = []
     for i in range(n):
         label = i % 2
         run = pick(*(positive if label else negative))()
-        while not CANDIDATE.fullmatch(run) or not _DIGIT.search(run):
+        while not CANDIDATE.fullmatch(run):
             run = pick(*(positive if label else negative))()
         around = [" ".join(word() for _ in range(size(0, 8))) for _ in range(2)]
         named = rng.random() < (0.4 if label else 0.03)
@@ -242,10 +252,10 @@ def train(n: int = 6000, held: int = 3000, seed: int = 7, epochs: int = 4, batch
     net.slope, net.offset = float(slope), float(offset)
     p = 1 / (1 + np.exp(-(slope * raw + offset)))
     cuts = []
-    for k in range(4):
+    for k in range(5):
         true = np.sort(p[(label == 1) & (kind == k)])
-        # of a kind without labelled keys no candidate is one
-        cuts.append(max(0.5, float(true[int(len(true) * (1 - recall))])) if len(true) >= 20 else 1.1)
+        # too few labelled keys of a kind to tell its recall: as likely as not
+        cuts.append(float(true[int(len(true) * (1 - recall))]) if len(true) >= 20 else 0.5)
     net.thresholds = tuple(cuts)
     return net
 
@@ -266,7 +276,7 @@ def scan(texts: list[str | None], net: Network) -> list[list[tuple[int, int, int
     for i, text in enumerate(texts):
         spans = base_spans(text or "")
         found.append(spans)
-        for a, b in candidates(text or "", spans):
+        for a, b in candidates(text or ""):
             for p in pieces(text, a, b):
                 asked.append(p)
                 owners.append((i, a, b))

@@ -91,3 +91,25 @@ def test_gradients_are_the_slopes():
 def test_long_candidates_are_read_whole():
     long = "0" * 5000 + "x"
     assert sum(len(p) for p in secret_cnn.pieces(long, 0, len(long))) >= len(long)
+
+
+def test_every_run_is_scored():
+    text = "secret=abcdefghijklmno, cLtYxQwmZfvBgnKhpRjsWkyEluAmdFng and Zq0123456789abcdef01XkWpQvRtYm or donaudampfschiffahrt ------------"
+    runs = [text[a:b] for a, b in secret_cnn.candidates(text)]
+    assert runs == re.findall("[A-Za-z0-9+/_.=-]{12,}", text) and len(runs) == 5
+    found = secret_cnn.scan([text], secret_cnn.trained())[0]
+    assert [s for s in found if s[1] < 3] == secret_cnn.base_spans(text)
+    network = [text[a:b] for a, k, b in found if k == 3]
+    assert "cLtYxQwmZfvBgnKhpRjsWkyEluAmdFng" in network and "Zq0123456789abcdef01XkWpQvRtYm" in network
+    assert "donaudampfschiffahrt" not in network and "------------" not in network
+
+
+def test_recall_of_each_kind_without_a_floor():
+    net = secret_cnn.trained()
+    found = secret_cnn.labelled_findings(4000, 123)
+    p = 1 / (1 + np.exp(-(net.slope * secret_cnn.scores(net, found) + net.offset)))
+    kind, label = np.array([secret_cnn.kind_of(t[a:b]) for t, a, b, _ in found]), np.array([f[3] for f in found]) == 1
+    assert any(not re.search("[0-9]", t[a:b]) for t, a, b, y in found if y)
+    for k in range(5):
+        keys = label & (kind == k)
+        assert keys.sum() >= 40 and (p[keys] >= net.thresholds[k]).mean() >= 0.9
