@@ -25,7 +25,7 @@ def tokenizer_path() -> str:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return spm_sample.encode(docs, tokenizer_path(), ids=False)
+    return spm_sample.encode(docs, tokenizer_path())
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

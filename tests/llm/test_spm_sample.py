@@ -134,3 +134,9 @@ def test_odd_rows(spark, vocabulary):
 def test_a_unigram_model_keeps_its_scores(vocabulary):
     assert np.exp(vocabulary.logp[np.isfinite(vocabulary.logp)]).sum() == pytest.approx(1.0)
     assert vocabulary.byte_logp < vocabulary.logp[np.isfinite(vocabulary.logp)].min()
+
+
+def test_the_query_returns_its_segmentations(spark):
+    got = queries.op1_sentencepiece(spark, SF).select("n_pieces", "ids_sha256", "ids").collect()
+    assert got and all(len(r["ids"]) == r["n_pieces"] for r in got)
+    assert all(hashlib.sha256(np.array(r["ids"], "<i4").tobytes()).hexdigest() == r["ids_sha256"] for r in got)
