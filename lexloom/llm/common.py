@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import let
-from lexloom.session import checkpointed, shared_dir
+from lexloom.session import Scratch, checkpointed, remove, remove_at_end, shared_dir, shuffles_end
 
-__all__ = ["SPACES", "checkpointed", "let", "put", "shared_dir", "words_of"]
+__all__ = ["SPACES", "Scratch", "checkpointed", "let", "put", "remove", "remove_at_end", "shared_dir", "shuffles_end", "words_of"]
 
 #: White space between words: a space and the characters 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"

@@ -8,8 +8,9 @@ groups. Every fingerprint is filed under the cell of each choice of three groups
 a cell are compared first by Manhattan distance, then exactly.
 
 Equal fingerprints are one point from the start. Of the pairs found in a cell only a spanning forest
-leaves the task. A cell of more than BLOCK fingerprints is cut into blocks, and every two blocks meet
-in a task of their own, so no cell is gathered whole and none is capped.
+leaves the task, and rows that are already linked are not compared again. A cell of more than BLOCK
+fingerprints is cut into blocks, and every two blocks meet in a task of their own, so no cell is gathered
+whole and none is capped. What is written for a step is removed when the next has read it.
 
 Wide fingerprints (16 words of 64 bits) serve lower similarities, where a radius is too large for popcount
 cells to tell anything: there the cells are the bits of single segments, the bit counts of the words give
@@ -26,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import checkpointed
+from lexloom.llm.common import Scratch
 from lexloom.llm.graph import components
 
-BLOCK = 256
+#: Fingerprints of a block of a cell; 48 bytes each.
+BLOCK = 4096
 #: Odd multipliers that derive further words from a shingle's hash (fractions of the golden ratio and roots).
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -164,11 +166,17 @@ def linked(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> t
     # a point: bit counts of segments; its Manhattan distance bounds the Hamming distance from below
     points = popcounts(np.ascontiguousarray(fp[:, 0])) if fp.shape[1] == 1 else np.bitwise_count(fp)
     points = points.astype(np.int8 if fp.shape[1] == 1 else np.int16)
+    begins = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    number = np.cumsum(np.concatenate([[True], cell[1:] != cell[:-1]])) - 1
     at, d = np.arange(len(cell)), 0
     while True:
         d += 1
         at = at[at + d < len(cell)]
         at = at[cell[at] == cell[at + d]]
+        if d & (d - 1) == 0:  # now and then: cells that are one class have no more to tell
+            own = root[local]
+            mixed = np.minimum.reduceat(own, begins) != np.maximum.reduceat(own, begins)
+            at = at[mixed[number[at]]]
         if not len(at):
             return ids, ids[root]
         for lo in range(0, len(at), 200_000):
@@ -179,19 +187,18 @@ def linked(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> t
             root = _merged(root, local[i], local[i + d])
 
 
-def _meeting(rows: DataFrame, group: str, block: int) -> DataFrame:
-    """rows (group, node, ...) of groups of two and more, once for each pair of blocks that theirs is in;
-    cell tells the pair. Rows of a cell number about twice block at most.
+def _meeting(rows: DataFrame, group: str, large: DataFrame) -> DataFrame:
+    """rows (group, node, ...), those of large (group, blocks) once for each pair of blocks that theirs is in;
+    cell tells the group, or the pair.
     """
     rest = [c for c in rows.columns if c != group]
-    shared = rows.groupBy(group).agg(F.count("*").alias("__n")).filter("__n > 1")
-    blocks = F.ceil(F.col("__n") / block).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda j: F.struct(F.least(F.col("__own"), j).alias("i"), F.greatest(F.col("__own"), j).alias("j")))
+    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("__own", j).alias("i"), F.greatest("__own", j).alias("j")))
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
     return (
-        rows.join(shared, group)
-        .withColumns({"__blocks": blocks, "__own": own})
-        .select(group, *rest, F.explode(meets).alias("__m"))
+        rows.join(large, group, "left")
+        .withColumn("__own", own)
+        .select(group, *rest, F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(meets)).alias("__m"))
         .select(F.xxhash64(group, "__m.i", "__m.j").alias("cell"), *rest)
     )
 
@@ -225,6 +232,7 @@ def _by_cell(rows: DataFrame, judge) -> DataFrame:
 
 
 def _prints(table, names: list[str]) -> np.ndarray:
+    """The fingerprints in the columns named, which are words of 64 bits."""
     return np.ascontiguousarray(np.stack([table.column(n).to_numpy() for n in names], axis=1)).view(np.uint64)
 
 
@@ -248,20 +256,31 @@ def links(points: DataFrame, words: int, radius: int, cells, carried: int | None
 
     rows = points.select("node", *names).mapInArrow(filed, "key bigint, node bigint, " + ", ".join(f"{n} bigint" for n in own))
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                keys, n = np.unique(cells(_prints(batch.slice(at, 2048), names)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    sums = points.select(*names).mapInArrow(counted, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    large = sums.filter(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+
     def judge(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         node, root = linked(table.column("cell").to_numpy(), table.column("node").to_numpy(), _prints(table, own), radius)
         far = node != root
         return node[far], root[far]
 
-    return _by_cell(_meeting(rows, "key", BLOCK), judge)
+    return _by_cell(_meeting(rows, "key", large), judge)
 
 
-def _classes(points: DataFrame, edges: DataFrame) -> DataFrame:
+def _classes(points: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component_id): the least key, low, of all that edges reach."""
-    roots = checkpointed(components(edges))
-    rooted = checkpointed(points.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")))
-    least = checkpointed(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
-    return checkpointed(rooted.join(least, "root").select("node", "component_id"))
+    roots = components(edges)
+    rooted = scratch.keep(points.select("node", "low").join(roots, "node").select("node", "low", "root"))
+    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    reached = scratch.keep(rooted.join(least, "root").select("node", "component_id"))
+    scratch.drop(rooted)
+    return points.select("node", "low").join(reached, "node", "left").select("node", F.when(F.col("component_id").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
@@ -272,15 +291,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     rows. A null key is no candidate for component_id, which is null where only such keys are linked.
     An empty table gives an empty result; other columns are not looked at.
     """
-    marked = checkpointed(fingerprint_column(docs, key, text, size).select(f"`{key}`", F.col("fp0").alias("node"), "fp0").hint("rebalance"))
-    points = checkpointed(marked.groupBy("node").agg(F.min(f"`{key}`").alias("low"), F.first("fp0").alias("fp0")))
-    classes = _classes(points, links(points, 1, radius, lambda fp: grid_cells(fp[:, 0].copy(), radius)))
-    joined = marked.join(classes, "node")
+    scratch = Scratch(docs.sparkSession)
+    marked = scratch.keep(fingerprint_column(docs, key, text, size).select(f"`{key}`", F.col("fp0").alias("node"), "fp0").hint("rebalance"))
+    points = scratch.keep(marked.groupBy("node").agg(F.min(f"`{key}`").alias("low"), F.first("fp0").alias("fp0")))
+    edges = scratch.keep(links(points, 1, radius, lambda fp: grid_cells(fp[:, 0].copy(), radius)))
+    joined = marked.join(_classes(points, edges, scratch), "node")
     return joined.select(f"`{key}`", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: words of 64 bits, of which so many are compared within cells; documents of a block in the exact check.
-WIDE_WORDS, CARRIED, SIMILARITY, TEXT_BLOCK = 16, 4, 0.8, 256
+#: Wide fingerprints: words of 64 bits, of which so many are compared within cells; texts and bytes of a block of the exact check.
+WIDE_WORDS, CARRIED, SIMILARITY, TEXT_BLOCK, TEXT_BYTES = 16, 4, 0.8, 2048, 8_000_000
 
 
 def wide_radius(similarity: float, words: int, deviations: float = 3.3) -> int:
@@ -299,16 +319,23 @@ def alike(texts: list[str | None], node: np.ndarray, fp: np.ndarray, radius: int
     root = np.arange(len(texts))
     a, b = [], []
     for i in range(len(texts) - 1):
-        near = np.flatnonzero(_ones(fp[i + 1 :] ^ fp[i]) <= radius) + i + 1
+        far = _ones(fp[i + 1 :] ^ fp[i])
+        near = np.flatnonzero((far <= radius) & (root[i + 1 :] != root[i]) & (node[i + 1 :] != node[i]))
+        near = near[np.argsort(far[near], kind="stable")] + i + 1  # the likeliest first: what they link needs no look
         near = near[np.minimum(n[near], n[i]) >= similarity * np.maximum(n[near], n[i])]
-        for j in near.tolist():
-            if root[i] == root[j] or node[i] == node[j]:
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both >= similarity * (n[i] + n[j] - both):
-                a.append(int(node[i]))
-                b.append(int(node[j]))
-                root[root == root[j]] = root[i]
+        step = 8
+        while len(near):
+            some, near, step = near[:step], near[step:], 2 * step
+            flat = np.concatenate([sets[j] for j in some.tolist()])
+            place = np.searchsorted(sets[i], flat)
+            same = sets[i][np.minimum(place, n[i] - 1)] == flat
+            both = np.add.reduceat(same.astype(np.int64), np.cumsum(n[some]) - n[some])
+            for j in some[both >= similarity * (n[i] + n[some] - both)].tolist():
+                if root[i] != root[j]:
+                    a.append(int(node[i]))
+                    b.append(int(node[j]))
+                    root[root == root[j]] = root[i]
+            near = near[root[near] != root[i]]
     return a, b
 
 
@@ -327,28 +354,36 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     held = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     tagged = held.select(F.struct("key", F.xxhash64("text").alias("h")).alias("key"), "text")
     # of sets, as the measure is: repeats would part the fingerprints of texts that differ in their number alone
+    scratch = Scratch(docs.sparkSession)
     found = fingerprint_column(tagged, "key", "text", size, WIDE_WORDS, distinct=True)
     worded = found.filter("node is not null")
     # fingerprints are far smaller than texts: fewer files than the texts have partitions
-    marked = checkpointed(worded.select("key", "node", *names).hint("rebalance"))
-    points = checkpointed(marked.groupBy("node").agg(F.min("key").alias("low"), *(F.first(n).alias(n) for n in names)))
-    loose = checkpointed(components(links(points, WIDE_WORDS, radius, band_cells, CARRIED)))
-    asked = checkpointed(points.join(loose, "node").select("low", "node", "root", *names[:CARRIED]))
-    texts = held.withColumn("h", F.xxhash64("text")).join(asked.select(F.col("low.key").alias("key"), F.col("low.h").alias("h"), "node", "root", *names[:CARRIED]), ["key", "h"])
+    marked = scratch.keep(worded.select("key", "node", *names).hint("rebalance"))
+    points = scratch.keep(marked.groupBy("node").agg(F.min("key").alias("low"), *(F.first(n).alias(n) for n in names)))
+    edges = scratch.keep(links(points, WIDE_WORDS, radius, band_cells, CARRIED))
+    loose = components(edges)
+    asked = points.join(loose, "node").select(F.col("low.key").alias("key"), F.col("low.h").alias("h"), "node", "root", *names)
+    sized = held.select("key", F.xxhash64("text").alias("h"), "text").join(asked, ["key", "h"])
+    texts = scratch.keep(sized.select("root", "node", *names, "text"))
+    sums = texts.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / TEXT_BLOCK, F.col("bytes") / TEXT_BYTES)).cast("int")
+    large = sums.select("root", blocks.alias("blocks")).filter("blocks > 1")
+    whole = wide_radius(similarity, WIDE_WORDS)
 
     def judge(table: pa.Table) -> tuple[list[int], list[int]]:
-        cell, node, fp = table.column("cell").to_numpy(), table.column("node").to_numpy(), _prints(table, names[:CARRIED])
+        cell, node, fp = table.column("cell").to_numpy(), table.column("node").to_numpy(), _prints(table, names)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
         a, b = [], []
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if hi - lo > 1:
-                x, y = alike(table.column("text").slice(lo, hi - lo).to_pylist(), node[lo:hi], fp[lo:hi], radius, size, similarity)
+                x, y = alike(table.column("text").slice(lo, hi - lo).to_pylist(), node[lo:hi], fp[lo:hi], whole, size, similarity)
                 a += x
                 b += y
         return a, b
 
-    edges = _by_cell(_meeting(texts.select("root", "node", *names[:CARRIED], "text"), "root", TEXT_BLOCK), judge)
-    classes = _classes(points.select("node", F.col("low.key").alias("low")), edges)
+    exact = scratch.keep(_by_cell(_meeting(texts, "root", large), judge))
+    scratch.drop(texts, edges)
+    classes = _classes(points.select("node", F.col("low.key").alias("low")), exact, scratch)
     return marked.select(F.col("key.key").alias(key), "node").join(classes, "node").select(f"`{key}`", "component_id")
 
 
