@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.llm import fm_index, line_windows, quality, simhash, spm_sample
-from lexloom.llm.common import shared_dir
+from lexloom.llm.common import remove, remove_at_end, shared_dir, shuffles_end
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,13 +52,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents. Stages but the last leave Parquet below the shared folder."""
+    """The stages over documents. Stages but the last leave Parquet below the shared folder, each until the next is
+    written, the last until the driver ends.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    remove_at_end(spark, top)
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             path = f"{top}/{i}-{name}"
-            docs.write.parquet(path)
+            with shuffles_end(spark):
+                docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs
