@@ -1,10 +1,13 @@
 """HTML extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags. What stands inside boilerplate containers (menus, headers,
-footers, sidebars, notices, adverts, forms, comments) is bad. Where the page marks an article, the rest of
-it is good and all outside is bad. Other blocks are classed by stop-word density, length and link
-density (first pass); short ambiguous ones then inherit from their nearest decided neighbours (second
-pass). Each page stands alone, so the operator is a narrow pass.
+A page is cut into blocks at block-level tags. Blocks of boilerplate containers (menus, headers, footers,
+sidebars, notices, adverts, forms, comments) and, where the page marks an article, blocks outside it are no
+candidates. All others go by two passes, on every page. The first asks length, link density and stop-word
+density: a block is good, bad or ambiguous. In the second, ambiguous blocks inherit the label of their nearest
+decided neighbour. Markup is a feature of the first pass: inside an article, a block that would be bad is
+ambiguous, and where no block of an article is decided, the article's mark decides; inside a
+container whose name only hints at boilerplate (related, share), and on pages without an article, densities
+alone decide. Each page stands alone, so the operator is a narrow pass.
 """
 
 from __future__ import annotations
@@ -28,38 +31,44 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
-RAW_TAGS = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "math", "object", "canvas", "audio", "video", "select", "datalist")
+#: Elements whose content is no text of the page; those of the first line run to the page's end where their end tag is missing.
+RAW_TO_END = ("script", "style", "textarea")
+RAW_TAGS = ("noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "object", "canvas", "audio", "video", "select", "datalist")
 BAD_TAGS = frozenset("nav footer aside form menu dialog head search".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of a class or id that tell a boilerplate container, and those that tell an article.
+#: Words of a class or id that tell a boilerplate container, those that only hint at one, and those that tell an article.
 BAD_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright "
-    "disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo "
-    "promoted promotion recommended related reply replies respond share sharing sidebar sidenav signup social sponsor sponsored subscribe teaser toolbar topbar widget widgets".split()
+    "disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo "
+    "promoted reply replies respond sharing sidebar sidenav signup sponsor sponsored subscribe teaser toolbar topbar".split()
 )
+HINT_WORDS = frozenset("header promotion recommended related share social widget widgets".split())
 #: Next to these such a word tells of a layout, not of the element.
 MODIFIERS = frozenset("has with no without".split())
 ARTICLE_WORDS = frozenset("article articlebody content entry post story maincontent".split())
 
-_RAW = "|".join(RAW_TAGS)
+_ATTRIBUTES = r"(?>[^>\"']|\"[^\"]*\"|'[^']*')*+"
 _TOKEN = re.compile(
     rf"<!--(?:.*?-->|.*)"  # comments
-    rf"|<({_RAW})(?=[\s/>])(?>[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1(?=[\s/>])[^>]*>|.*)"  # elements whose content is no text of the page
-    rf"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>"  # tags
+    rf"|<({'|'.join(RAW_TO_END)})(?=[\s/>]){_ATTRIBUTES}>(?:.*?</\1(?=[\s/>])[^>]*>|.*)"
+    rf"|<title(?=[\s/>]){_ATTRIBUTES}>(?:.*?</title(?=[\s/>])[^>]*>|[^<]*)"
+    rf"|<({'|'.join(RAW_TAGS)})(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?</\2(?=[\s/>])[^>]*>"  # one that closes itself, or is never closed, holds nothing
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>"  # tags
     rf"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)"  # tags with odd quotes, or cut off
     rf"|<[!?/][^>]*(?:>|$)",  # declarations and the like
     re.S | re.I,
 )
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+|\d+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds of the first pass: lengths in code points, densities as shares of words or of code points."""
+    """Thresholds of the first pass: lengths in code points, densities as shares of words (of letters) or of code points."""
 
     short: int = 70
     long: int = 200
@@ -72,11 +81,11 @@ class Rules:
 class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-    region: int = 0  # 0: outside an article, 1: inside, -1: in a boilerplate container
+    region: int = 0  # 0: outside an article, 1: inside, 2: inside, in what hints at boilerplate, -1: in a boilerplate container
     heading: bool = False
-    item: bool = False
     text: str = ""
     label: int = 0  # 1 good, -1 bad, 0 ambiguous
+    decided: str = ""  # what decided: container, density, neighbour or article
 
 
 def _region(tag: str, attributes: str, inside: int) -> int:
@@ -96,14 +105,15 @@ def _region(tag: str, attributes: str, inside: int) -> int:
                     return -1
                 if value.lower() in ARTICLE_TAGS and not inside:
                     found = 1
-            elif name in ("class", "id"):
+            elif name in ("class", "id") and tag not in ARTICLE_TAGS:
                 words = {w.lower() for w in _WORD.findall(_CAMEL.sub(" ", value))}
-                if tag in ARTICLE_TAGS:
-                    continue
-                bad = words & BAD_WORDS
-                if bad and not words & MODIFIERS and not (inside and bad == {"header"}):
+                if words & BAD_WORDS and not words & MODIFIERS:
                     return -1
-                if not inside and words & ARTICLE_WORDS:
+                if found and words & HINT_WORDS:
+                    found = 2
+                elif not inside and words & HINT_WORDS == {"header"}:
+                    return -1
+                elif not inside and words & ARTICLE_WORDS:
                     found = 1
     return 1 if tag in ARTICLE_TAGS else found
 
@@ -122,7 +132,7 @@ def blocks(page: str) -> list[Block]:
             if now.text:
                 out.append(now)
         region = stack[-1][1] if stack else 0
-        now = Block(region=region, heading=tag[:1] == "h" and tag[1:].isdigit(), item=tag == "li")
+        now = Block(region=region, heading=tag[:1] == "h" and tag[1:].isdigit())
 
     def text(piece: str) -> None:
         now.parts.append(piece)
@@ -133,10 +143,10 @@ def blocks(page: str) -> list[Block]:
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        tag = (m[4] or m[7] or "").lower()
         if not tag:
             continue
-        closing = bool(m[2] or m[5])
+        closing = bool(m[3] or m[6])
         if tag == "a":
             links = 0 if closing else 1
         elif tag == "br":
@@ -150,7 +160,7 @@ def blocks(page: str) -> list[Block]:
                 links = 0
                 close()
         elif tag in BLOCK_TAGS:
-            attributes = (m[4] if m[3] else m[7]) or ""
+            attributes = (m[5] if m[4] else m[8]) or ""
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
             inside = stack[-1][1] if stack else 0
@@ -165,55 +175,61 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def first_pass(text: str, linked: int, region: int, rules: Rules) -> int:
+    """Good, bad or ambiguous, by length, link density and stop-word density."""
+    n = len(text)
+    if linked > rules.max_links * n:
+        return 0 if region == 1 else -1
+    if n < rules.long and region != 1 and "©" in text:
+        return -1
+    if n < rules.short:
+        return 0
+    words = _LETTERS.findall(text.lower())
+    stop = sum(w in _STOP for w in words) / max(1, len(words))
+    if stop >= rules.stop_high or (stop >= rules.stop_low and n >= rules.long):
+        return 1
+    return 0 if stop >= rules.stop_low or region == 1 else -1
+
+
 def classify(found: list[Block], rules: Rules = Rules()) -> None:
     """Sets the labels of a page's blocks."""
-    marked = any(b.region == 1 for b in found)
+    marked = any(b.region > 0 for b in found)
+    asked = []
     for b in found:
-        n = len(b.text)
-        link_share = min(1.0, b.linked / n)
         if b.region < 0 or (marked and b.region == 0):
-            b.label = -1
-        elif marked:
-            b.label = -1 if b.item and link_share > 0.9 else 1 if n >= rules.short else 0
-        elif link_share > rules.max_links or "©" in b.text:
-            b.label = -1
-        else:
-            words = b.text.lower().split()
-            stop = sum(w.strip(".,;:!?()\"'") in _STOP for w in words) / len(words)
-            if n < rules.short:
-                b.label = 0
-            elif stop >= rules.stop_high or (stop >= rules.stop_low and n >= rules.long):
-                b.label = 1
-            else:
-                b.label = 0 if stop >= rules.stop_low else -1
-    # second pass: labels of the nearest decided blocks before and after; in an article only its own blocks count
-    n = len(found)
-    before, after = [0] * n, [0] * n
+            b.label, b.decided = -1, "container"
+            continue
+        b.label = first_pass(b.text, b.linked, b.region, rules)
+        b.decided = "density" if b.label else ""
+        asked.append(b)
+    # second pass: the nearest decided blocks before and after, among those that were asked; what surely stands in an article asks its like
+    n = len(asked)
+    before, after = [(0, 0)] * n, [(0, 0)] * n
     for order, near in ((range(n), before), (range(n - 1, -1, -1), after)):
-        label, distance = 0, 0
-        for i in order:
-            b = found[i]
-            if marked and b.region != 1:
-                continue
-            distance += 1
-            near[i] = (label, distance)
-            if b.label:
-                label, distance = b.label, 0
-    for i, b in enumerate(found):
+        last = {True: (0, 0), False: (0, 0)}  # label and place of the nearest decided block; True: of an article
+        for at, i in enumerate(order):
+            sure = asked[i].region == 1
+            label, place = last[sure]
+            near[i] = (label, at - place)
+            if asked[i].decided == "density":
+                last[False] = (asked[i].label, at)
+                if sure:
+                    last[True] = (asked[i].label, at)
+    for b, (p, dp), (q, dq) in zip(asked, before, after, strict=True):
         if b.label:
             continue
-        (p, dp), (q, dq) = before[i], after[i]
+        b.decided = "neighbour"
         if not p and not q:
-            b.label = 1 if marked else 0
+            b.label, b.decided = int(marked), "article" if marked else ""
         elif not p or not q:
             b.label = p or q
         elif b.heading:
             b.label = q  # a heading goes with what it heads
         else:
             b.label = p if dp < dq else q if dq < dp else max(p, q)
-    if not any(b.label > 0 for b in found) and not marked:  # stop words tell nothing here: keep what is no boilerplate
-        for b in found:
-            b.label = 1 if b.region == 0 and b.linked <= rules.max_links * len(b.text) else -1
+    if not any(b.label > 0 for b in asked) and not marked:  # stop words tell nothing here: keep what is no boilerplate
+        for b in asked:
+            b.label, b.decided = (1 if b.linked <= rules.max_links * len(b.text) else -1), "density"
 
 
 def main_text(page: str | None, rules: Rules = Rules()) -> str:

@@ -61,6 +61,78 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+PROSE = LONG.strip()
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article>P<svg class="i"/>P</article>', "PP"),
+        (f"<article><p>{LONG}</p><video src=x><p>after</p><iframe src=y><p>it</p></article>", f"{PROSE}\nafter\nit"),
+        (f"<article><p>{LONG}</p><svg><text>no</text></svg><select><option>a</select><math><mi>a</mi><mo>+</mo></math></article>", f"{PROSE}\na+"),
+        (f"<div><p>{LONG} © 2020 {LONG}</p><p>© 2024 Site</p></div>", f"{PROSE} © 2020 {PROSE}"),
+        (f'<article><div class="related-work"><p>{LONG}</p></div><p id="social">short one</p></article>', f"{PROSE}\nshort one"),
+        (f"<article><p>{LONG}</p><h2>References</h2><ul><li><a href=x>Knuth</a></li><li><a href=y>Dijkstra</a></li></ul></article>", f"{PROSE}\nReferences\nKnuth\nDijkstra"),
+        (f"<article><p>{LONG}</p><p>one</p><p>two</p><div class=share><a href=x>Send it to a friend</a></div></article>", f"{PROSE}\none\ntwo"),
+        (f"<div class=share><p>{LONG}</p><p><a href=x>Send it to a friend</a></p></div>", PROSE),
+        ("<title>cut", ""),
+    ],
+)
+def test_markup_is_a_feature_and_loses_no_text(page, text):
+    assert main_text(page) == text
+
+
+def by_brute_force(found, rules=html_text.Rules()):
+    """Labels by the two passes as the module's text has them, block against block."""
+    marked = any(b.region > 0 for b in found)
+    asked = [b for b in found if b.region >= (1 if marked else 0)]
+
+    def first(b):
+        words = re.findall(r"[^\W\d_]+", b.text.lower())
+        stop = sum(w in html_text._STOP for w in words) / max(1, len(words))
+        links, n, sure = b.linked / len(b.text), len(b.text), b.region == 1
+        if links > rules.max_links or (not sure and n < rules.long and "©" in b.text):
+            return "?" if sure else "bad"
+        if n >= rules.short and (stop >= rules.stop_high or (n >= rules.long and stop >= rules.stop_low)):
+            return "good"
+        return "?" if n < rules.short or stop >= rules.stop_low or sure else "bad"
+
+    labels = [first(b) for b in asked]
+    out = {}
+    for i, b in enumerate(asked):
+        label = labels[i]
+        if label == "?":
+            ok = [j for j in range(len(asked)) if labels[j] != "?" and (b.region != 1 or asked[j].region == 1)]
+            back, on = max((j for j in ok if j < i), default=None), min((j for j in ok if j > i), default=None)
+            if back is None and on is None:
+                label = "good" if marked else "bad"
+            elif back is None or on is None:
+                label = labels[on if back is None else back]
+            elif b.heading or i - back > on - i:
+                label = labels[on]
+            elif i - back < on - i:
+                label = labels[back]
+            else:
+                label = "good" if "good" in (labels[back], labels[on]) else "bad"
+        out[id(b)] = label == "good"
+    if not marked and not any(out.values()):
+        out = {id(b): b.linked <= rules.max_links * len(b.text) for b in asked}
+    return [out.get(id(b), False) for b in found]
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_passes_equal_brute_force_on_whole_tables(spark, marked):
+    """As they are, and without their article marks, when densities alone decide."""
+    decided = []
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        page = r["html"] if marked else re.sub("</?article>", "", r["html"])
+        found = html_text.blocks(page)
+        html_text.classify(found)
+        assert [b.label > 0 for b in found] == by_brute_force(found)
+        decided += [b.decided for b in found if b.region >= 0 and (b.region > 0 or not marked)]
+    assert decided.count("density") > 0.5 * len(decided)
+
+
 def test_short_blocks_inherit_from_the_nearest():
     bad = "buy " * 60
     page = f"<div><p>{LONG}</p><p>near good</p><p>{bad}</p><p>near bad</p><p>{bad}</p></div>"
