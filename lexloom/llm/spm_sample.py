@@ -6,8 +6,9 @@ are the exact heuristic of the search: a partial path carries the log of all the
 leads to. Gumbel noise on those sums, handed down from the whole to its parts, makes the k best
 perturbed segmentations a sample of k without replacement. The agenda holds bundles of segmentations, each "like a
 path before some unit and other than it there"; the best is popped, completed by sampling each unit from
-its lattice, and leaves new bundles behind. The perturbed score of the best bundle left after k is the
-threshold of the inclusion scores.
+its lattice, and leaves new bundles behind. What a bundle holds is summed over the branches that leave the
+taken paths, never taken from a whole, so no segmentation is too unlikely to be found. The perturbed score
+of the best bundle left after k is the threshold of the inclusion scores.
 
 Paths of all texts of a batch are completed together in numpy; the noise of a text is a hash of its
 row key, the sample's number and the place, so partitions and batches don't change a result.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,6 +37,41 @@ _UNITS = re.compile(r" *[^ ]+| +$")
 _LITERAL = "\udfff"
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a serialised message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, varint()
+            continue
+        size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+        yield tag >> 3, data[at : at + size]
+        at += size
+
+
+UNIGRAM, BPE = 1, 2
+
+
+def model_type(data: bytes) -> int:
+    """What the model file says of itself: field 3 of its trainer's settings, which are field 2; unigram where unsaid."""
+    settings = next((v for n, v in _fields(data) if n == 2), b"")
+    return next((v for n, v in _fields(settings) if n == 3), UNIGRAM)
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Pieces by id (normal pieces as text, byte pieces as bytes, others None) and log-probabilities of normal pieces."""
@@ -70,9 +107,10 @@ class Vocabulary:
         normal = np.flatnonzero(np.isfinite(scores))
         logp = np.full(n, -np.inf)
         ordered = normal[np.argsort(-scores[normal], kind="stable")]
-        logp[ordered] = -np.log(np.arange(len(ordered)) + 2.0)
-        if scores[normal].min() > -200:  # a unigram model
+        if model_type(sp.serialized_model_proto()) == UNIGRAM:
             logp[normal] = scores[normal]
+        else:
+            logp[ordered] = -np.log(np.arange(len(ordered)) + 2.0)
         logp[normal] -= np.log(np.exp(logp[normal]).sum())
         return cls(pieces, logp, byte_ids, float(logp[normal].min()) - 10.0)
 
@@ -178,7 +216,7 @@ class Bank:
     def clear(self) -> None:
         self.types: dict[str, int] = {}  # the first node of each unit
         self.n_nodes = 0
-        self._first, self._cum, self._logc, self._target, self._piece = Rows(np.int32), Rows(np.float64), Rows(np.float64), Rows(np.int32), Rows(np.int32)
+        self._first, self._cum, self._logc, self._others, self._target, self._piece = Rows(np.int32), Rows(np.float64), Rows(np.float64), Rows(np.float64), Rows(np.int32), Rows(np.int32)
 
     @property
     def first(self) -> np.ndarray:
@@ -194,6 +232,11 @@ class Bank:
     def logc(self) -> np.ndarray:
         return self._logc.data
 
+    @property
+    def others(self) -> np.ndarray:
+        """Log of the conditional probability of a node's other edges."""
+        return self._others.data
+
     @property
     def target(self) -> np.ndarray:
         return self._target.data
@@ -256,23 +299,42 @@ class Bank:
         dst = src + span[order]
         beta = np.zeros(n)
         level = far[src]
-        cuts = np.flatnonzero(np.diff(level)) + 1
-        for a, b in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(src)]]).tolist(), strict=True):
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(level)) + 1, [len(src)]]) if len(src) else np.zeros(1, np.int64)
+        wide = np.flatnonzero(np.diff(cuts) > 48)
+        split = int(wide[-1]) + 1 if len(wide) else 0  # from there on few units are as long
+        for a, b in zip(cuts[:split].tolist(), cuts[1 : split + 1].tolist(), strict=True):
             s = src[a:b]
             value = logp[a:b] + beta[dst[a:b]]
             heads = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             top = np.maximum.reduceat(value, heads)
             times = np.diff(np.append(heads, b - a))
             beta[s[heads]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, times)), heads))
+        at = int(cuts[split])
+        if at < len(src):
+            _backward(beta, src[at:], dst[at:], logp[at:])
         logc = np.minimum(logp + beta[dst] - beta[src], 0.0)
         heads = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]]))
-        sums = np.cumsum(np.exp(logc))
         times = np.diff(np.append(heads, len(src)))
+        # beside a node's likeliest edge the others are summed, beside another edge they are what it leaves
+        number = np.repeat(np.arange(len(heads)), times)
+        best = np.full(len(heads), -1)
+        is_top = np.flatnonzero(logc == np.maximum.reduceat(logc, heads)[number])[::-1] if len(heads) else np.empty(0, np.int64)
+        best[number[is_top]] = is_top
+        rest = logc.copy()
+        rest[best] = -np.inf
+        most = np.maximum.reduceat(rest, heads) if len(heads) else rest
+        some = np.isfinite(most)
+        safe = np.where(some, most, 0.0)
+        with np.errstate(divide="ignore"):
+            summed = np.where(some, safe + np.log(np.add.reduceat(np.exp(rest - safe[number]), heads)), -np.inf) if len(heads) else most
+            others = np.log(-np.expm1(np.minimum(logc, -0.1)))
+        others[best] = summed
+        sums = np.cumsum(np.exp(logc))
         cum = sums - np.repeat(np.concatenate([[0.0], sums])[heads], times)
         cum[np.append(heads[1:], len(src)) - 1] = 2.0
         first = np.full(n, -1, np.int32)
         first[src[heads]] = heads + e0
-        for rows, more in ((self._first, first), (self._cum, cum), (self._logc, logc), (self._target, dst + n0), (self._piece, piece)):
+        for rows, more in ((self._first, first), (self._cum, cum), (self._logc, logc), (self._others, others), (self._target, dst + n0), (self._piece, piece)):
             rows.add(more)
 
     def walk(self, root: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,7 +343,7 @@ class Bank:
         now, logp = root.copy(), np.zeros(len(root))
         at, steps, n = np.arange(len(root)), [], np.zeros(len(root), np.int64)
         t = 0
-        while len(at):
+        while len(at) > 4:
             u = uniform(seed[at], t)
             edge = first[now]
             over = np.flatnonzero(u >= cum[edge])
@@ -295,39 +357,134 @@ class Bank:
             open_ = np.flatnonzero(first[now] >= 0)
             at, now = at[open_], now[open_]
             t += 1
+        ends = [(i, t, self._finish(int(x), int(seed[i]), t)) for i, x in zip(at.tolist(), now.tolist(), strict=True)]
+        for i, _, path in ends:
+            logp[i] += self.logc[path].sum()
+            n[i] += len(path)
         start = np.cumsum(n) - n
         flat = np.empty(int(n.sum()), np.int32)
         for t, (at, edge) in enumerate(steps):
             flat[start[at] + t] = edge
+        for i, t, path in ends:
+            flat[start[i] + t : start[i] + t + len(path)] = path
         return n, logp, flat
 
-    def other(self, root: int, taken: list[tuple[int, ...]], seed: int) -> tuple[list[int], float] | None:
-        """A path sampled among those not taken, with its log-probability; None where they have next to no probability."""
-        node, path, reach, t = root, [], 1.0, 0
-        masses = [float(np.exp(sum(self.logc[e] for e in p))) for p in taken]
-        while self.first[node] >= 0:
-            edges = [int(self.first[node])]
-            while self.cum[edges[-1]] < 2.0:
-                edges.append(edges[-1] + 1)
-            free = [max(0.0, reach * float(np.exp(self.logc[e])) - sum(m for p, m in zip(taken, masses, strict=True) if p[t] == e)) for e in edges]
-            free = [f if f > 1e-12 * reach else 0.0 for f in free]
-            total = sum(free)
-            if total <= 0.0:
-                return None
-            u = _uniform(seed, t) * total
+    def _finish(self, node: int, seed: int, t: int) -> np.ndarray:
+        """The edges of a walk from node to its unit's end, one after the other."""
+        first, cum, target, path = self.first, self.cum, self.target, []
+        while (edge := int(first[node])) >= 0:
+            u = _uniform(seed, t)
+            while u >= cum[edge]:
+                edge += 1
+            path.append(edge)
+            node, t = target[edge], t + 1
+        return np.array(path, np.int32)
+
+    def rest(self, logp: np.ndarray, start: np.ndarray, count: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """The log of what each path leaves of its unit: at each step the other edges, after the steps before."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = np.log(-np.expm1(logp))
+        near = np.flatnonzero(logp > -1e-3)  # what a whole leaves is rounded away there
+        if len(near):
+            c = count[near]
+            here = np.cumsum(c) - c
+            edge = flat[np.repeat(start[near] - here, c) + np.arange(int(c.sum()))]
+            step = self.logc[edge]
+            before = np.cumsum(step) - step
+            before -= np.repeat(before[here], c)
+            out[near] = np.logaddexp.reduceat(before + self.others[edge], here)
+        return out
+
+
+def _backward(beta: np.ndarray, src: np.ndarray, dst: np.ndarray, logp: np.ndarray) -> None:
+    """Fills beta of src, edge after edge; the edges of a node lie together, after those of the nodes that it leads to."""
+    known = dict(zip((x := np.unique(dst)).tolist(), beta[x].tolist(), strict=True))
+    exp, log = math.exp, math.log
+    values: list[float] = []
+    now = -1
+
+    def close() -> None:
+        if len(values) == 1:
+            known[now] = values[0]
+        else:
+            top = max(values)
+            known[now] = top + log(sum([exp(v - top) for v in values]))
+
+    for s, d, p in zip(src.tolist(), dst.tolist(), logp.tolist(), strict=True):
+        if s != now:
+            if now >= 0:
+                close()
+            now, values = s, []
+        values.append(p + known[d])
+    close()
+    at = np.unique(src)
+    beta[at] = [known[i] for i in at.tolist()]
+
+
+class Taken:
+    """Paths of a unit that are taken, as a trie; at each of its nodes the log of what is left free below it."""
+
+    def __init__(self, bank: Bank, root: int, path) -> None:
+        self.bank = bank
+        self.node, self.below, self.free = [root], [{}], [0.0]
+        self.add(path)
+
+    def _edges(self, node: int) -> range:
+        first = int(self.bank.first[node])
+        if first < 0:
+            return range(0)
+        last = first
+        while self.bank.cum[last] < 2.0:
+            last += 1
+        return range(first, last + 1)
+
+    def _weights(self, i: int) -> tuple[range, list[float]]:
+        edges = self._edges(self.node[i])
+        below, free = self.below[i], self.free
+        logc = self.bank.logc[edges.start : edges.stop].tolist()
+        return edges, [c + free[below[e]] if e in below else c for e, c in zip(edges, logc, strict=True)]
+
+    def add(self, path) -> None:
+        walked, i = [0], 0
+        for e in path:
+            e = int(e)
+            if e not in self.below[i]:
+                self.below[i][e] = len(self.node)
+                self.node.append(int(self.bank.target[e]))
+                self.below.append({})
+                self.free.append(0.0)
+            i = self.below[i][e]
+            walked.append(i)
+        for i in reversed(walked):
+            weights = self._weights(i)[1]
+            top = max(weights, default=-math.inf)
+            self.free[i] = top + math.log(sum([math.exp(w - top) for w in weights])) if top > -math.inf else -math.inf
+
+    def sample(self, seed: int) -> tuple[list[int], float] | None:
+        """A path sampled among those that are free, with its log-probability; None if there is none."""
+        bank = self.bank
+        if self.free[0] == -math.inf:
+            return None
+        path, i, t = [], 0, 0
+        while True:  # as long as the path follows taken ones
+            edges, weights = self._weights(i)
+            top = max(weights)
+            share = [math.exp(w - top) for w in weights]
+            u = _uniform(seed, t) * sum(share)
             k = 0
-            while k < len(free) - 1 and (u >= free[k] or free[k] == 0.0):
-                u -= free[k]
+            while k < len(share) - 1 and u >= share[k]:
+                u -= share[k]
                 k += 1
-            while free[k] == 0.0:  # rounding at the upper end
+            while share[k] == 0.0:  # rounding at the upper end
                 k -= 1
             e = edges[k]
-            reach *= float(np.exp(self.logc[e]))
-            kept = [(p, m) for p, m in zip(taken, masses, strict=True) if p[t] == e]
-            taken, masses = [p for p, _ in kept], [m for _, m in kept]
             path.append(e)
-            node, t = int(self.target[e]), t + 1
-        return path, float(sum(self.logc[e] for e in path))
+            t += 1
+            if e not in self.below[i]:
+                break
+            i = self.below[i][e]
+        path += bank._finish(int(bank.target[path[-1]]), seed, t).tolist()
+        return path, float(bank.logc[path].sum())
 
 
 def uniform(seed: np.ndarray, t: int) -> np.ndarray:
@@ -360,8 +517,7 @@ class Bundle:
     minus: float
     sample: int = field(compare=False)
     unit: int = field(compare=False)
-    taken: list[tuple[int, ...]] = field(compare=False)
-    mass: float = field(compare=False)  # log
+    taken: np.ndarray | Taken = field(compare=False)
 
 
 @dataclass
@@ -442,8 +598,7 @@ def sample(texts: list[str], seeds: np.ndarray, bank: Bank, k: int) -> Samples:
         before = np.cumsum(logp) - logp
         before -= before[np.minimum(begin, max(0, len(before) - 1))][doc] if len(before) else 0
         with np.errstate(divide="ignore"):
-            rest = -np.expm1(logp[fresh])
-            mass = before[fresh] + np.log(np.where(rest > 1e-12, rest, 0.0))
+            mass = before[fresh] + bank.rest(logp[fresh], start[fresh], count[fresh], flat)
         limit = score[doc[fresh]]
         noise = -np.log(uniform(_seeds(seeds[doc[fresh]], s, place[fresh]), -2) + 2.0**-54)
         with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
@@ -463,26 +618,26 @@ def sample(texts: list[str], seeds: np.ndarray, bank: Bank, k: int) -> Samples:
                 hit = hit[np.concatenate([[True], doc[fresh[hit]][1:] != doc[fresh[hit]][:-1]])]
                 for i in hit.tolist():
                     u = int(fresh[i])
-                    path = tuple(flat[start[u] : start[u] + count[u]].tolist())
-                    heapq.heappush(agenda[doc[u]], Bundle(-float(best[i]), s, int(place[u]), [path], float(mass[i])))
+                    path = flat[start[u] : start[u] + count[u]]
+                    heapq.heappush(agenda[doc[u]], Bundle(-float(best[i]), s, int(place[u]), path))
                 best[hit] = -np.inf
         if s:
             for d in active.tolist():  # what is left of the bundle that was popped
-                path, path_logp, old = forced[d]
-                u = begin[d] + leave[d]
-                share = float(np.exp(min(0.0, float(before[u]) + path_logp - old.mass)))
-                if share < 1 - 1e-12:
-                    m = old.mass + float(np.log1p(-share))
+                path, _, old = forced[d]
+                old.taken.add(path)
+                if old.taken.free[0] > -np.inf:
+                    m = float(before[begin[d] + leave[d]]) + old.taken.free[0]
                     noise = -np.log(float(uniform(_seeds(seeds[d : d + 1], s, np.array([sizes[d] + 1])), 0)[0]) + 2.0**-54)
-                    heapq.heappush(agenda[d], Bundle(-(m - float(np.log(np.exp(min(m - score[d], 700.0)) + noise))), old.sample, old.unit, [*old.taken, tuple(path)], m))
+                    heapq.heappush(agenda[d], Bundle(-(m - float(np.log(np.exp(min(m - score[d], 700.0)) + noise))), old.sample, old.unit, old.taken))
         # the next samples
         forced = {}
         if s + 1 < k:
             for d in active.tolist():
                 while agenda[d]:
                     got = heapq.heappop(agenda[d])
-                    u = begin[d] + got.unit
-                    found = bank.other(int(root[u]), got.taken, int(_seeds(seeds[d : d + 1], s + 1, np.array([got.unit]))[0]))
+                    if not isinstance(got.taken, Taken):
+                        got.taken = Taken(bank, int(root[begin[d] + got.unit]), got.taken)
+                    found = got.taken.sample(int(_seeds(seeds[d : d + 1], s + 1, np.array([got.unit]))[0]))
                     if found:
                         forced[d] = (*found, got)
                         base[d], leave[d], score[d] = got.sample, got.unit, -got.minus
@@ -537,8 +692,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
     verify: whether the ids decode to the text); ids: with the piece ids; decoded: with the decoded text.
 
     model: the path of a SentencePiece model file, read by the driver alone. A text with fewer distinct
-    segmentations gives fewer rows; those whose probability given the text's other units is under 1e-12
-    are not looked for. A null text is an empty one, whose one segmentation has no piece. Rows that repeat
+    segmentations gives fewer rows; however unlikely one is, it counts. A null text is an empty one, whose one segmentation has no piece. Rows that repeat
     a key get the same noise, so repeated rows give repeated results. Other columns are not looked at; an
     empty table gives an empty result.
     """

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import time
 from collections import Counter
 
 import numpy as np
@@ -44,21 +45,44 @@ def seeds(n):
     return np.array([spm_sample.row_seed(i, 0) for i in range(n)], np.uint64)
 
 
-@pytest.mark.parametrize("text", ["the cat", "a  b ", "x", "é\n𝄞s", "in in"])
-def test_all_segmentations_come_once_with_their_probabilities(vocabulary, text):
-    every = segmentations(vocabulary, text)
+@pytest.mark.parametrize("theta", [0.4, 1.0, 3.0])
+@pytest.mark.parametrize("text", ["the", "the cat", "of the", "a  b ", "x", "é\n𝄞s", "in in", "national"])
+def test_all_segmentations_come_once_with_their_probabilities(vocabulary, text, theta):
+    every = {i: theta * s for i, s in segmentations(vocabulary, text).items()}
     total = np.log(sum(np.exp(s) for s in every.values()))
-    bank = Bank(vocabulary)
+    bank = Bank(vocabulary, theta)
     got = sample([text], seeds(1), bank, len(every) + 3)
     found = {tuple(ids_of(e, bank).tolist()): lp for e, lp in zip(got.edges[0], got.logp[0], strict=True)}
     assert len(found) == len(got.logp[0])  # distinct
-    likely = {i for i, s in every.items() if s - total > np.log(1e-9)}
-    assert likely <= set(found) <= set(every)
+    assert set(found) == set(every)
     for ids, lp in found.items():
         assert lp == pytest.approx(every[ids] - total, abs=1e-9)
         assert vocabulary.decode(ids) == text
     assert got.perturbed[0] == sorted(got.perturbed[0], reverse=True)
-    assert got.inclusion[0][-1] == 1.0 or len(found) > len(every)
+    assert got.inclusion[0] == [1.0] * len(every)  # nothing is left
+    for k in (1, 2, len(every) - 1):
+        if 0 < k < len(every):
+            fewer = sample([text], seeds(1), bank, k)
+            assert len(fewer.logp[0]) == k and fewer.logp[0] == pytest.approx(got.logp[0][:k])
+            assert max(fewer.inclusion[0]) <= 1.0 and min(fewer.inclusion[0]) > 0.0
+
+
+def test_a_word_of_thousands_of_segmentations_gives_as_many_as_asked(vocabulary):
+    every = segmentations(vocabulary, "international")
+    bank = Bank(vocabulary)
+    got = sample(["international"], seeds(1), bank, 1000)
+    found = {tuple(ids_of(e, bank).tolist()) for e in got.edges[0]}
+    assert len(found) == 1000 < len(every) and found <= set(every)
+    assert sum(np.exp(every[i]) for i in found) / sum(map(np.exp, every.values())) > 0.99
+
+
+def test_a_unit_of_a_million_characters_takes_bounded_time(vocabulary):
+    began = time.perf_counter()
+    bank = Bank(vocabulary)
+    text = "internationalisation" * 50_000
+    got = sample([text], seeds(1), bank, 2)
+    assert [vocabulary.decode(ids_of(e, bank)) == text for e in got.edges[0]] == [True, True]
+    assert time.perf_counter() - began < 120
 
 
 def test_samples_follow_the_law_without_replacement(vocabulary):
