@@ -9,15 +9,19 @@ from lexloom.llm.common import Scratch
 
 
 def _stars(pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """One large star and one small star over pairs (u, v) with u > v."""
+    """One large star and one small star over pairs (u, v) with u > v.
+
+    Sums by node are written before they are joined back: then both sides of a join come from an exchange,
+    and Spark can split what a hub brings.
+    """
     both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     hung = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     large = scratch.keep(hung.unionAll(low.filter("u > m").select("u", F.col("m").alias("v"))))
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    least = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
     small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     out = scratch.keep(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
-    scratch.drop(large)
+    scratch.drop(low, large, least)
     return out
 
 
