@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 WS = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
 DIGIT = r"\p{Nd}"
+#: The same white space, character by character.
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: A step of a chain that strips.
+ENDS = (r"^{s}+|{s}+$", "")
 BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
@@ -31,13 +35,13 @@ def replace(c: Column, pattern: str, to: str) -> Column:
 
 
 def chain(c: Column, steps) -> Column:
-    for pattern, to in steps:
-        c = replace(c, pattern, to)
+    for step in steps:
+        c = strip(c) if step == ENDS else replace(c, *step)
     return c
 
 
 def strip(c: Column) -> Column:
-    return replace(c, "^{s}+|{s}+$", "")
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def tokens(c: Column) -> Column:
@@ -46,7 +50,7 @@ def tokens(c: Column) -> Column:
 
 
 def count_tokens(c: Column) -> Column:
-    return F.size(tokens(c))
+    return F.regexp_count(c, F.lit(rx("{S}+")))
 
 
 def let(value: Column, body) -> Column:
@@ -54,6 +58,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def settled(value: Column) -> Column:
+    """value, computed where it stands: the optimizer folds no projection into one that asks for its partition.
+
+    Python functions need it whose argument is a deep nest of lambdas: folded into the call, the nest is not told apart.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def bound(function):
     """A function of a column that names it more than once, made to compute it once."""
 

@@ -20,29 +20,49 @@ def remove_repeated_lines(text: Column, threshold: float = 0.5, max_removed: flo
     filled = F.filter(F.transform(T.lines(text), T.strip), lambda x: x != "")
 
     def judged(ls: Column) -> Column:
-        marked = F.transform(ls, lambda x: F.struct(x.alias("s"), N.canonical(x).alias("k"), P.boilerplate(x).alias("b")))
+        marked = F.transform(ls, lambda x: F.struct(x.alias("s"), N.canonical(x).alias("k")))
 
         def cut(ms: Column) -> Column:
-            suspects = F.array_distinct(F.transform(F.filter(ms, lambda m: m["b"]), lambda m: m["k"]))
-            often = F.filter(suspects, lambda k: F.size(F.filter(ms, lambda m: m["k"] == k)) / F.size(ms) >= F.lit(threshold))
+            told = lambda k: F.exists(ms, lambda m: (m["k"] == k) & P.boilerplate(m["s"]))
+            often = F.filter(frequent(F.transform(ms, lambda m: m["k"]), threshold), told)  # few reach the threshold, and only they are asked
             kept = lambda o: F.filter(ms, lambda m: ~F.array_contains(o, m["k"]))
             done = lambda o: T.let(
                 kept(o),
-                lambda r: F.when((F.size(o) == 0) | (F.lit(1.0) - F.size(r) / F.size(ms) > F.lit(max_removed)), text).otherwise(F.array_join(F.transform(r, lambda m: m["s"]), "\n")),
+                lambda r: F.when(F.lit(1.0) - F.size(r) / F.size(ms) > F.lit(max_removed), text).otherwise(F.array_join(F.transform(r, lambda m: m["s"]), "\n")),
             )
-            return T.let(often, done)
+            return T.let(often, lambda o: F.when(F.size(o) == 0, text).otherwise(done(o)))
 
         return F.when(F.size(ls) == 0, "").otherwise(T.let(marked, cut))
 
     return T.let(filled, judged)
 
 
+def frequent(keys: Column, share: float) -> Column:
+    """The distinct keys that make up that share of an array or more: one sort, then the lengths of its runs."""
+
+    def runs(ks: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(ks) - 1), lambda i: (i == 0) | (F.get(ks, i) != F.get(ks, i - 1)))
+        long = lambda bs: F.filter(
+            F.transform(bs, lambda b, j: F.struct(b.alias("b"), (F.coalesce(F.get(bs, j + 1), F.size(ks)) - b).alias("n"))),
+            lambda r: r["n"] / F.size(ks) >= F.lit(share),
+        )
+        return F.transform(T.let(begins, long), lambda r: F.get(ks, r["b"]))
+
+    return T.let(F.sort_array(keys), runs)
+
+
 def first_lines(text: Column, key=lambda s: s) -> Column:
-    """Text without filled lines whose key occurred before; blank lines stay."""
+    """Text without filled lines whose key occurred before; blank lines stay. Lines are sorted by key and place,
+    where a line that follows its like is a repeat, and back by place.
+    """
 
     def kept(ls: Column) -> Column:
-        keys = F.transform(ls, lambda x: T.let(T.strip(x), lambda s: F.when(s != "", key(s))))
-        return T.let(keys, lambda ks: F.array_join(F.filter(ls, lambda x, i: F.get(ks, i).isNull() | (F.array_position(ks, F.get(ks, i)) == i + 1)), "\n"))
+        keyed = F.transform(ls, lambda x, i: F.struct(T.let(T.strip(x), lambda s: F.when(s != "", key(s))).alias("k"), i.alias("i")))
+        repeats = lambda ks: F.transform(
+            ks, lambda k, j: F.struct(k["i"].alias("i"), F.coalesce((j > 0) & (F.get(ks, j - 1)["k"] == k["k"]), F.lit(False)).alias("again"))
+        )
+        placed = F.sort_array(T.let(F.sort_array(keyed), repeats))
+        return T.let(placed, lambda p: F.array_join(F.filter(ls, lambda x, i: ~F.get(p, i)["again"]), "\n"))
 
     return T.let(F.split(text, "\n"), kept)
 

@@ -144,13 +144,19 @@ def chunks(min_tokens: int) -> Query:
     return run
 
 
+def merged_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """merge_small() over a table of pieces; chunk_documents does the same inside the row."""
+    made = chunking.merge_small(chunking.chunk_pieces(docs(spark, sf_dir)), min_tokens=20)
+    return made.select("doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "token_count", F.md5("text").alias("text_md5"))
+
+
 def short_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_pieces(docs(spark, sf_dir)).select("doc_id", "pos", F.col("tokens").alias("n_tokens"))
 
 
 def valid_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = chunking.with_fallback(docs(spark, sf_dir), chunking.chunk_documents(docs(spark, sf_dir), min_tokens=20))
-    return made.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(P.valid_chunk(F.col("text")).cast("bigint")).alias("n_valid"))
+    made = docs(spark, sf_dir).select("doc_id", chunking.chunk_or_head(F.col("text"), 20).alias("cs"))
+    return made.select("doc_id", F.size("cs").alias("n_chunks"), F.size(F.filter("cs", lambda c: P.valid_chunk(c["text"]))).alias("n_valid"))
 
 
 def config_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,6 +209,14 @@ def adjacent_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sims.select("passage", F.posexplode("s").alias("pos", "c")).select("passage", "pos", F.round("c", 6).alias("cosine"))
 
 
+def centroid_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cosine of each vector and the mean of its label; the means, a row for each label and place, are joined."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    means = vectors.centroids(rows, "label", "embedding").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "mean"))).alias("c"))
+    joined = rows.join(means, "label").select("vec_id", "label", vectors.cosine(F.col("embedding"), F.transform("c", lambda x: x["mean"])).alias("cosine"))
+    return joined.select("vec_id", "label", F.round("cosine", 6).alias("cosine"))
+
+
 def threshold_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(spark, sf_dir).select("passage", F.round(chunking.group_threshold(F.transform(vectors.adjacent(F.col("vs")), lambda x: x + F.lit(0.5))), 6).alias("threshold"))
 
@@ -246,14 +260,21 @@ def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events. Of what a model says, only that there is something, and that scores lie in their range."""
     made = pipeline.run_pipeline(docs(spark, sf_dir))
-    return made.select("doc_id", "seq", "type", F.col("detection.type").alias("doc_type"), "total_chunks", "chunk_id", "summary", F.col("metrics.overall_score").alias("overall_score"))
+    scored = F.col("metrics.overall_score").between(0, 1) & (F.col("metrics.original_words") >= 0)
+    return made.select("doc_id", "seq", "type", "doc_type", "words", "total_chunks", "chunk_id", "is_last", F.length("summary").isNotNull().alias("has_summary"), scored.alias("scored"))
+
+
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final events with what the models say."""
+    made = pipeline.run_pipeline(docs(spark, sf_dir)).filter("type = 'final'")
+    return made.select("doc_id", "doc_type", F.round("confidence", 2).alias("confidence"), "total_chunks", "chunks_summarized", "compression", "summary", F.col("metrics.overall_score").alias("overall_score"))
 
 
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types of events of the gate alone: what starts, and what is refused."""
-    ready = pipeline.gated(docs(spark, sf_dir))
-    return ready.groupBy(F.when(F.col("passes"), "doc_detected").otherwise("error").alias("type")).agg(F.count("*").alias("n"))
+    """How many events of each type all documents have."""
+    return pipeline.run_pipeline(docs(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n"))
 
 
 def adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,7 +339,7 @@ def queries() -> dict[str, Query]:
         "adjacent_similarity": adjacent_query,
         "group_threshold": threshold_query,
         "semantic_chunks": semantic_query,
-        "merge_small_chunks": chunks(20),
+        "merge_small_chunks": merged_pieces,
         "chunk_documents": chunks(chunking.MIN_TOKENS),
         "chunk_config": config_query,
         "valid_chunks": valid_chunks,
@@ -344,7 +365,7 @@ def queries() -> dict[str, Query]:
         "metric_compression": of_text(compression=summary(metrics.compression), score=lambda c: F.round(metrics.compression_score(metrics.compression(c, condensed(c))), 6)),
         "metric_length_penalty": of_text(penalty=summary(metrics.length_penalty)),
         "evaluate_summaries": evaluated,
-        "cosine_pairs": adjacent_query,
+        "cosine_pairs": centroid_cosines,
         "semantic_dedup": dedup_query,
         "centroid_by_label": centroid_query,
         "chunk_summaries": chunk_summaries,
@@ -352,6 +373,7 @@ def queries() -> dict[str, Query]:
         "merge_summaries": fold_query(models.merge),
         "pipeline_events": events,
         "pipeline_event_counts": event_counts,
+        "pipeline_summaries": summaries,
         "adaptive_summaries": adaptive,
     }
 

@@ -191,10 +191,10 @@ def ligatures(x: str) -> str:
     return x
 
 
-def cleaned(control: str) -> str:
-    """The cleaner with repeated-line removal at its defaults, where it can remove nothing but a text without a filled line."""
-    return docs(
-        f"a AS (SELECT doc_id, {OCR} AS text FROM d)",
+def cleaned_steps(control: str, like: str) -> list[str]:
+    """The cleaner with repeated-line removal at its defaults, where it can remove nothing but a text without a filled line; ends in m(doc_id, t)."""
+    return [
+        f"a AS (SELECT doc_id, {like} AS text FROM d)",
         f"b AS (SELECT doc_id, {opening('text')} AS text FROM a)",
         f"c AS (SELECT doc_id, {rep(nfkd('text'), control, '')} AS text FROM b)",
         f"e AS (SELECT doc_id, {lines('text')} AS ls FROM c)",
@@ -204,8 +204,43 @@ def cleaned(control: str) -> str:
         f"i AS (SELECT doc_id, list_transform(list_filter({lines('text')}, lambda l: NOT {page_number('l')}), lambda l: {strip('l')}) AS ls FROM h)",
         f"j AS (SELECT doc_id, {paragraphs('ls')} AS text FROM i)",
         f"m AS (SELECT doc_id, {per_paragraph('text')} AS t FROM j)",
-        final="SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM m",
-    )
+    ]
+
+
+def cleaned(control: str) -> str:
+    return docs(*cleaned_steps(control, OCR), final="SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM m")
+
+
+def events(final: str) -> str:
+    """The events of the pipeline as all(doc_id, seq, type, ...), by an answering backend. Names of the cleaner's steps get a tag, as the chunker has its own."""
+    text = cleaned_steps(r"[\x00-\x1f\x7f]", "text")
+    names = [step.split(" AS ")[0] for step in text]
+    tagged = []
+    for step in text:
+        name, _, body = step.partition(" AS ")
+        for other in names:
+            body = body.replace(f" FROM {other})", f" FROM z{other})")
+        tagged.append(f"z{name} AS {body}")
+    first = "raw AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+    tagged[0] = tagged[0].replace(" FROM d)", " FROM raw)")
+    steps = [
+        first,
+        *tagged,
+        "d AS (SELECT doc_id, t AS text FROM zm WHERE length(t) >= 100)",
+        *kinds("d", "d"),
+        *chunk_steps(chunking.MIN_TOKENS),
+        "bare AS (SELECT doc_id, 0 AS chunk_id, left(text, 8000) AS text FROM d WHERE doc_id NOT IN (SELECT doc_id FROM k))",
+        "every AS (SELECT doc_id, chunk_id, text FROM k UNION ALL SELECT doc_id, chunk_id, text FROM bare)",
+        f"valid AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) - 1 AS i FROM every WHERE {valid_chunk('text')})",
+        "head AS (SELECT dk.doc_id, dk.t AS doc_type, dk.words, (SELECT count(*) FROM valid WHERE valid.doc_id = dk.doc_id) AS total FROM dk)",
+        """al AS (
+          SELECT doc_id, 0 AS seq, 'error' AS type, NULL AS doc_type, NULL::INT AS words, NULL::INT AS total_chunks, NULL::INT AS chunk_id, NULL::BOOLEAN AS is_last, false AS has_summary, NULL::BOOLEAN AS scored FROM zm WHERE length(t) < 100
+          UNION ALL SELECT doc_id, 0, 'doc_detected', doc_type, words, NULL, NULL, NULL, false, NULL FROM head
+          UNION ALL SELECT doc_id, 1, 'summary_start', doc_type, words, total, NULL, NULL, false, NULL FROM head
+          UNION ALL SELECT doc_id, 2 + i, 'chunk_summary', NULL, NULL, total, i, i = total - 1, true, NULL FROM valid JOIN head USING (doc_id)
+          UNION ALL SELECT doc_id, 2 + total, 'final', doc_type, NULL, total, NULL, NULL, true, true FROM head)""",
+    ]
+    return "WITH " + ", ".join(steps) + " " + final
 
 
 def repeated(threshold: float, most: float) -> str:
@@ -289,11 +324,18 @@ def paper_score(x: str) -> str:
       + (CASE WHEN {word("References?")} THEN 0.15 ELSE 0.0 END)::DOUBLE + {authors}, 1.0::DOUBLE)"""
 
 
+def kinds(source: str, tag: str = "") -> list[str]:
+    """s and k, with that tag before their names: the scores and the kind of each text of source."""
+    return [
+        f"{tag}s AS (SELECT doc_id, {n_tok('text')} AS words, {book_score('text')} AS b, {paper_score('text')} AS p FROM {source})",
+        f"{tag}k AS (SELECT *, CASE WHEN b > 0.6::DOUBLE AND b > p THEN 'book' WHEN p > 0.5::DOUBLE THEN 'paper' ELSE 'general' END AS t FROM {tag}s)",
+    ]
+
+
 def detected(like: str) -> str:
     return docs(
         f"e AS (SELECT doc_id, {like} AS text FROM d)",
-        f"s AS (SELECT doc_id, {n_tok('text')} AS words, {book_score('text')} AS b, {paper_score('text')} AS p FROM e)",
-        "k AS (SELECT *, CASE WHEN b > 0.6::DOUBLE AND b > p THEN 'book' WHEN p > 0.5::DOUBLE THEN 'paper' ELSE 'general' END AS t FROM s)",
+        *kinds("e"),
         "c AS (SELECT *, CASE WHEN t = 'book' THEN b WHEN t = 'paper' THEN p ELSE 1.0::DOUBLE - greatest(b, p) END AS sure FROM k)",
         final="""SELECT doc_id, t AS doc_type, round(sure, 6) AS confidence, round(words::DOUBLE / 300.0::DOUBLE, 6) AS pages, words,
           CASE WHEN t = 'book' THEN b > 0.7::DOUBLE END AS has_chapters, CASE WHEN t = 'paper' THEN p > 0.7::DOUBLE END AS has_abstract,
@@ -532,7 +574,9 @@ def sql() -> dict[str, str]:
         ),
         "split_sentences": of_array(f"list_transform({sentences(abbreviations('text'))}, lambda y: replace(y, chr(2), '.'))", ABBREVIATED),
         "adjacent_similarity": adjacent(),
-        "cosine_pairs": adjacent(),
+        "cosine_pairs": """WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+          m AS (SELECT label, dim, avg(x) AS mean FROM x GROUP BY label, dim), c AS (SELECT label, list(mean ORDER BY dim) AS c FROM m GROUP BY label)
+          SELECT vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], c.c), 6) AS cosine FROM embeddings e JOIN c ON c.label = e.label""",
         "group_threshold": group_threshold(),
         "merge_small_chunks": chunks(20),
         "chunk_documents": chunks(chunking.MIN_TOKENS),
@@ -562,6 +606,8 @@ def sql() -> dict[str, str]:
         "metric_compression": docs(f"e AS (SELECT doc_id, text, {c} AS sm FROM d)", final=f"SELECT doc_id, round({compression('text', 'sm')}, 6) AS compression, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {compression('text', 'sm')} / 5.0::DOUBLE)), 6) AS score FROM e"),
         "metric_length_penalty": docs(f"e AS (SELECT doc_id, text, {c} AS sm FROM d)", final=f"SELECT doc_id, round({penalty('text', 'sm')}, 6) AS penalty FROM e"),
         "evaluate_summaries": evaluated(),
+        "pipeline_events": events("SELECT * FROM al"),
+        "pipeline_event_counts": events("SELECT type, count(*) AS n FROM al GROUP BY type"),
         "semantic_dedup": greedy(0.15),
         "centroid_by_label": "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) SELECT label, dim, round(avg(x), 6) AS mean FROM x GROUP BY label, dim",
     }

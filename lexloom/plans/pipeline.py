@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import detect, metrics
 from lexloom.functions import normalize as N
 from lexloom.functions import predicates as P
+from lexloom.functions import text as T
 from lexloom.operators import chunking, lines, models, structure, vectors
 from lexloom.session import checkpointed
 
@@ -42,78 +46,134 @@ def dedup_texts(texts: Column, threshold: float = vectors.DEDUP_THRESHOLD, make=
     return run(texts)
 
 
+def greedy(texts: list[str], embed, threshold: float = vectors.DEDUP_THRESHOLD) -> list[str]:
+    """Texts that are not too near to an earlier one that stayed."""
+    if len(texts) < 2:
+        return texts
+    v = embed(texts)
+    norm = np.linalg.norm(v, axis=1)
+    unit = v / np.where(norm == 0, 1, norm)[:, None]
+    stay: list[int] = []
+    for i in range(len(texts)):
+        if not stay or float((unit[stay] @ unit[i]).max()) <= threshold:
+            stay.append(i)
+    return [texts[i] for i in stay]
+
+
+def dedup_texts(texts: Column, threshold: float = vectors.DEDUP_THRESHOLD, make=models.hashing_embedder) -> Column:
+    """greedy() of each array; nulls go."""
+
+    @F.pandas_udf("array<string>")
+    def run(rows: pd.Series) -> pd.Series:
+        embed = make()
+        return rows.map(lambda xs: greedy([] if xs is None else [x for x in xs if x is not None], embed, threshold))
+
+    return run(texts)
+
+
+def condensed(chunks: Column, backend: models.Backend | None = None, make=models.hashing_embedder) -> Column:
+    """struct<summaries, good, merged, seconds> of an ordered array of chunk texts: a summary each (null where there
+    is none), how many count, and the merged one of those that are not too near to an earlier one.
+    """
+    used = backend or models.ExtractiveBackend()
+
+    @F.pandas_udf("struct<summaries:array<string>,good:int,merged:string,seconds:double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        embed = make()
+        for rows in batches:
+            out = []
+            for chunks_ in rows:
+                began = time.perf_counter()
+                all_ = list(chunks_) if chunks_ is not None else []
+                capped = all_ if len(all_) > PARALLEL_OVER else [c[:SEQUENTIAL_CAP] for c in all_]
+                said = [models.summarise_chunk(c, used) for c in capped]
+                good = [s for s in said if s and len(s.strip()) > models.KEEP_SUMMARY]
+                out.append((said, len(good), models.merge(greedy(good, embed), used), time.perf_counter() - began))
+            yield pd.DataFrame(out, columns=["summaries", "good", "merged", "seconds"])
+
+    return run(chunks)
+
+
+def text_cosine(a: Column, b: Column, make=models.hashing_embedder) -> Column:
+    """Cosine of the embeddings of two texts, 0 where the second is empty."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        embed = make()
+        for x, y in batches:
+            u, v = (embed([t or "" for t in z]) for z in (x, y))
+            scale = np.linalg.norm(u, axis=1) * np.linalg.norm(v, axis=1)
+            yield pd.Series(np.where(scale == 0, 0.0, (u * v).sum(axis=1) / np.where(scale == 0, 1, scale)), index=x.index)
+
+    return run(a, b)
+
+
 def gated(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with clean and passes (whether the clean text has a hundred characters)."""
     return lines.clean_documents(docs, text).withColumn("passes", P.long_enough(F.col("clean")))
 
 
-def chunks_of(passed: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, chunk_id, text, token_count, total): valid chunks of the clean text, numbered anew."""
-    found = chunking.with_fallback(passed, chunking.chunk_documents(passed, doc, "clean"), doc, "clean")
-    packed = F.array_sort(F.collect_list(F.struct("chunk_id", "text", "token_count")))
-    valid = found.filter(P.valid_chunk(F.col("text"))).groupBy(doc).agg(packed.alias("cs"))
-    return valid.select(doc, F.size("cs").alias("total"), F.posexplode("cs").alias("chunk_id", "c")).select(doc, "chunk_id", "c.text", "c.token_count", "total")
+def with_chunks(ready: DataFrame, quality: str = "Balanced") -> DataFrame:
+    """ready (clean, passes) with words, max_tokens, and chunks: the valid ones of texts that pass, in order."""
+    found = T.let(chunking.chunk_or_head(F.col("clean")), lambda c: F.filter(c, lambda x: P.valid_chunk(x["text"])))
+    texts = F.transform(found, lambda c: c["text"])
+    return ready.withColumns(
+        {
+            "words": T.count_tokens(F.col("clean")),
+            "max_tokens": chunking.chunk_config(F.lit(quality), F.length("clean")),
+            "chunks": T.settled(F.when(F.col("passes"), texts).otherwise(F.array().cast("array<string>"))),
+        }
+    )
 
 
-def summarised(passed: DataFrame, doc: str = "doc_id", backend: models.Backend | None = None) -> DataFrame:
-    """(doc, total, summaries, kept, summary): chunk summaries in order, those that stay, and the merged one."""
-    chunks = chunks_of(passed, doc)
-    asked = F.when(F.col("total") > PARALLEL_OVER, F.col("text")).otherwise(F.left("text", F.lit(SEQUENTIAL_CAP)))
-    each = chunks.withColumn("summary", models.summaries(asked, backend))
-    packed = F.array_sort(F.collect_list(F.struct("chunk_id", "summary")))
-    by_doc = each.groupBy(doc).agg(F.first("total").alias("total"), packed.alias("s"))
-    said = by_doc.select(doc, "total", F.transform("s", lambda x: x["summary"]).alias("summaries"))
-    good = F.filter("summaries", lambda x: P.summary_ok(x, models.KEEP_SUMMARY))
-    merged = said.withColumn("kept", dedup_texts(good)).withColumn("summary", models.folded(F.col("kept"), backend))
-    return merged.withColumn("summary", N.readability(F.col("summary")))
+FAILED = "[Failed]"
 
 
-def run_pipeline(docs: DataFrame, doc: str = "doc_id", text: str = "text", backend: models.Backend | None = None) -> DataFrame:
-    """Events (doc, seq, type, detection, total_chunks, chunk_id, summary, metrics, message) of every document.
+def run_pipeline(docs: DataFrame, doc: str = "doc_id", text: str = "text", backend: models.Backend | None = None, quality: str = "Balanced", chunk_overlap: int = chunking.OVERLAP) -> DataFrame:
+    """Events (doc, seq, type, doc_type, confidence, words, detection, total_chunks, max_tokens, chunk_id, is_last, summary,
+    chunks_summarized, compression, metrics, seconds, message) of every document.
 
-    In order: doc_detected, summary_start, a chunk_summary for each chunk with a summary, final; or one
-    error for a document that is too short. A document without a valid chunk still gets its final event.
-    The cleaned text is written to the shared folder once, as several branches of the plan read it.
+    In order: doc_detected, summary_start, a chunk_summary for each valid chunk ([Failed] where the backend gave
+    none), final; or one error for a document that is too short. A document without a valid chunk still gets its
+    final event. seconds: what its summaries took. A null text is an empty one. Nothing is joined, gathered or
+    shuffled: each row's events come from that row alone, so rows with a null or a repeated id are documents of
+    their own, each with all its events.
+
+    quality sets max_tokens, chunk_overlap the sentences that chunks share. The chunker's cleaning leaves groups
+    of one sentence, which are never cut and overlap nothing, so neither changes a chunk here; max_tokens is told.
     """
-    ready = checkpointed(gated(docs.select(doc, F.coalesce(F.col(text), F.lit("")).alias("text"))).select(doc, "clean", "passes"))
-    passed = ready.filter("passes").select(doc, "clean")
-    done = passed.join(summarised(passed, doc, backend), doc, "left").select(
-        doc,
-        "clean",
-        detect.detection(F.col("clean")).alias("detection"),
-        F.coalesce("total", F.lit(0)).alias("total_chunks"),
-        F.coalesce("summaries", F.array().cast("array<string>")).alias("summaries"),
-        F.coalesce("summary", F.lit("")).alias("summary"),
+    if chunk_overlap < 0:
+        raise ValueError("chunk_overlap counts sentences")
+    ready = gated(docs.select(doc, F.coalesce(F.col(text), F.lit("")).alias("text"))).select(doc, "clean", "passes")
+    done = with_chunks(ready, quality).withColumn("said", condensed(F.col("chunks"), backend)).withColumn("summary", N.readability(F.col("said.merged")))
+    cosine = text_cosine(F.left("clean", F.lit(8000)), F.left("summary", F.lit(8000)))
+    scored = done.withColumn("cos", cosine).withColumns(
+        {
+            "detection": F.when(F.col("passes"), detect.detection(F.col("clean"))),
+            "metrics": F.when(F.col("passes"), metrics.evaluate(F.col("clean"), F.col("summary"), F.col("cos"), rounded=True)),
+        }
     )
-    cosine = vectors.cosine(F.col("a"), F.col("b"))
-    embedded = done.withColumn("a", models.embedding(F.left("clean", F.lit(8000)))).withColumn("b", models.embedding(F.left("summary", F.lit(8000))))
-    scored = embedded.withColumn("cos", F.when(F.col("summary") == "", 0.0).otherwise(cosine)).withColumn("metrics", metrics.evaluate(F.col("clean"), F.col("summary"), F.col("cos"), rounded=True))
+    total = F.size("chunks")
     null = lambda kind: F.lit(None).cast(kind)
-    kinds = {c: scored.schema[c].dataType for c in ("detection", "metrics")}
+    kinds = {c: scored.schema[c].dataType for c in ("detection", "metrics")} | {
+        "doc_type": "string", "confidence": "double", "words": "int", "total_chunks": "int", "max_tokens": "int", "chunk_id": "int", "is_last": "boolean",
+        "summary": "string", "chunks_summarized": "int", "compression": "double", "seconds": "double", "message": "string",
+    }
+    order = ("doc_type", "confidence", "words", "detection", "total_chunks", "max_tokens", "chunk_id", "is_last", "summary", "chunks_summarized", "compression", "metrics", "seconds", "message")
 
     def event(kind: str, **values: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("type"),
-            values.get("detection", null(kinds["detection"])).alias("detection"),
-            values.get("total_chunks", null("int")).alias("total_chunks"),
-            values.get("chunk_id", null("int")).alias("chunk_id"),
-            values.get("summary", null("string")).alias("summary"),
-            values.get("metrics", null(kinds["metrics"])).alias("metrics"),
-            values.get("message", null("string")).alias("message"),
-        )
-
-    chunk_events = F.filter(
-        F.transform("summaries", lambda s, i: event("chunk_summary", chunk_id=i.cast("int"), summary=s)),
-        lambda e: e["summary"].isNotNull(),
-    )
-    events = F.concat(
-        F.array(event("doc_detected", detection=F.col("detection")), event("summary_start", total_chunks=F.col("total_chunks").cast("int"))),
-        chunk_events,
-        F.array(event("final", summary=F.col("summary"), metrics=F.col("metrics"), total_chunks=F.col("total_chunks").cast("int"))),
+        return F.struct(F.lit(kind).alias("type"), *[values[c].cast(kinds[c]).alias(c) if c in values else null(kinds[c]).alias(c) for c in order])
+
+    known = {"doc_type": F.col("detection.type"), "confidence": F.col("detection.confidence")}
+    words = {"words": F.col("words")}
+    begun = [event("doc_detected", **known, **words, detection=F.col("detection")), event("summary_start", **known, **words, total_chunks=total, max_tokens=F.col("max_tokens"))]
+    each = F.transform(
+        "said.summaries", lambda s, i: event("chunk_summary", total_chunks=total, chunk_id=i, is_last=i == total - 1, summary=F.coalesce(s, F.lit(FAILED)))
     )
-    good = scored.select(doc, F.posexplode(events).alias("seq", "e")).select(doc, "seq", "e.*")
-    bad = ready.filter(~F.col("passes")).select(doc, F.lit(0).alias("seq"), event("error", message=F.lit("text is too short")).alias("e"))
-    return good.unionByName(bad.select(doc, "seq", "e.*"))
+    ratio = F.round(F.col("words") / F.greatest(T.count_tokens(F.col("summary")), F.lit(1)), 1)
+    final = event("final", **known, total_chunks=total, summary=F.col("summary"), chunks_summarized=F.col("said.good"), compression=ratio, metrics=F.col("metrics"), seconds=F.col("said.seconds"))
+    events = F.when(F.col("passes"), F.concat(F.array(*begun), each, F.array(final))).otherwise(F.array(event("error", message=F.lit("text is too short"))))
+    return scored.select(doc, F.posexplode(events).alias("seq", "e")).select(doc, "seq", "e.*")
 
 
 def adaptive_route(detection: Column) -> Column:
@@ -127,7 +187,8 @@ def adaptive_route(detection: Column) -> Column:
 def adaptive_summarise(docs: DataFrame, doc: str = "doc_id", text: str = "text", backend: models.Backend | None = None) -> DataFrame:
     """(doc, doc_type, confidence, summary, title, names, parts, metadata): each document by its type's strategy.
 
-    Detection reads the raw text. Books go by chapter, papers by section, all else by chunk.
+    Detection reads the raw text. Books go by chapter, papers by section, all else by chunk. A null text is an
+    empty one; no rows are joined, so those with a null or a repeated id are documents of their own.
     """
     held = docs.select(doc, F.coalesce(F.col(text), F.lit("")).alias("text"))
     seen = checkpointed(held.withColumn("d", detect.detection(F.col("text"))).withColumn("route", adaptive_route(F.col("d"))))
@@ -169,11 +230,8 @@ def adaptive_summarise(docs: DataFrame, doc: str = "doc_id", text: str = "text",
         F.col("d.metadata").alias("metadata"),
     )
     general = seen.filter("route = 'general'")
-    plain = checkpointed(lines.clean_documents(general.select(doc, "text")).select(doc, "clean"))
-    found = chunking.with_fallback(plain, chunking.chunk_documents(plain, doc, "clean"), doc, "clean")
-    ordered = F.array_sort(F.collect_list(F.struct("chunk_id", "text")))
-    by_doc = found.groupBy(doc).agg(F.transform(ordered, lambda c: c["text"]).alias("texts"))
-    general = general.join(by_doc, doc, "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>"))).select(
+    plain = lines.clean_documents(general)
+    general = plain.withColumn("texts", T.settled(F.transform(chunking.chunk_or_head(F.col("clean")), lambda c: c["text"]))).select(
         *shared,
         models.folded(F.col("texts"), backend, models.fold).alias("summary"),
         F.lit(None).cast("string").alias("title"),

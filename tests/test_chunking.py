@@ -37,10 +37,27 @@ def test_end_to_end_drops_short_sentences_and_keeps_order(spark):
     docs = spark.createDataFrame([(1, "One two three four five. Too short. " + "Again " + "word " * 30 + "end. Last sentence of this text here."), (2, "a b")], "doc_id long, text string")
     got = chunking.chunk_documents(docs, min_tokens=20).orderBy("doc_id", "chunk_id").collect()
     assert [r["text"].split()[0] for r in got] == ["One"] and got[0]["token_count"] == 5 + 32 + 6
-    full = chunking.with_fallback(docs, chunking.chunk_documents(docs)).filter("doc_id = 2").collect()
+    full = docs.select("doc_id", F.inline(chunking.chunk_or_head(F.col("text")))).filter("doc_id = 2").collect()
     assert [(r["text"], r["token_count"]) for r in full] == [("a b", 2)]
 
 
+def test_chunks_inside_the_row_equal_the_table_form(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join("Begin " + "word " * int(n) + "end." for n in rng.integers(1, 40, rng.integers(0, 30))) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "x"), (99, None)], "doc_id int, text string")
+    key = lambda rows: sorted((r["doc_id"], r["chunk_id"], r["text"], r["token_count"]) for r in rows)
+    for least in (5, 20, 150):
+        table = chunking.merge_small(chunking.chunk_pieces(docs), min_tokens=least).collect()
+        assert key(chunking.chunk_documents(docs, min_tokens=least).collect()) == key(table)
+
+
+def test_repeated_ids_stay_documents_of_their_own(spark):
+    text = "One two three four five six. " * 40
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id int, text string")
+    got = chunking.chunk_documents(docs).collect()
+    assert len(got) == 3 and {r["token_count"] for r in got} == {240}
+
+
 def test_config(spark):
     rows = spark.createDataFrame([("Fast", 60000), ("Fast", 10), ("x", 60000), ("High Quality", 1), ("Balanced", 50000)], "q string, n int")
     assert [r[0] for r in rows.select(chunking.chunk_config(F.col("q"), F.col("n"))).collect()] == [1200, 1000, 1000, 600, 800]

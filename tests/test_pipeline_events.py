@@ -43,6 +43,28 @@ def test_final_event_has_scores(made):
     assert made[1][0]["detection"]["type"] == "general"
 
 
+def test_payloads(made):
+    first, start, *told, last = made[4]
+    n = len(LONG.split())
+    assert first["words"] == start["words"] == n and first["doc_type"] == start["doc_type"] == last["doc_type"] == "general"
+    assert 0 < first["confidence"] <= 1 and first["detection"]["confidence"] == first["confidence"]
+    assert start["max_tokens"] == 800 and [r["is_last"] for r in told] == [False] * 5 + [True] and all(r["total_chunks"] == 6 for r in told)
+    assert last["chunks_summarized"] == 6 and last["seconds"] >= 0
+    assert last["compression"] == round(n / len(last["summary"].split()), 1)
+
+
+def test_rows_with_null_and_repeated_ids_are_documents_of_their_own(spark):
+    docs = spark.createDataFrame([(1, GOOD), (1, GOOD), (None, GOOD)], "doc_id long, text string")
+    rows = pipeline.run_pipeline(docs, quality="Fast").collect()
+    finals = [r for r in rows if r["type"] == "final"]
+    assert len(rows) == 12 and len(finals) == 3 and len({r["summary"] for r in finals}) == 1 and finals[0]["summary"]
+    assert {r["max_tokens"] for r in rows if r["type"] == "summary_start"} == {1000}
+    assert sorted(str(r["doc_id"]) for r in finals) == ["1", "1", "None"]
+    assert pipeline.run_pipeline(docs.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        pipeline.run_pipeline(docs, chunk_overlap=-1)
+
+
 def test_no_valid_chunk_still_ends_well(made):
     assert [r["type"] for r in made[5]][0] == "doc_detected" and made[5][-1]["type"] == "final"
 
@@ -89,5 +111,6 @@ def test_a_failing_backend_leaves_the_orchestration(spark):
             return models.Response(False, error="down")
 
     rows = pipeline.run_pipeline(spark.createDataFrame([(1, GOOD)], "doc_id long, text string"), backend=Silent()).orderBy("seq").collect()
-    assert [r["type"] for r in rows] == ["doc_detected", "summary_start", "final"]
+    assert [r["type"] for r in rows] == ["doc_detected", "summary_start", "chunk_summary", "final"]
+    assert rows[2]["summary"] == "[Failed]" and rows[-1]["chunks_summarized"] == 0
     assert rows[-1]["summary"] == "" and rows[-1]["metrics"]["overall_score"] == 0.0 and rows[-1]["metrics"]["length_penalty"] is None
