@@ -216,6 +216,7 @@ class Bank:
     def clear(self) -> None:
         self.types: dict[str, int] = {}  # the first node of each unit
         self.n_nodes = 0
+        self._count = Rows(np.int32)
         self._first, self._cum, self._logc, self._others, self._target, self._piece = Rows(np.int32), Rows(np.float64), Rows(np.float64), Rows(np.float64), Rows(np.int32), Rows(np.int32)
 
     @property
@@ -223,6 +224,11 @@ class Bank:
         """First edge of each node; -1 at a unit's end."""
         return self._first.data
 
+    @property
+    def count(self) -> np.ndarray:
+        """How many edges each node has."""
+        return self._count.data
+
     @property
     def cum(self) -> np.ndarray:
         """Cumulated conditional probability of each edge; 2 for a node's last."""
@@ -234,7 +240,7 @@ class Bank:
 
     @property
     def others(self) -> np.ndarray:
-        """Log of the conditional probability of a node's other edges."""
+        """Log of the conditional probability that a node's likeliest edge leaves to the others; known of those edges alone."""
         return self._others.data
 
     @property
@@ -248,16 +254,13 @@ class Bank:
 
     def nodes(self, units: list[str]) -> np.ndarray:
         """The root node of each unit; new units get lattices."""
-        got = list(map(self.types.get, units))
-        if None in got:
-            missing = [i for i, x in enumerate(got) if x is None]
+        new = [u for u in dict.fromkeys(units) if u not in self.types]
+        if new:
             if len(self._cum) > BANK_EDGES:
                 self.clear()
-                missing = range(len(units))
-            self._add(list(dict.fromkeys([units[i] for i in missing])))
-            for i in missing:
-                got[i] = self.types[units[i]]
-        return np.array(got, np.int64)
+                new = list(dict.fromkeys(units))
+            self._add(new)
+        return np.fromiter(map(self.types.__getitem__, units), np.int64, len(units))
 
     def _add(self, new: list[str]) -> None:
         n0, e0 = len(self._first), len(self._cum)
@@ -315,26 +318,27 @@ class Bank:
         logc = np.minimum(logp + beta[dst] - beta[src], 0.0)
         heads = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]]))
         times = np.diff(np.append(heads, len(src)))
-        # beside a node's likeliest edge the others are summed, beside another edge they are what it leaves
-        number = np.repeat(np.arange(len(heads)), times)
-        best = np.full(len(heads), -1)
-        is_top = np.flatnonzero(logc == np.maximum.reduceat(logc, heads)[number])[::-1] if len(heads) else np.empty(0, np.int64)
-        best[number[is_top]] = is_top
-        rest = logc.copy()
-        rest[best] = -np.inf
-        most = np.maximum.reduceat(rest, heads) if len(heads) else rest
-        some = np.isfinite(most)
-        safe = np.where(some, most, 0.0)
-        with np.errstate(divide="ignore"):
-            summed = np.where(some, safe + np.log(np.add.reduceat(np.exp(rest - safe[number]), heads)), -np.inf) if len(heads) else most
-            others = np.log(-np.expm1(np.minimum(logc, -0.1)))
-        others[best] = summed
-        sums = np.cumsum(np.exp(logc))
+        # what a node's likeliest edge leaves, as the sum of the others
+        share = np.exp(logc)
+        sums = np.cumsum(share)
+        others = np.full(len(src), -np.inf)
+        if len(heads):
+            number = np.repeat(np.arange(len(heads)), times)
+            best = np.empty(len(heads), np.int64)
+            is_top = np.flatnonzero(logc == np.maximum.reduceat(logc, heads)[number])[::-1]
+            best[number[is_top]] = is_top
+            share[best] = 0.0
+            with np.errstate(divide="ignore"):
+                others[best] = np.log(np.add.reduceat(share, heads))
+            for i in np.flatnonzero((times > 1) & np.isinf(others[best])).tolist():  # too little to be summed but as logs
+                beside = np.delete(logc[heads[i] : heads[i] + times[i]], best[i] - heads[i])
+                others[best[i]] = np.logaddexp.reduce(beside)
         cum = sums - np.repeat(np.concatenate([[0.0], sums])[heads], times)
         cum[np.append(heads[1:], len(src)) - 1] = 2.0
-        first = np.full(n, -1, np.int32)
+        first, count = np.full(n, -1, np.int32), np.zeros(n, np.int32)
         first[src[heads]] = heads + e0
-        for rows, more in ((self._first, first), (self._cum, cum), (self._logc, logc), (self._others, others), (self._target, dst + n0), (self._piece, piece)):
+        count[src[heads]] = times
+        for rows, more in ((self._first, first), (self._count, count), (self._cum, cum), (self._logc, logc), (self._others, others), (self._target, dst + n0), (self._piece, piece)):
             rows.add(more)
 
     def walk(self, root: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -384,7 +388,7 @@ class Bank:
         """The log of what each path leaves of its unit: at each step the other edges, after the steps before."""
         with np.errstate(divide="ignore", invalid="ignore"):
             out = np.log(-np.expm1(logp))
-        near = np.flatnonzero(logp > -1e-3)  # what a whole leaves is rounded away there
+        near = np.flatnonzero(logp > -1e-3)  # what a whole leaves is rounded away there; its edges are all the likeliest
         if len(near):
             c = count[near]
             here = np.cumsum(c) - c
@@ -429,25 +433,18 @@ class Taken:
         self.node, self.below, self.free = [root], [{}], [0.0]
         self.add(path)
 
-    def _edges(self, node: int) -> range:
+    def _weights(self, i: int) -> tuple[int, list[float]]:
+        """The first edge of a node of the trie, and the log of what is free behind each edge."""
+        node, below = self.node[i], self.below[i]
         first = int(self.bank.first[node])
-        if first < 0:
-            return range(0)
-        last = first
-        while self.bank.cum[last] < 2.0:
-            last += 1
-        return range(first, last + 1)
-
-    def _weights(self, i: int) -> tuple[range, list[float]]:
-        edges = self._edges(self.node[i])
-        below, free = self.below[i], self.free
-        logc = self.bank.logc[edges.start : edges.stop].tolist()
-        return edges, [c + free[below[e]] if e in below else c for e, c in zip(edges, logc, strict=True)]
+        weights = self.bank.logc[first : first + int(self.bank.count[node])].tolist() if first >= 0 else []
+        for e, child in below.items():
+            weights[e - first] += self.free[child]
+        return first, weights
 
     def add(self, path) -> None:
         walked, i = [0], 0
-        for e in path:
-            e = int(e)
+        for e in np.asarray(path).tolist():
             if e not in self.below[i]:
                 self.below[i][e] = len(self.node)
                 self.node.append(int(self.bank.target[e]))
@@ -467,7 +464,7 @@ class Taken:
             return None
         path, i, t = [], 0, 0
         while True:  # as long as the path follows taken ones
-            edges, weights = self._weights(i)
+            first, weights = self._weights(i)
             top = max(weights)
             share = [math.exp(w - top) for w in weights]
             u = _uniform(seed, t) * sum(share)
@@ -477,7 +474,7 @@ class Taken:
                 k += 1
             while share[k] == 0.0:  # rounding at the upper end
                 k -= 1
-            e = edges[k]
+            e = first + k
             path.append(e)
             t += 1
             if e not in self.below[i]:
