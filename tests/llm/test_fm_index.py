@@ -64,6 +64,31 @@ def test_odd_rows_in_blocks_and_shards(spark, odd, block_bytes, shard_bytes):
     assert not any(r["contaminated"] for r in fm_index.contamination(d, b.limit(0)).collect())
 
 
+@pytest.mark.parametrize("block_bytes", [10**7, 1])
+def test_windows_that_meet_across_blocks_go_too(spark, block_bytes):
+    """What the cut of one block's window brings together is another block's window."""
+    items = [("a", "aa bb cc"), ("b", "xx yy"), ("c", "dd ee"), ("d", "x1 aa")]
+    docs = [("1", "p aa bb xx yy cc q"), ("2", "dd xx yy ee"), ("3", "x1 dd aa bb xx yy cc ee aa z"), ("4", "aa bb"), (None, "xx yy o"), ("1", "xx")]
+    d = spark.createDataFrame(docs, "doc_id string, text string")
+    b = spark.createDataFrame(items, "item_id string, text string")
+    got = fm_index.remove_spans(d, b, block_bytes=block_bytes).collect()
+    assert sorted(((r["doc_id"], r["text"].split()) for r in got), key=str) == sorted([("1", ["p", "q"]), ("3", ["z"]), ("4", ["aa", "bb"]), (None, ["o"]), ("1", ["xx"])], key=str)
+    found = queries.contamination_digest(fm_index.contamination(d, b, block_bytes=block_bytes)).collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute(docs, items)
+
+
+def test_n_blocks_need_one_index_of_each_shard(spark, odd, monkeypatch):
+    """The corpus is read and indexed once however many blocks there are; blocks ask the written indexes."""
+    docs, items = odd
+    calls = []
+    plain = fm_index._indexed
+    monkeypatch.setattr(fm_index, "_indexed", lambda *a: calls.append(1) or plain(*a))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert fm_index.Benchmark(b, "item_id", "text", 10, 40).n_blocks > 3
+    fm_index.contamination(spark.createDataFrame(docs, "doc_id long, text string"), b, block_bytes=40).collect()
+    assert len(calls) == 1
+
+
 def test_removal_leaves_no_window_and_clean_texts_as_they_are(spark, odd):
     docs, items = odd
     d = spark.createDataFrame([(k, t, len(t or "")) for k, t in docs], "doc_id long, text string, n_chars long")
@@ -82,7 +107,7 @@ def test_removal_leaves_no_window_and_clean_texts_as_they_are(spark, odd):
 def test_index_counts_and_locates(seed):
     rng = np.random.default_rng(seed)
     text = rng.integers(0, 4, rng.integers(1, 400))
-    index = fm_index.FMIndex(text, 5)
+    index = fm_index.FMIndex.load(fm_index.FMIndex.of(text, 5).dump())
     phrases = rng.integers(1, 6, (50, 4))
     lengths = rng.integers(1, 5, 50)
     low, high = index.search(phrases, lengths)
