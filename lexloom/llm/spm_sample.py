@@ -16,6 +16,7 @@ row key, the sample's number and the place, so partitions and batches don't chan
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import math
@@ -273,33 +274,33 @@ class Bank:
         room = (begin + size)[unit] - np.arange(len(code))
         node = np.arange(len(code)) + unit  # each unit has one node more than characters
         self.types.update(zip(new, (begin + np.arange(len(new)) + n0).tolist(), strict=True))
-        src, span, piece, logp = [], [], [], []
+        found: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []  # nodes, length, pieces, log-probabilities
         single = np.zeros(len(code), bool)
         for d, at, ids in self.matcher.matches(code, room):
             if d == 1:
                 single[at] = True
-            src.append(node[at])
-            span.append(np.full(len(at), d))
-            piece.append(ids)
-            logp.append(self.vocabulary.logp[ids])
+            found.append((node[at], d, ids, self.vocabulary.logp[ids]))
         odd = np.flatnonzero(~single)
         c = code[odd].astype(np.int64)
         n_bytes = np.where(c == ord(_LITERAL), 3, 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
-        src.append(node[odd])
-        span.append(np.ones(len(odd), np.int64))
-        piece.append(-1 - c)
-        logp.append(n_bytes * self.vocabulary.byte_logp)
-        src, span, piece, logp = (np.concatenate(x) for x in (src, span, piece, logp))
-        logp = logp * self.theta
-        # backward sums, by distance from the unit's end
+        found.append((node[odd], 1, (-1 - c).astype(np.int32), n_bytes * self.vocabulary.byte_logp))
+        # edges by their node's distance from the unit's end; a node's longest pieces come first
         n = len(code) + len(new)
-        end = np.cumsum(size + 1) - 1
-        far = np.empty(n, np.int64)
-        far[:] = np.repeat(end, size + 1) - np.arange(n)
-        longest = self.matcher.longest
-        order = np.argsort((far[src] * n + src) * (longest + 1) + longest - span)  # a node's longest pieces come first
-        src, piece, logp = src[order], piece[order], logp[order]
-        dst = src + span[order]
+        far = np.repeat(np.cumsum(size + 1) - 1, size + 1) - np.arange(n)
+        order = np.argsort(far.astype(np.uint16) if far.max() < 65536 else far, kind="stable")
+        out = np.zeros(n, np.int64)
+        for at, _, _, _ in found:
+            out[at] += 1
+        free = np.empty(n, np.int64)
+        free[order] = np.cumsum(out[order]) - out[order]  # where a node's next edge goes
+        m = int(out.sum())
+        src, dst, piece, logp = np.empty(m, np.int64), np.empty(m, np.int64), np.empty(m, np.int32), np.empty(m)
+        for at, d, ids, lp in sorted(found, key=lambda f: -f[1]):
+            to = free[at]
+            free[at] = to + 1
+            src[to], dst[to], piece[to], logp[to] = at, at + d, ids, lp
+        logp *= self.theta
+        # backward sums
         beta = np.zeros(n)
         level = far[src]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(level)) + 1, [len(src)]]) if len(src) else np.zeros(1, np.int64)
@@ -430,31 +431,33 @@ class Taken:
 
     def __init__(self, bank: Bank, root: int, path) -> None:
         self.bank = bank
-        self.node, self.below, self.free = [root], [{}], [0.0]
+        self.first, self.below, self.free, self.weights = [], [], [], []
+        self._node(root)
         self.add(path)
 
-    def _weights(self, i: int) -> tuple[int, list[float]]:
-        """The first edge of a node of the trie, and the log of what is free behind each edge."""
-        node, below = self.node[i], self.below[i]
+    def _node(self, node: int) -> int:
+        """A new node of the trie: its first edge, and the log of what is free behind each of its edges."""
         first = int(self.bank.first[node])
-        weights = self.bank.logc[first : first + int(self.bank.count[node])].tolist() if first >= 0 else []
-        for e, child in below.items():
-            weights[e - first] += self.free[child]
-        return first, weights
+        self.first.append(first)
+        self.weights.append(self.bank.logc[first : first + int(self.bank.count[node])].tolist() if first >= 0 else [])
+        self.below.append({})
+        self.free.append(0.0)
+        return len(self.first) - 1
 
     def add(self, path) -> None:
-        walked, i = [0], 0
-        for e in np.asarray(path).tolist():
+        path = np.asarray(path).tolist()
+        walked, i, own = [0], 0, self.bank.logc[path].tolist()
+        for e in path:
             if e not in self.below[i]:
-                self.below[i][e] = len(self.node)
-                self.node.append(int(self.bank.target[e]))
-                self.below.append({})
-                self.free.append(0.0)
+                self.below[i][e] = self._node(int(self.bank.target[e]))
             i = self.below[i][e]
             walked.append(i)
-        for i in reversed(walked):
-            weights = self._weights(i)[1]
-            top = max(weights, default=-math.inf)
+        self.free[i] = -math.inf
+        for at in range(len(path) - 1, -1, -1):
+            i, e = walked[at], path[at]
+            weights = self.weights[i]
+            weights[e - self.first[i]] = own[at] + self.free[walked[at + 1]]
+            top = max(weights)
             self.free[i] = top + math.log(sum([math.exp(w - top) for w in weights])) if top > -math.inf else -math.inf
 
     def sample(self, seed: int) -> tuple[list[int], float] | None:
@@ -464,7 +467,7 @@ class Taken:
             return None
         path, i, t = [], 0, 0
         while True:  # as long as the path follows taken ones
-            first, weights = self._weights(i)
+            first, weights = self.first[i], self.weights[i]
             top = max(weights)
             share = [math.exp(w - top) for w in weights]
             u = _uniform(seed, t) * sum(share)
@@ -538,11 +541,33 @@ def units_of(text: str) -> list[str]:
     return [u[1:] for u in _UNITS.findall(" " + text)]
 
 
+def roots_of(texts: list[str], bank: Bank) -> tuple[np.ndarray, np.ndarray]:
+    """How many units each text has, and the root nodes of all units in order.
+
+    Texts whose spaces stand alone between words are cut and told apart by Arrow; only distinct units become
+    strings here. The others go by units_of().
+    """
+    column = pa.array(texts, pa.string())
+    plain = pc.invert(pc.or_(pc.match_substring_regex(column, "^ |  | $|^$"), pc.match_substring(column, SPACE)))
+    parts = pc.split_pattern(column.filter(plain), " ")
+    coded = parts.flatten().dictionary_encode()
+    is_plain = plain.to_numpy(zero_copy_only=False)
+    odd = [units_of(texts[i]) for i in np.flatnonzero(~is_plain).tolist()]
+    sizes = np.empty(len(texts), np.int64)
+    sizes[is_plain] = np.diff(parts.offsets.to_numpy())
+    sizes[~is_plain] = [len(u) for u in odd]
+    distinct = coded.dictionary.to_pylist()
+    nodes = bank.nodes([*distinct, *(u for units in odd for u in units)])
+    from_plain = np.repeat(is_plain, sizes)
+    root = np.empty(len(from_plain), np.int64)
+    root[from_plain] = nodes[: len(distinct)][coded.indices.to_numpy()]
+    root[~from_plain] = nodes[len(distinct) :]
+    return sizes, root
+
+
 def sample(texts: list[str], seeds: np.ndarray, bank: Bank, k: int) -> Samples:
     """Up to k distinct segmentations of each text, best perturbed score first."""
-    cut = [units_of(t) for t in texts]
-    sizes = np.array([len(c) for c in cut], np.int64)
-    root = bank.nodes([u for c in cut for u in c]) if sizes.sum() else np.empty(0, np.int64)
+    sizes, root = roots_of(texts, bank)
     begin = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(len(texts)), sizes)
     place = np.arange(len(root)) - begin[doc]
@@ -724,15 +749,19 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
                 cols.append(pa.array(back, pa.string()))
             return pa.RecordBatch.from_arrays(cols, names=names)
 
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            lo, size = 0, 0
-            for i, n in enumerate(pc.binary_length(texts).to_pylist()):
-                size += n or 0
-                if size >= BATCH_CHARS or i + 1 == len(texts):
-                    n_rows = i + 1 - lo
-                    yield rows(keys.slice(lo, n_rows), [t or "" for t in texts.slice(lo, n_rows).to_pylist()])
-                    lo, size = i + 1, 0
+        gc.disable()  # what is made here has no cycles, and there is much of it
+        try:
+            for batch in batches:
+                keys, texts = batch.column(0), batch.column(1)
+                lo, size = 0, 0
+                for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+                    size += n or 0
+                    if size >= BATCH_CHARS or i + 1 == len(texts):
+                        n_rows = i + 1 - lo
+                        yield rows(keys.slice(lo, n_rows), [t or "" for t in texts.slice(lo, n_rows).to_pylist()])
+                        lo, size = i + 1, 0
+        finally:
+            gc.enable()
 
     names = [key, "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_sha256", "round_trip"]
     schema = f"`{key}` {kind}, sample int, n_pieces bigint, log_prob double, perturbed double, inclusion double, ids_sha256 string, round_trip boolean"
