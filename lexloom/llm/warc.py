@@ -5,8 +5,12 @@ any store Spark reaches and only committed tasks leave files. That writer ends e
 separator; a member's last byte is the top byte of its length, which is zero below 16 MB, so the row is the
 member without it and the separator is a zero byte. A larger record is followed by an empty member.
 
-Reading: archives are read front to back. Each member is inflated piece by piece, the header is parsed as
-soon as it is complete, the block is framed by Content-Length, and its digests are verified.
+Files are bounded by bytes: records go by size classes, and each class has as many records a file as the bound
+holds of its largest; only a record beyond the bound has a larger file, of its own.
+
+Reading: archives are opened as streams and read front to back, one record in memory at a time. Each member is
+inflated piece by piece, the header is parsed as soon as it is complete, the block is framed by
+Content-Length, and its digests are verified. A store that Python cannot open is read by Spark, file by file.
 """
 
 from __future__ import annotations
@@ -23,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import checkpointed, shared_dir
+from lexloom.llm.common import Scratch, remove_at_end, shared_dir, shuffles_end
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 16
+#: Bytes of records in a file, uncompressed, and the limits of the size classes.
+FILE_BYTES, CLASSES = 1 << 26, (1 << 15, 1 << 20, 1 << 23)
 #: Upper 64 bits of record ids, so that a page's id can be read from its record's; the other is for rows without an id.
 _PAGE, _NONE = 0x6C65786C6F6F4D01, 0x6C65786C6F6F4D02
 
@@ -145,75 +151,114 @@ def read(stream, chunk: int = CHUNK) -> Iterator[Record]:
         yield found
 
 
-def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, max_records: int = 2000, level: int = 3) -> None:
-    """Archives of a record for each row under path, with at most max_records records a file.
+def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, file_bytes: int = FILE_BYTES, level: int = 3) -> None:
+    """Archives of a record for each row below path, with payloads of file_bytes a file at most, or one record.
 
     Of rows with equal payloads of at least min_bytes, that with the largest key is the response and the
     others revisit it; rows that repeat that key are responses too. A null payload is empty, a null url
     is left out, and a row with a null key revisits another's response or, with none, is a response.
-    No group of equal payloads is gathered: keys are summed before the shuffle and joined back.
+    No group of equal payloads is gathered: keys are summed before the shuffle and joined back. Tables whose
+    payloads are of one size class are written in one go, others once for each class.
     """
+    scratch = Scratch(pages.sparkSession)
     body = F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{url}`").alias("url"), body.alias("body"))
     digest = [F.sha1("body").alias("sha1"), F.octet_length("body").alias("n")]
+    limits = [min(c, file_bytes) for c in CLASSES]
+    size_class = lambda n: sum((n > c).cast("int") for c in limits)
+    sizes = {r["c"] for r in rows.select(size_class(F.octet_length("body")).alias("c")).distinct().collect()}
     equal = rows.select("k", *digest).filter(F.col("n") >= min_bytes).groupBy("sha1", "n").agg(F.max("k").alias("top"), F.count("*").alias("m"))
-    equal = checkpointed(equal.filter("m > 1").select("sha1", "n", "top"))
+    equal = scratch.keep(equal.filter("m > 1").select("sha1", "n", "top"))
     joined = rows.select("*", *digest).join(equal, ["sha1", "n"], "left")
     again = F.col("top").isNotNull() & ~F.col("k").eqNullSafe(F.col("top"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 16):
+                part = batch.slice(at, 16)
                 cols = [part.column(i).to_pylist() for i in range(5)]
                 got = [member(record(k, u, b, top, is_again), level)[:-1] for k, u, b, top, is_again in zip(*cols, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], names=["value"])
 
-    rows_out = joined.select("k", "url", "body", "top", again.alias("again")).mapInArrow(packed, "value binary")
-    rows_out.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", max_records).mode("error").text(path)
+    with shuffles_end(pages.sparkSession):
+        for i, most in enumerate([*(file_bytes // c for c in limits), 1]):
+            if i in sizes or not (i or sizes):
+                some = joined.filter(size_class(F.col("n")) == i) if len(sizes) > 1 else joined
+                out = some.select("k", "url", "body", "top", again.alias("again")).mapInArrow(packed, "value binary")
+                out.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", max(1, most)).mode("error").text(f"{path}/class-{i}")
+
+
+def _open(url: str):
+    """A stream of a file that Spark named."""
+    if url.startswith("file:"):
+        return open("/" + url.removeprefix("file:").lstrip("/"), "rb")
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(url)
+    return system.open_input_stream(at, compression=None)
+
+
+def _opens(url: str) -> bool:
+    try:
+        with _open(url) as stream:
+            stream.read(1)
+    except (OSError, ValueError, ImportError):
+        return False
+    return True
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the archives under path: record_id, page_id, record_type, url, refers_to,
     payload_bytes, payload_digest and payload (null for a revisit). An archive that is damaged fails the read.
+
+    Where the driver can open the first file by itself, tasks open theirs as streams, of any length; elsewhere
+    Spark reads each file whole.
     """
+    names = ["record_id", "page_id", "record_type", "url", "refers_to", "payload_bytes", "payload_digest", "payload"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+
+    def row(found: Record) -> tuple:
+        h, (http, body) = found.headers, found.http
+        revisit = h["warc-type"] == "revisit"
+        return (
+            h["warc-record-id"],
+            page_of(h["warc-record-id"]),
+            h["warc-type"],
+            h.get("warc-target-uri"),
+            page_of(h["warc-refers-to"]) if revisit else None,
+            int(http["content-length"]) if revisit else len(body),
+            h["warc-payload-digest"].removeprefix("sha1:") if revisit else base32_sha1(body),
+            None if revisit else body,
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["record_id", "page_id", "record_type", "url", "refers_to", "payload_bytes", "payload_digest", "payload"]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         for batch in batches:
             for i in range(batch.num_rows):
+                one = batch.column(0)[i]
                 rows, size = [], 0
-                for found in read(io.BytesIO(memoryview(batch.column(0)[i].as_buffer()))):
-                    h, (http, body) = found.headers, found.http
-                    revisit = h["warc-type"] == "revisit"
-                    rows.append(
-                        (
-                            h["warc-record-id"],
-                            page_of(h["warc-record-id"]),
-                            h["warc-type"],
-                            h.get("warc-target-uri"),
-                            page_of(h["warc-refers-to"]) if revisit else None,
-                            int(http["content-length"]) if revisit else len(body),
-                            h["warc-payload-digest"].removeprefix("sha1:") if revisit else base32_sha1(body),
-                            None if revisit else body,
-                        )
-                    )
-                    size += len(body)
-                    if size > 8_000_000 or len(rows) >= 2000:
-                        yield flush()
-                        rows, size = [], 0
+                with _open(one.as_py()) if streamed else io.BytesIO(memoryview(one.as_buffer())) as stream:
+                    for found in read(stream):
+                        rows.append(row(found))
+                        size += len(found.block)
+                        if size > 8_000_000 or len(rows) >= 2000:
+                            yield flush(rows)
+                            rows, size = [], 0
                 if rows:
-                    yield flush()
+                    yield flush(rows)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, "record_id string, page_id bigint, record_type string, url string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    first = files.select("path").head()
+    streamed = first is not None and _opens(first[0])
+    return files.select("path" if streamed else "content").mapInArrow(
+        run, "record_id string, page_id bigint, record_type string, url string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
+    )
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """read_archives() of what write() made of pages, in a new folder below the shared one."""
+    """read_archives() of what write() made of pages, in a new folder below the shared one, which goes when the driver ends."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    remove_at_end(spark, path)
     write(pages, path, **options)
     return read_archives(spark, path)

@@ -4,6 +4,7 @@ import hashlib
 import io
 import zlib
 
+import numpy as np
 import pytest
 
 from lexloom.llm import queries, warc
@@ -35,12 +36,35 @@ ODD = [(1, "u", "same"), (2, None, "same"), (2, "v", "same"), (None, "w", "same"
 @pytest.mark.parametrize("least", [0, 5])
 def test_odd_rows(spark, least):
     pages = spark.createDataFrame([(*r, "extra") for r in ODD], "page_id long, url string, html string, record_type string")
-    got = warc.round_trip(pages, min_bytes=least, max_records=3).collect()
+    got = warc.round_trip(pages, min_bytes=least, file_bytes=100_000).collect()
     assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=str) == brute(ODD, least)
     assert {r["url"] for r in got} == {"u", None, "v", "w", "x%0D%0Ay", "z", "ü", "s", "big"}
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
+def test_files_are_bounded_by_bytes_and_read_as_streams(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(0)
+    rows = [(i, "u", rng.bytes(int(n)).hex()) for i, n in enumerate([*rng.integers(0, 2000, 300), *rng.integers(9_000, 14_000, 20), 60_000, 400_000])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    bound = 50_000
+    monkeypatch.setattr(warc, "CLASSES", (5_000, 30_000, 40_000))
+    warc.write(pages, f"file://{tmp_path}/a", file_bytes=bound)
+    found = {}
+    for path in tmp_path.glob("a/*/part-*"):
+        records = list(warc.read(open(path, "rb")))
+        payloads = [len(r.http[1]) for r in records]
+        assert sum(payloads) <= bound or len(payloads) == 1
+        found |= {warc.page_of(r.headers["warc-record-id"]): r.http[1].decode() for r in records}
+    assert found == {k: html for k, _, html in rows}
+    got = warc.read_archives(spark, f"file://{tmp_path}/a")
+    assert "content" not in got._jdf.queryExecution().executedPlan().toString()  # no file is read into a row
+    assert {r["page_id"]: r["payload"].decode() for r in got.collect()} == found
+    monkeypatch.setattr(warc, "_opens", lambda url: False)  # a store that only Spark can open
+    whole = warc.read_archives(spark, f"file://{tmp_path}/a")
+    assert "content" in whole._jdf.queryExecution().executedPlan().toString()
+    assert {r["page_id"]: r["payload"].decode() for r in whole.collect()} == found
+
+
 def test_members_are_plain_gzip_of_one_record_each():
     data = [warc.record(i, "u", b"x" * i) for i in range(3)]
     archive = b"".join(warc.member(d) for d in data)
