@@ -1,8 +1,10 @@
 """Chat formatting: a finite-state machine over roles, driven by a declarative template.
 
-Turns come sorted, so a conversation is walked once with constant state however long it is; nothing
-gathers a conversation. Each turn becomes segments of text with a loss flag, and the formatted text is
-their concatenation. Control strings inside texts are escaped reversibly, so the output can be read back.
+Each turn becomes segments of text with a loss flag, and the formatted text is their concatenation. Control
+strings inside texts are escaped reversibly, so the output can be read back. What a turn becomes depends on
+that turn alone; only the order of roles and the digests of a conversation need its turns one after the
+other. So digests() formats and reads back before the shuffle, wherever a turn lies, and a conversation's own
+task only walks the machine and hashes, with constant state however long it is; nothing gathers a conversation.
 """
 
 from __future__ import annotations
@@ -87,10 +89,14 @@ class Machine:
     def __init__(self, template: Template) -> None:
         self.template, self.state, self.valid = template, template.start, True
 
-    def turn(self, role: str, text: str) -> list[Segment]:
+    def step(self, role: str) -> Turn | None:
         known = self.template.turns.get(role)
         self.valid = self.valid and known is not None and self.state in known.follows
         self.state = role
+        return known
+
+    def turn(self, role: str, text: str) -> list[Segment]:
+        known = self.step(role)
         body = self.template.escaped(text)
         if known:
             return [Segment(known.before, False), Segment(body, known.loss), Segment(known.after, False)]
@@ -131,15 +137,40 @@ class Reader:
         self.rest = self.rest[at:]
 
 
-def _sorted(turns: DataFrame) -> DataFrame:
+def _plain(turns: DataFrame) -> DataFrame:
+    return turns.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _sorted(plain: DataFrame) -> DataFrame:
     """Turns of a conversation together and in order: by turn, then role, then text."""
-    cols = turns.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return cols.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return plain.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
 def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        yield from zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _read_back(plain: DataFrame, template: Template) -> DataFrame:
+    """(conv_id, turn, role, text, loss, chars): each turn as it is read back from its segments, and the characters of those."""
+    names = ["conv_id", "turn", "role", "text", "loss", "chars"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, reader = Machine(template), Reader(template)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part, found, chars = batch.slice(at, 4096), [], []
+                for _, turn, role, text in _walk([part]):
+                    piece = "".join(s.text for s in machine.turn(role, text))
+                    back = list(reader.feed(piece))
+                    if len(back) != 1 or reader.rest:
+                        raise ValueError(f"turn {turn}: the formatted text can't be read back")
+                    found += back
+                    chars.append(len(piece))
+                cols = [pa.array([b[i] for b in found], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols, pa.array(chars, pa.int64())], names=names)
+
+    return plain.mapInArrow(run, "conv_id bigint, turn bigint, role string, text string, loss boolean, chars bigint")
 
 
 def segments(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
@@ -167,32 +198,27 @@ def segments(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
         if rows:
             yield flush()
 
-    return _sorted(turns).mapInArrow(run, "conv_id bigint, turn bigint, part int, text string, loss boolean, valid boolean")
+    return _sorted(_plain(turns)).mapInArrow(run, "conv_id bigint, turn bigint, part int, text string, loss boolean, valid boolean")
 
 
 def digests(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
-    """One row for each conversation, read back from what segments() would emit; nulls and ties as there.
+    """One row for each conversation, read back from what segments() emits; nulls and ties as there.
 
     n_turns, turns_sha256 (role, newline, text, newline of each turn), loss_chars and loss_sha256 (the
-    text under the loss mask, unescaped), formatted_chars, formatted_sha256, valid (turns in an allowed
-    order that ends on a final role).
+    text under the loss mask, unescaped), formatted_chars, valid (turns in an allowed order that ends on a
+    final role).
     """
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "formatted_sha256", "valid"]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def fresh():
-            return Machine(template), Reader(template), hashlib.sha256(), hashlib.sha256(), hashlib.sha256(), [0, 0, 0]
-
         def row():
-            if reader.rest:
-                raise ValueError(f"conversation {now}: the formatted text can't be read back")
-            return (now, n[0], all_turns.hexdigest(), n[1], lossy.hexdigest(), n[2], whole.hexdigest(), machine.complete)
+            return (now, n[0], all_turns.hexdigest(), n[1], lossy.hexdigest(), n[2], machine.complete)
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array(c) if i else pa.array(c, pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], names=names)
 
         started, now, rows = False, None, []
-        for conv, _, role, text in _walk(batches):
+        for conv, _, role, text, loss, chars in _walk(batches):
             if not started or conv != now:
                 if started:
                     rows.append(row())
@@ -200,20 +226,19 @@ def digests(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
                         yield flush()
                         rows = []
                 started, now = True, conv
-                machine, reader, all_turns, lossy, whole, n = fresh()
-            piece = "".join(s.text for s in machine.turn(role, text))
-            whole.update(piece.encode("utf-8", "surrogatepass"))
-            n[2] += len(piece)
-            for back_role, back_text, loss in reader.feed(piece):
-                n[0] += 1
-                all_turns.update(f"{back_role}\n{back_text}\n".encode("utf-8", "surrogatepass"))
-                if loss:
-                    n[1] += len(back_text)
-                    lossy.update(back_text.encode("utf-8", "surrogatepass"))
+                machine, all_turns, lossy, n = Machine(template), hashlib.sha256(), hashlib.sha256(), [0, 0, 0]
+            machine.step(role)
+            data = text.encode("utf-8", "surrogatepass")
+            all_turns.update(role.encode("utf-8", "surrogatepass") + b"\n" + data + b"\n")
+            if loss:
+                n[1] += len(text)
+                lossy.update(data)
+            n[0] += 1
+            n[2] += chars
         if started:
             rows.append(row())
             yield flush()
 
-    return _sorted(turns).mapInArrow(
-        run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, formatted_sha256 string, valid boolean"
+    return _sorted(_read_back(_plain(turns), template)).mapInArrow(
+        run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean"
     )
