@@ -510,6 +510,13 @@ def _seeds(seed: np.ndarray, sample: int, place: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _seed(seed: int, sample: int, place: int) -> int:
+    """_seeds() of one text and place."""
+    x = seed ^ (sample + 1) * 0xD6E8FEB86659FD93 % 2**64
+    x = (x + place * 0xA0761D6478BD642F) * 0xE7037ED1A0B428DB % 2**64
+    return x ^ x >> 32
+
+
 @dataclass(order=True)
 class Bundle:
     """Segmentations that follow a sample before a unit and are none of taken there; least first, so negated."""
@@ -614,6 +621,9 @@ def sample(texts: list[str], seeds: np.ndarray, bank: Bank, k: int) -> Samples:
                 source.append(np.array(path, np.int32))
                 offset += len(path)
         flat = np.concatenate(source)
+        if s:  # in the order of units
+            here = np.cumsum(count) - count
+            start, flat = here, flat[np.repeat(start - here, count) + np.arange(int(count.sum()))]
         kept.append((start, count, flat))
         logps.append(logp)
         # bundles that the new paths leave behind at their fresh units
@@ -649,8 +659,8 @@ def sample(texts: list[str], seeds: np.ndarray, bank: Bank, k: int) -> Samples:
                 old.taken.add(path)
                 if old.taken.free[0] > -np.inf:
                     m = float(before[begin[d] + leave[d]]) + old.taken.free[0]
-                    noise = -np.log(float(uniform(_seeds(seeds[d : d + 1], s, np.array([sizes[d] + 1])), 0)[0]) + 2.0**-54)
-                    heapq.heappush(agenda[d], Bundle(-(m - float(np.log(np.exp(min(m - score[d], 700.0)) + noise))), old.sample, old.unit, old.taken))
+                    noise = -math.log(_uniform(_seed(int(seeds[d]), s, int(sizes[d]) + 1), 0) + 2.0**-54)
+                    heapq.heappush(agenda[d], Bundle(-(m - math.log(math.exp(min(m - score[d], 700.0)) + noise)), old.sample, old.unit, old.taken))
         # the next samples
         forced = {}
         if s + 1 < k:
@@ -659,7 +669,7 @@ def sample(texts: list[str], seeds: np.ndarray, bank: Bank, k: int) -> Samples:
                     got = heapq.heappop(agenda[d])
                     if not isinstance(got.taken, Taken):
                         got.taken = Taken(bank, int(root[begin[d] + got.unit]), got.taken)
-                    found = got.taken.sample(int(_seeds(seeds[d : d + 1], s + 1, np.array([got.unit]))[0]))
+                    found = got.taken.sample(_seed(int(seeds[d]), s + 1, got.unit))
                     if found:
                         forced[d] = (*found, got)
                         base[d], leave[d], score[d] = got.sample, got.unit, -got.minus
@@ -674,9 +684,7 @@ def sample(texts: list[str], seeds: np.ndarray, bank: Bank, k: int) -> Samples:
         a, b = int(begin[d]), int(begin[d] + sizes[d])
         for s in range(len(out.logp[d])):
             start, count, flat = kept[s]
-            c = count[a:b]
-            here = np.cumsum(c) - c
-            out.edges[d].append(flat[np.repeat(start[a:b] - here, c) + np.arange(int(c.sum()))])
+            out.edges[d].append(flat[int(start[a]) : int(start[b - 1] + count[b - 1])])
     return out
 
 

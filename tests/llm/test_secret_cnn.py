@@ -113,3 +113,17 @@ def test_recall_of_each_kind_without_a_floor():
     for k in range(5):
         keys = label & (kind == k)
         assert keys.sum() >= 40 and (p[keys] >= net.thresholds[k]).mean() >= 0.9
+
+
+def test_recall_on_the_secrets_planted_in_documents(spark):
+    """The values behind a name in the documents are keys: the network finds them by itself, and no word beside them."""
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    texts = [t for t in texts if any(k == 0 for _, k, _ in secret_cnn.base_spans(t))]
+    planted = hit = extra = 0
+    for text, spans in zip(texts, secret_cnn.scan(texts, secret_cnn.trained()), strict=True):
+        own = [(a, b) for a, k, b in spans if k == 0]
+        found = [(a, b) for a, k, b in spans if k == 3]
+        planted += len(own)
+        hit += sum(any(a <= x and y <= b for x, y in found) for a, b in own)
+        extra += sum(not any(a < y and x < b for a, k, b in spans if k < 3) for x, y in found)
+    assert planted >= 100 and hit >= 0.9 * planted and extra <= 0.01 * planted
