@@ -111,12 +111,38 @@ def extract_pages(files: DataFrame, extractors: dict[str, Callable[[bytes], list
     return files.select("path", "content", kind_of(F.col("path")).alias("kind")).mapInPandas(run, "path string, page int, native string, recognised string")
 
 
-def read_binary(spark: SparkSession, path: str, extractors=None, ocr_fix: bool = True) -> DataFrame:
-    """(path, text) of PDF and image files: valid native page text or else recognised, cleaned and corrected."""
-    files = spark.read.format("binaryFile").load(local_path(path)).select("path", "content")
+def _recognised(files: DataFrame, extractors, ocr_fix: bool) -> DataFrame:
+    """(path, modificationTime, length, text) of files with their content."""
+    told = ["path", "modificationTime", "length"]
     pages = extract_pages(files, extractors).withColumn("text", page_text(F.col("native"), F.col("recognised")))
     ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
     whole = pages.groupBy("path").agg(join_pages(F.transform(ordered, lambda p: p["text"])).alias("text"))
-    every = files.select("path").join(whole, "path", "left").select("path", F.coalesce("text", F.lit("")).alias("text"))
+    every = files.select(*told).join(whole, "path", "left").withColumn("text", F.coalesce("text", F.lit("")))
     cleaned = N.ocr_clean(F.col("text"))
-    return every.withColumn("text", N.glyphs(cleaned) if ocr_fix else cleaned).withColumn("low_quality", ~P.text_valid(F.col("text")))
+    return every.select(*told, (N.glyphs(cleaned) if ocr_fix else cleaned).alias("text"))
+
+
+def read_binary(spark: SparkSession, path: str, extractors=None, ocr_fix: bool = True, cache: str | None = None) -> DataFrame:
+    """(path, text, low_quality) of PDF and image files: valid native page text or else recognised, cleaned and corrected.
+
+    cache: a folder that keeps texts by path, time of change and length. Only files that are not there are opened
+    and recognised; an empty text is not kept, so such a file is tried again. The names of those files pass
+    through the driver, which lists the folder anyway.
+    """
+    load = lambda at: spark.read.format("binaryFile").load(at).select("path", "modificationTime", "length", "content")
+    place = local_path(path)
+    low = ~P.text_valid(F.col("text"))
+    if cache is None:
+        return _recognised(load(place), extractors, ocr_fix).select("path", "text").withColumn("low_quality", low)
+    key = ["path", "modificationTime", "length"]
+    held = spark.read.format("binaryFile").load(place).select(*key)
+    shape = "path string, modificationTime timestamp, length bigint, text string"
+    root = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    there = root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+    known = spark.read.schema(shape).parquet(cache) if there else spark.createDataFrame([], shape)
+    new = [r["path"] for r in held.join(known.select(*key), key, "left_anti").select("path").toLocalIterator()]
+    if new:
+        _recognised(load(new), extractors, ocr_fix).filter("text <> ''").write.mode("append").parquet(cache)
+        known = spark.read.schema(shape).parquet(cache) if there or root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root) else known
+    texts = known.groupBy(*key).agg(F.min("text").alias("text"))
+    return held.join(texts, key, "left").select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("low_quality", low)

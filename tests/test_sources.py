@@ -38,6 +38,33 @@ def test_binary_files_by_plug_in(spark, tmp_path, fake):
     assert got["b.png"]["low_quality"] and not got["a.PDF"]["low_quality"]
 
 
+def test_recognised_texts_are_kept(spark, tmp_path):
+    folder, cache, log = tmp_path / "in", f"file://{tmp_path}/cache", tmp_path / "log"
+    folder.mkdir()
+    (folder / "a.pdf").write_bytes(b"first text of it. ")
+    (folder / "b c.png").write_bytes(b"second text of it. ")
+
+    def run(content):
+        with open(log, "a") as f:
+            f.write(content.decode()[:6] + "|")
+        return [(content.decode() * 20, None)]
+
+    def read():
+        rows = binary.read_binary(spark, f"file://{folder}", {"pdf": run, "image": run}, cache=cache).collect()
+        asked = sorted(log.read_text().split("|")[:-1]) if log.exists() else []
+        log.unlink(missing_ok=True)
+        return {r["path"].split("/")[-1]: r["text"][:6] for r in rows}, asked
+
+    both = {"a.pdf": "first ", "b c.png": "second"}
+    assert read() == (both, ["first ", "second"])
+    assert read() == (both, [])
+    (folder / "a.pdf").write_bytes(b"third text, and a longer one. ")
+    (folder / "d.png").write_bytes(b"fourth text. ")
+    assert read() == ({"a.pdf": "third ", "b c.png": "second", "d.png": "fourth"}, ["fourth", "third "])
+    plain = binary.read_binary(spark, f"file://{folder}", {"pdf": run, "image": run}).collect()
+    assert {r["path"].split("/")[-1]: r["text"][:6] for r in plain} == {"a.pdf": "third ", "b c.png": "second", "d.png": "fourth"}
+
+
 def test_unknown_extensions_and_missing_libraries_fail(spark, tmp_path, fake):
     (tmp_path / "a.xyz").write_bytes(b"x")
     with pytest.raises(Exception, match="unsupported file type"):
