@@ -11,7 +11,8 @@ from lexloom.functions import detect, metrics
 from lexloom.functions import normalize as N
 from lexloom.functions import predicates as P
 from lexloom.functions import text as T
-from lexloom.operators import chunking, structure
+from lexloom.operators import chunking, models, structure
+
 
 def lit(s: str) -> str:
     """A literal; control characters are spelled by chr()."""
@@ -302,6 +303,65 @@ def valid_chunk(x: str) -> str:
     return f"(length({s}) >= 50 AND {n_tok(s)} >= 10 AND length({rep(s, r'[^\p{L}\p{N}]', '')})::DOUBLE / length({s}) >= 0.3::DOUBLE)"
 
 
+def told(x: str, tokens: int, so_far: str = "") -> str:
+    """What the extractive backend answers: the first three sentences as bullets, behind the summary so far if there is one."""
+    marked = f"regexp_replace({x}, {pat('([.!?]){s}+')}, '\\1' || chr(1), 'g')"
+    parts = f"list_filter(list_transform(string_split({marked}, chr(1)), lambda q: {strip('q')}), lambda q: q <> '')"
+    bullets_ = f"array_to_string(list_transform(({parts})[1:3], lambda q: CASE WHEN starts_with(q, '- ') THEN q ELSE '- ' || q END), chr(10))"
+    whole = f"CASE WHEN {so_far} <> '' THEN {so_far} || chr(10) || {bullets_} ELSE {bullets_} END" if so_far else bullets_
+    return chain(f"array_to_string(string_split({whole}, ' ')[1:{tokens}], ' ')", N.SUMMARY_CLEAN)
+
+
+def distinct_lines(x: str, key=lambda q: q) -> str:
+    """Lines whose key occurred before go; blank ones stay."""
+    kept = f"list_filter(string_split({x}, chr(10)), lambda l, i: {strip('l')} = '' OR list_position(list_transform(string_split({x}, chr(10)), lambda m: CASE WHEN {strip('m')} = '' THEN NULL ELSE {key(strip('m'))} END), {key(strip('l'))}) = i)"
+    return f"array_to_string({kept}, chr(10))"
+
+
+def chunk_summaries() -> str:
+    said = told(f"left(text, {models.CHUNK_CAP})", models.CHUNK_TOKENS)
+    return docs(
+        *chunk_steps(chunking.MIN_TOKENS),
+        f"u AS (SELECT doc_id, chunk_id, {said} AS summary FROM k)",
+        final=f"SELECT doc_id, chunk_id::BIGINT AS chunk_id, CASE WHEN length({strip('summary')}) > {models.MIN_SUMMARY} THEN summary END AS summary FROM u",
+    )
+
+
+def folded(start: str, step: list[tuple[str, str]], final: str) -> str:
+    """Texts of a conversation one after the other. start: the running text after the first; step: named stages of the
+    next, each of which may name those before, the last being the new running text; final: the last one tidied.
+    """
+    source = "(SELECT r.conv_id, r.i + 1 AS i, r.running, n.text FROM r JOIN n ON n.conv_id = r.conv_id AND n.i = r.i + 1)"
+    for name, value in step:
+        source = f"(SELECT *, {value} AS {name} FROM {source})"
+    return f"""WITH RECURSIVE n AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations WHERE text IS NOT NULL),
+    r(conv_id, i, running) AS (SELECT conv_id, 1::BIGINT, {start} FROM n WHERE i = 1 UNION ALL SELECT conv_id, i, {step[-1][0]} FROM {source}),
+    e AS (SELECT conv_id, max(i) AS n, arg_max(running, i) AS running FROM r GROUP BY conv_id)
+    {final}"""
+
+
+def merged_summaries() -> str:
+    run = f"left(running, {models.RUNNING_CAP})"
+    tidied = chain(strip(f"left(running, {models.FINAL_CAP})"), N.SUMMARY_CLEAN)
+    return folded("text", [("running2", told("text", models.REFINE_TOKENS, run))], f"SELECT conv_id, n::INT AS n, CASE WHEN n = 1 THEN running ELSE {tidied} END AS summary FROM e")
+
+
+def refined_fold() -> str:
+    new = f"left(text, {models.REFINE_CAP})"
+    run = f"left(running, {models.RUNNING_CAP})"
+    first = told(new, models.FIRST_TOKENS)
+    steps = [
+        ("fresh", f"CASE WHEN running = '' THEN {first} END"),
+        ("more", f"CASE WHEN running <> '' AND {strip('text')} <> '' THEN {told(new, models.REFINE_TOKENS, run)} END"),
+        ("running2", f"CASE WHEN running = '' THEN fresh WHEN more IS NULL THEN running ELSE {distinct_lines('more')} END"),
+    ]
+    tidied = chain(strip(f"left(running, {models.FINAL_CAP})"), N.SUMMARY_CLEAN)
+    loose = distinct_lines("t", lambda q: rep(f"lower({q})", LOOSE, ""))
+    return folded(
+        first, steps, f"SELECT conv_id, n::INT AS n, CASE WHEN {strip('running')} = '' THEN '' ELSE {loose} END AS summary FROM (SELECT *, {tidied} AS t FROM e)"
+    )
+
+
 def words_per_page(x: str) -> str:
     return f"({n_tok(x)}::DOUBLE / 300.0::DOUBLE)"
 
@@ -606,6 +666,9 @@ def sql() -> dict[str, str]:
         "metric_compression": docs(f"e AS (SELECT doc_id, text, {c} AS sm FROM d)", final=f"SELECT doc_id, round({compression('text', 'sm')}, 6) AS compression, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {compression('text', 'sm')} / 5.0::DOUBLE)), 6) AS score FROM e"),
         "metric_length_penalty": docs(f"e AS (SELECT doc_id, text, {c} AS sm FROM d)", final=f"SELECT doc_id, round({penalty('text', 'sm')}, 6) AS penalty FROM e"),
         "evaluate_summaries": evaluated(),
+        "chunk_summaries": chunk_summaries(),
+        "merge_summaries": merged_summaries(),
+        "refine_fold": refined_fold(),
         "pipeline_events": events("SELECT * FROM al"),
         "pipeline_event_counts": events("SELECT type, count(*) AS n FROM al GROUP BY type"),
         "semantic_dedup": greedy(0.15),
