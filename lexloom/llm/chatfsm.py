@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.common import slices
+
 
 @dataclass(frozen=True)
 class Turn:
@@ -158,8 +160,8 @@ def _read_back(plain: DataFrame, template: Template) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, reader = Machine(template), Reader(template)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part, found, chars = batch.slice(at, 4096), [], []
+            for part in slices(batch, 3, 4096):
+                found, chars = [], []
                 for _, turn, role, text in _walk([part]):
                     piece = "".join(s.text for s in machine.turn(role, text))
                     back = list(reader.feed(piece))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import put
+from lexloom.llm.common import put, slices
 from lexloom.llm.quality import STOP_WORDS
 
 _STOP = frozenset(" ".join(STOP_WORDS.values()).split())
@@ -253,8 +253,7 @@ def extract(pages: DataFrame, column: str = "html", rules: Rules = Rules()) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in slices(batch, at, 256):
                 texts = [main_text(p, rules) for p in part.column(at).to_pylist()]
                 cols = [part.column(i) for i in range(at)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])

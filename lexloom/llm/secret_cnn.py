@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lexloom.llm.common import slices
+
 KINDS = ("assign", "access", "hex", "network")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -306,8 +308,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", net:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in slices(batch, 1):
                 rows = scan(part.column(1).to_pylist(), shared.value)
                 counts = [pa.array([sum(k == kind for _, k, _ in spans) for spans in rows], pa.int64()) for kind in (0, 1, 2, 3)]
                 base = [hashlib.sha256(_named([s for s in spans if s[1] < 3]).encode()).hexdigest() for spans in rows]

@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Scratch
+from lexloom.llm.common import Scratch, slices
 from lexloom.llm.graph import components
 
 #: Fingerprints of a block of a cell; 48 bytes each.
@@ -98,13 +99,12 @@ def fingerprint_column(docs: DataFrame, key: str, text: str, size: int, words: i
         import xxhash
 
         for batch in batches:
-            texts = batch.column(1)
-            for at in range(0, len(texts), 512):
-                hashes = [shingle_hashes(x, size, xxhash.xxh64_intdigest) for x in texts.slice(at, 512).to_pylist()]
+            for part in slices(batch, 1):
+                hashes = [shingle_hashes(x, size, xxhash.xxh64_intdigest) for x in part.column(1).to_pylist()]
                 if distinct:
                     hashes = [np.unique(h) for h in hashes]
                 got = fingerprints(hashes, words).view(np.int64)
-                cols = [batch.column(0).slice(at, 512), *(pa.array(got[:, w]) for w in range(words))]
+                cols = [part.column(0), *(pa.array(got[:, w]) for w in range(words))]
                 if distinct:
                     sets = [xxhash.xxh64_intdigest(h.tobytes(), 42) if len(h) else None for h in hashes]
                     cols.insert(1, pa.array([x if x is None else x - 2**64 * (x >= 2**63) for x in sets], pa.int64()))
@@ -159,8 +159,13 @@ def _ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=1, dtype=np.int64)
 
 
-def linked(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) pairs that span the links inside cells. Rows are sorted by cell."""
+def _sides(table: pa.Table) -> np.ndarray:
+    """1 and 2 for the two sides of a pair of blocks, 0 for rows that all meet each other."""
+    return pc.add(pc.fill_null(pc.cast(table.column("side"), pa.int8()), -1), 1).to_numpy()
+
+
+def linked(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) pairs that span the links inside cells. Rows are sorted by cell; those of one side, 1 or 2, don't meet."""
     ids, local = np.unique(node, return_inverse=True)
     root = np.arange(len(ids))
     # a point: bit counts of segments; its Manhattan distance bounds the Hamming distance from below
@@ -182,6 +187,8 @@ def linked(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> t
         for lo in range(0, len(at), 200_000):
             i = at[lo : lo + 200_000]
             i = i[root[local[i]] != root[local[i + d]]]
+            if side is not None:
+                i = i[(side[i] == 0) | (side[i] != side[i + d])]
             i = i[np.abs(points[i] - points[i + d]).sum(axis=1, dtype=np.int64) <= radius]
             i = i[_ones(fp[i] ^ fp[i + d]) <= radius]
             root = _merged(root, local[i], local[i + d])
@@ -189,7 +196,7 @@ def linked(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> t
 
 def _meeting(rows: DataFrame, group: str, large: DataFrame) -> DataFrame:
     """rows (group, node, ...), those of large (group, blocks) once for each pair of blocks that theirs is in;
-    cell tells the group, or the pair.
+    cell tells the group, or the pair, and side which block of two a row is of: those of one side meet elsewhere.
     """
     rest = [c for c in rows.columns if c != group]
     own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
@@ -198,8 +205,8 @@ def _meeting(rows: DataFrame, group: str, large: DataFrame) -> DataFrame:
     return (
         rows.join(large, group, "left")
         .withColumn("__own", own)
-        .select(group, *rest, F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(meets)).alias("__m"))
-        .select(F.xxhash64(group, "__m.i", "__m.j").alias("cell"), *rest)
+        .select(group, "__own", *rest, F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(meets)).alias("__m"))
+        .select(F.xxhash64(group, "__m.i", "__m.j").alias("cell"), F.when(F.col("__m.i") != F.col("__m.j"), F.col("__own") == F.col("__m.i")).alias("side"), *rest)
     )
 
 
@@ -266,7 +273,7 @@ def links(points: DataFrame, words: int, radius: int, cells, carried: int | None
     large = sums.filter(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
 
     def judge(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, root = linked(table.column("cell").to_numpy(), table.column("node").to_numpy(), _prints(table, own), radius)
+        node, root = linked(table.column("cell").to_numpy(), table.column("node").to_numpy(), _prints(table, own), radius, _sides(table))
         far = node != root
         return node[far], root[far]
 
@@ -300,7 +307,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 #: Wide fingerprints: words of 64 bits, of which so many are compared within cells; texts and bytes of a block of the exact check.
-WIDE_WORDS, CARRIED, SIMILARITY, TEXT_BLOCK, TEXT_BYTES = 16, 4, 0.8, 2048, 8_000_000
+WIDE_WORDS, CARRIED, SIMILARITY, TEXT_BLOCK, TEXT_BYTES = 16, 4, 0.8, 512, 8_000_000
 
 
 def wide_radius(similarity: float, words: int, deviations: float = 3.3) -> int:
@@ -310,8 +317,8 @@ def wide_radius(similarity: float, words: int, deviations: float = 3.3) -> int:
     return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
 
-def alike(texts: list[str | None], node: np.ndarray, fp: np.ndarray, radius: int, size: int, similarity: float) -> tuple[list[int], list[int]]:
-    """Pairs of nodes that span the links between texts whose shingle sets have that Jaccard similarity."""
+def alike(texts: list[str | None], node: np.ndarray, fp: np.ndarray, radius: int, size: int, similarity: float, side: np.ndarray) -> tuple[list[int], list[int]]:
+    """Pairs of nodes that span the links between texts whose shingle sets have that Jaccard similarity; sides as in linked()."""
     import xxhash
 
     sets = [np.unique(shingle_hashes(t, size, xxhash.xxh64_intdigest)) for t in texts]
@@ -320,7 +327,7 @@ def alike(texts: list[str | None], node: np.ndarray, fp: np.ndarray, radius: int
     a, b = [], []
     for i in range(len(texts) - 1):
         far = _ones(fp[i + 1 :] ^ fp[i])
-        near = np.flatnonzero((far <= radius) & (root[i + 1 :] != root[i]) & (node[i + 1 :] != node[i]))
+        near = np.flatnonzero((far <= radius) & (root[i + 1 :] != root[i]) & (node[i + 1 :] != node[i]) & ((side[i] == 0) | (side[i + 1 :] != side[i])))
         near = near[np.argsort(far[near], kind="stable")] + i + 1  # the likeliest first: what they link needs no look
         near = near[np.minimum(n[near], n[i]) >= similarity * np.maximum(n[near], n[i])]
         step = 8
@@ -372,11 +379,12 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     def judge(table: pa.Table) -> tuple[list[int], list[int]]:
         cell, node, fp = table.column("cell").to_numpy(), table.column("node").to_numpy(), _prints(table, names)
+        side = _sides(table)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
         a, b = [], []
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if hi - lo > 1:
-                x, y = alike(table.column("text").slice(lo, hi - lo).to_pylist(), node[lo:hi], fp[lo:hi], whole, size, similarity)
+                x, y = alike(table.column("text").slice(lo, hi - lo).to_pylist(), node[lo:hi], fp[lo:hi], whole, size, similarity, side[lo:hi])
                 a += x
                 b += y
         return a, b
