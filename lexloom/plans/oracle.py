@@ -5,6 +5,7 @@ Look-behind is not to be had there: sentence ends are marked by chr(1) and split
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from lexloom.functions import detect, metrics
@@ -212,21 +213,22 @@ def cleaned(control: str) -> str:
     return docs(*cleaned_steps(control, OCR), final="SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM m")
 
 
+CONTROLS = r"[\x00-\x1f\x7f]"
+
+
+def tagged(steps: list[str], tag: str, source: str) -> list[str]:
+    """Steps with the tag before their names, reading from source in place of d."""
+    names = {step.split(" AS ")[0] for step in steps}
+    to = lambda m: f"FROM {tag + m[1] if m[1] in names else source if m[1] == 'd' else m[1]}"
+    return [tag + re.sub(r"\bFROM (\w+)\b", to, step) for step in steps]
+
+
 def events(final: str) -> str:
     """The events of the pipeline as all(doc_id, seq, type, ...), by an answering backend. Names of the cleaner's steps get a tag, as the chunker has its own."""
-    text = cleaned_steps(r"[\x00-\x1f\x7f]", "text")
-    names = [step.split(" AS ")[0] for step in text]
-    tagged = []
-    for step in text:
-        name, _, body = step.partition(" AS ")
-        for other in names:
-            body = body.replace(f" FROM {other})", f" FROM z{other})")
-        tagged.append(f"z{name} AS {body}")
     first = "raw AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
-    tagged[0] = tagged[0].replace(" FROM d)", " FROM raw)")
     steps = [
         first,
-        *tagged,
+        *tagged(cleaned_steps(CONTROLS, "text"), "z", "raw"),
         "d AS (SELECT doc_id, t AS text FROM zm WHERE length(t) >= 100)",
         *kinds("d", "d"),
         *chunk_steps(chunking.MIN_TOKENS),
@@ -347,19 +349,73 @@ def merged_summaries() -> str:
 
 
 def refined_fold() -> str:
-    new = f"left(text, {models.REFINE_CAP})"
-    run = f"left(running, {models.RUNNING_CAP})"
-    first = told(new, models.FIRST_TOKENS)
-    steps = [
-        ("fresh", f"CASE WHEN running = '' THEN {first} END"),
-        ("more", f"CASE WHEN running <> '' AND {strip('text')} <> '' THEN {told(new, models.REFINE_TOKENS, run)} END"),
-        ("running2", f"CASE WHEN running = '' THEN fresh WHEN more IS NULL THEN running ELSE {distinct_lines('more')} END"),
-    ]
     tidied = chain(strip(f"left(running, {models.FINAL_CAP})"), N.SUMMARY_CLEAN)
     loose = distinct_lines("t", lambda q: rep(f"lower({q})", LOOSE, ""))
     return folded(
-        first, steps, f"SELECT conv_id, n::INT AS n, CASE WHEN {strip('running')} = '' THEN '' ELSE {loose} END AS summary FROM (SELECT *, {tidied} AS t FROM e)"
-    )
+        told(f"left(text, {models.REFINE_CAP})", models.FIRST_TOKENS), REFINED,
+        f"SELECT conv_id, n::INT AS n, CASE WHEN {strip('running')} = '' THEN '' ELSE {loose} END AS summary FROM (SELECT *, {tidied} AS t FROM e)",
+    )
+
+
+REFINED = [
+    ("fresh", f"CASE WHEN running = '' THEN {told(f'left(text, {models.REFINE_CAP})', models.FIRST_TOKENS)} END"),
+    ("more", f"CASE WHEN running <> '' AND {strip('text')} <> '' THEN {told(f'left(text, {models.REFINE_CAP})', models.REFINE_TOKENS, f'left(running, {models.RUNNING_CAP})')} END"),
+    ("running2", f"CASE WHEN running = '' THEN fresh WHEN more IS NULL THEN running ELSE {distinct_lines('more')} END"),
+]
+
+
+def walked(name: str, source: str, start: str, step: list[tuple[str, str]]) -> list[str]:
+    """name(doc_id, n, running): the texts of source(doc_id, i, text) folded one after the other, as in folded()."""
+    rows = f"(SELECT r.doc_id, r.i + 1 AS i, r.running, n.text FROM {name}r r JOIN {source} n ON n.doc_id = r.doc_id AND n.i = r.i + 1)"
+    for stage, value in step:
+        rows = f"(SELECT *, {value} AS {stage} FROM {rows})"
+    return [
+        f"{name}r(doc_id, i, running) AS (SELECT doc_id, 1::BIGINT, {start} FROM {source} WHERE i = 1 UNION ALL SELECT doc_id, i, {step[-1][0]} FROM {rows})",
+        f"{name} AS (SELECT doc_id, max(i) AS n, arg_max(running, i) AS running FROM {name}r GROUP BY doc_id)",
+    ]
+
+
+def adaptive() -> str:
+    """Each document by its route; the texts take the shapes that the query gives them."""
+    said = told(f"left(t, {models.CHUNK_CAP})", models.CHUNK_TOKENS)
+    enough = f"length({strip('said')}) > {models.MIN_SUMMARY}"
+    sections = section_steps("text")
+    sections[-1] = sections[-1].replace("{where}", " WHERE lower(name) <> 'references'")
+    tidied = chain(strip(f"left(running, {models.FINAL_CAP})"), N.SUMMARY_CLEAN)
+    steps = [
+        "raw AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)",
+        f"d AS (SELECT doc_id, CASE length(text) % 3 WHEN 0 THEN {BOOK} WHEN 1 THEN {PAPER} ELSE text END AS text FROM raw)",
+        *kinds("d", "d"),
+        "ds2 AS (SELECT doc_id, t, round_even(CASE WHEN t = 'book' THEN b WHEN t = 'paper' THEN p ELSE 1.0::DOUBLE - greatest(b, p) END, 2) AS sure FROM dk)",
+        "dr AS (SELECT doc_id, sure, CASE WHEN t = 'book' AND sure > 0.6::DOUBLE THEN 'book' WHEN t = 'paper' AND sure > 0.5::DOUBLE THEN 'paper' ELSE 'general' END AS route FROM ds2)",
+        *[f"{kind}d AS (SELECT doc_id, text FROM d JOIN dr USING (doc_id) WHERE route = '{kind}')" for kind in ("book", "paper", "general")],
+        *tagged(chapter_steps("text"), "b", "bookd"),
+        f"btold AS (SELECT * FROM (SELECT doc_id, pos, number, title, {said} AS said FROM bch WHERE pos < {structure.MAX_CHAPTERS} AND {strip('t')} <> '') WHERE {enough})",
+        *tagged(sections, "p", "paperd"),
+        f"ptold AS (SELECT * FROM (SELECT doc_id, pos, name, {said} AS said FROM psec WHERE {strip('t')} <> '') WHERE {enough})",
+        """seq AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, '### Chapter ' || number || ': ' || title || chr(10) || said AS text FROM btold
+          UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, said AS text FROM ptold)""",
+        *walked("overview", "seq", "text", [("running2", told("text", models.REFINE_TOKENS, f"left(running, {models.RUNNING_CAP})"))]),
+        *tagged(cleaned_steps(CONTROLS, "text"), "z", "generald"),
+        "zd AS (SELECT doc_id, t AS text FROM zm)",
+        *tagged(chunk_steps(chunking.MIN_TOKENS), "q", "zd"),
+        """gseq AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) AS i, text FROM
+          (SELECT doc_id, chunk_id, text FROM qk UNION ALL SELECT doc_id, 0, left(text, 8000) FROM zd WHERE doc_id NOT IN (SELECT doc_id FROM qk)))""",
+        *walked("whole", "gseq", told(f"left(text, {models.REFINE_CAP})", models.FIRST_TOKENS), REFINED),
+        f"wt AS (SELECT *, {tidied} AS t FROM whole)",
+        f"""gout AS (SELECT doc_id, 'general' AS doc_type, NULL AS title, n::INT AS parts,
+          CASE WHEN {strip('running')} = '' THEN '' ELSE {distinct_lines('t', lambda q: rep(f'lower({q})', LOOSE, ''))} END AS summary FROM wt)""",
+        f"""bout AS (SELECT e.doc_id, 'book' AS doc_type, e.title, e.parts, '# ' || e.title || chr(10) || CASE WHEN e.a <> 'Unknown Author' THEN '**Author:** ' || e.a || chr(10) ELSE '' END
+          || '**Chapters:** ' || e.total || ' total, ' || e.parts || ' summarized' || chr(10) || chr(10) || coalesce(o.running, '') AS summary
+          FROM (SELECT doc_id, {book_title('text')} AS title, {book_author('text')} AS a, (SELECT count(*) FROM bch WHERE bch.doc_id = bookd.doc_id) AS total,
+                (SELECT count(*) FROM btold WHERE btold.doc_id = bookd.doc_id)::INT AS parts FROM bookd) e LEFT JOIN overview o USING (doc_id))""",
+        "pnames AS (SELECT doc_id, string_agg(name, ', ' ORDER BY pos) AS names, count(*)::INT AS parts FROM ptold GROUP BY doc_id)",
+        f"""pout AS (SELECT e.doc_id, 'paper' AS doc_type, e.title, coalesce(parts, 0) AS parts, '**Title:** ' || e.title || chr(10) || CASE WHEN e.a <> '' THEN '**Authors:** ' || e.a || chr(10) ELSE '' END || chr(10)
+          || CASE WHEN coalesce(names, '') <> '' THEN '*Sections covered: ' || names || '*' || chr(10) || chr(10) ELSE '' END || coalesce(o.running, '') AS summary
+          FROM (SELECT doc_id, {paper_title('text')} AS title, array_to_string({paper_authors('text')}, ', ') AS a FROM paperd) e LEFT JOIN pnames USING (doc_id) LEFT JOIN overview o USING (doc_id))""",
+    ]
+    return "WITH RECURSIVE " + ", ".join(steps) + """ SELECT doc_id, doc_type, sure AS confidence, title, parts, summary
+      FROM (SELECT * FROM gout UNION ALL SELECT * FROM bout UNION ALL SELECT * FROM pout) JOIN dr USING (doc_id)"""
 
 
 def words_per_page(x: str) -> str:
@@ -666,6 +722,7 @@ def sql() -> dict[str, str]:
         "metric_compression": docs(f"e AS (SELECT doc_id, text, {c} AS sm FROM d)", final=f"SELECT doc_id, round({compression('text', 'sm')}, 6) AS compression, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {compression('text', 'sm')} / 5.0::DOUBLE)), 6) AS score FROM e"),
         "metric_length_penalty": docs(f"e AS (SELECT doc_id, text, {c} AS sm FROM d)", final=f"SELECT doc_id, round({penalty('text', 'sm')}, 6) AS penalty FROM e"),
         "evaluate_summaries": evaluated(),
+        "adaptive_summaries": adaptive(),
         "chunk_summaries": chunk_summaries(),
         "merge_summaries": merged_summaries(),
         "refine_fold": refined_fold(),
