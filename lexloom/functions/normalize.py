@@ -49,8 +49,10 @@ def after_stops(c: Column) -> Column:
     return T.chain(c, AFTER_STOPS)
 
 
+@T.bound
 def dehyphenate(c: Column) -> Column:
-    return T.chain(c, DEHYPHENATE)
+    """Tried only where a hyphen ends a line: the pattern itself walks every word from each of its letters."""
+    return F.when(T.has(c, r"-{s}*\n"), T.chain(c, DEHYPHENATE)).otherwise(c)
 
 
 @F.pandas_udf(StringType())
@@ -72,8 +74,11 @@ def canonical(c: Column) -> Column:
 @T.bound
 def ligatures(c: Column) -> Column:
     """The fixes in order, for texts in which one of them can find anything."""
-    heads, tails = (sorted({x.split(" ")[i] for x, _ in LIGATURES}) for i in (0, 1))
-    some = T.has(c, rf"(?iu)(?:{'|'.join(heads)}) (?:{'|'.join(tails)})")
+    low = F.lower(c)
+    shortest = [x for x, _ in LIGATURES if not any(y != x and y in x for y, _ in LIGATURES)]
+    some = c.contains("\u017f") | c.contains("\u212a")  # which the patterns take for s and k
+    for x in shortest:
+        some = some | low.contains(x)
     return F.when(some, T.chain(c, [(rf"(?iu)(?U)\b{found}\b", whole) for found, whole in LIGATURES])).otherwise(c)
 
 
@@ -107,7 +112,7 @@ def bullets(c: Column) -> Column:
 def light_cleanup(c: Column) -> Column:
     """Sentences with a fifth or more of plain letters, joined by spaces."""
     parts = F.transform(F.split(c, T.rx(r"(?<=[.!?]){s}+")), T.strip)
-    letters = lambda x: T.count_of(x, "[a-zA-Z]")
+    letters = lambda x: T.chars_of(x, T.LETTERS)
     return F.array_join(F.filter(parts, lambda x: (x != "") & (letters(x) / F.length(x) >= F.lit(0.2))), " ")
 
 

@@ -19,8 +19,8 @@ BOILERPLATE_RIGHTS = r"(?i)©{s}*{d}{4}|\(c\){s}*{d}{4}"
 def text_valid(c: Column, min_chars: int = 100) -> Column:
     """Long enough, words of 20 characters or fewer on average, and a twentieth of plain vowels."""
     n = T.count_tokens(c)
-    chars = F.length(c) - T.count_of(c, "{s}")
-    vowels = T.count_of(c, "[aeiouAEIOU]")
+    chars = F.length(c) - T.chars_of(c, T.WS_CHARS)
+    vowels = T.chars_of(c, "aeiouAEIOU")
     short_words = F.when(n == 0, True).otherwise(chars / n <= F.lit(20.0))
     return F.coalesce((F.length(c) >= min_chars) & short_words & (vowels / F.greatest(F.length(c), F.lit(1)) >= F.lit(0.05)), F.lit(False))
 
@@ -75,7 +75,7 @@ def boilerplate(line: Column) -> Column:
 
 def symbol_line_ok(line: Column) -> Column:
     """Blank, or two fifths or more of plain letters and digits."""
-    return T.let(T.strip(line), lambda s: (s == "") | (T.count_of(s, "[a-zA-Z0-9]") / F.length(s) >= F.lit(0.4)))
+    return T.let(T.strip(line), lambda s: (s == "") | (T.chars_of(s, T.LETTERS + "0123456789") / F.length(s) >= F.lit(0.4)))
 
 
 def page_number(line: Column) -> Column:

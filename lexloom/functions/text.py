@@ -6,6 +6,7 @@ The character classes are spelled out, so that the JVM's regular expressions and
 from __future__ import annotations
 
 import functools
+import string
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -112,6 +113,14 @@ def count_of(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(rx(pattern)))
 
 
+def chars_of(c: Column, some: str) -> Column:
+    """How many characters of c are among some."""
+    return F.length(c) - F.length(F.translate(c, some, ""))
+
+
+LETTERS = string.ascii_letters
+
+
 def has(c: Column, pattern: str) -> Column:
     return c.rlike(rx(pattern))
 

@@ -15,8 +15,11 @@ def remove_repeated_lines(text: Column, threshold: float = 0.5, max_removed: flo
     """Text without boilerplate lines that make up a share of threshold or more of the filled lines.
 
     A canonical form is boilerplate if any of its lines is. Text stays as it is if nothing qualifies or if
-    more than max_removed of the lines would go; text without a filled line becomes empty.
+    more than max_removed of the lines would go; text without a filled line becomes empty. So where a form has to
+    make up more than may go, as by default, no line does, and none is looked at.
     """
+    if threshold > max_removed:
+        return F.when(T.strip(text) == "", "").otherwise(text)
     filled = F.filter(F.transform(T.lines(text), T.strip), lambda x: x != "")
 
     def judged(ls: Column) -> Column:
