@@ -16,14 +16,14 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_tr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def stream_events(docs: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, backend: models.Backend | None = None, **options) -> StreamingQuery:
+def stream_events(docs: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, backend: models.Backend | None = None, quality: str = "Balanced", chunk_overlap: int = 2, **options) -> StreamingQuery:
     """Events of each micro-batch go to sink(events, batch number), which must be idempotent by batch number.
 
     Documents are independent of each other, so there is no state and no watermark.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        sink(pipeline.run_pipeline(batch, backend=backend), number)
+        sink(pipeline.run_pipeline(batch, backend=backend, quality=quality, chunk_overlap=chunk_overlap), number)
 
     writer = docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(**(options or {"availableNow": True})).start()

@@ -80,6 +80,76 @@ def test_pack_without_overlap_loses_no_word(groups, most):
     assert sum(n for _, n in made) == sum(map(sum, groups))
 
 
+@given(st.lists(st.lists(st.integers(1, 9), min_size=1, max_size=5), min_size=1, max_size=7), st.integers(3, 25), st.integers(0, 3))
+def test_cuts_follow_the_rules(groups, most, overlap):
+    counts, sizes = [n for g in groups for n in g], [len(g) for g in groups]
+    ends = np.cumsum(sizes).tolist()
+    heavy = {e - n: e for n, e, g in zip(sizes, ends, groups, strict=True) if sum(g) > most}  # begin: end of oversized groups
+    inside = {i for a, b in heavy.items() for i in range(a, b)}
+    found = chunking.cut_places(counts, sizes, most, overlap)
+    held = [[i for a, b in spans for i in range(a, b)] for spans, _ in found]
+    split = [c for c in held if c[-1] in inside]
+    whole = [c for c in held if c[-1] not in inside]
+    assert sum(closes for _, closes in found) <= 2
+    # oversized groups: cuts in order, each as long as fits behind the overlap, one new sentence at least
+    for a, b in heavy.items():
+        cuts = [c for c in split if a <= c[-1] < b]
+        at = a
+        for c in cuts:
+            assert c == list(range(max(a, at - overlap) if at > a else a, c[-1] + 1)) and c[-1] >= at
+            total = sum(counts[i] for i in c)
+            assert total <= most or c[-1] == at
+            assert c[-1] == b - 1 or total + counts[c[-1] + 1] > most
+            at = c[-1] + 1
+        assert at == b
+    # other groups: whole, in order; a chunk ends where the next group does not fit, and the next begins with its last sentences
+    plain = [i for i in range(len(counts)) if i not in inside]
+    new, before = [], []
+    for c in whole:
+        head = before[-overlap:] if overlap else []
+        assert c[: len(head)] == head
+        own = c[len(head) :]
+        assert own and not set(own) & set(new)
+        new += own
+        if before:
+            first = next(e for e in ends if e > own[0])
+            assert sum(counts[i] for i in before) + sum(counts[own[0] : first]) > most
+        before = c
+    assert new == plain
+
+
+def test_groups_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        v = rng.normal(size=(int(rng.integers(1, 14)), 3)) + rng.choice([0.0, 1.0])
+        cos = lambda a, b: float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b)))
+        groups = [[0]]
+        near = [cos(a, b) for a, b in zip(v, v[1:], strict=False)]
+        least = max(0.35, np.mean(near) - 0.15 * np.std(near)) if len(v) > 3 and np.std(near) else 0.4
+        for i in range(1, len(v)):
+            if len(v) > 3 and len(groups[-1]) > 1 and cos(np.mean(v[groups[-1]], axis=0), v[i]) < least:
+                groups.append([])
+            groups[-1].append(i)
+        assert chunking.group_by_meaning(v) == [g for g, members in enumerate(groups) for _ in members]
+
+
+def test_semantic_query_joins_what_the_parts_find(spark):
+    """The registered query against sentences, vectors, groups and cuts taken one after the other, over a whole table."""
+    from lexloom.plans import catalog
+
+    sf, embed, expected = "/root/testdata/sf0.001", models.hashing_embedder(), []
+    rows = catalog.docs(spark, sf).select("doc_id", chunking.split_sentences(F.col("text")).alias("s")).collect()
+    for r in rows:
+        groups = {}
+        for s, g in zip(r["s"], chunking.group_by_meaning(embed(r["s"])) if r["s"] else [], strict=True):
+            groups.setdefault(g, []).append(s)
+        expected += [(r["doc_id"], i, n, t) for i, (t, n) in enumerate(chunking.pack(list(groups.values()), 200, 1))]
+    import hashlib
+
+    got = catalog.queries()["semantic_chunks"](spark, sf).collect()
+    assert sorted((r["doc_id"], r["chunk_id"], r["token_count"], r["text_md5"]) for r in got) == sorted((d, i, n, hashlib.md5(t.encode()).hexdigest()) for d, i, n, t in expected)
+
+
 def test_grouping():
     a, b = np.array([1.0, 0.0]), np.array([0.0, 1.0])
     assert chunking.group_by_meaning(np.array([a, b, a])) == [0, 0, 0]
