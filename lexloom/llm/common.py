@@ -20,8 +20,7 @@ SPACES = " \t\n\x0b\x0c\r"
 
 def words_of(text: Column) -> Column:
     """The words [^ space, 9-13]+ of a text; of null: none."""
-    plain = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * (len(SPACES) - 1))
-    return F.array_remove(F.split(plain, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
 def put(df: DataFrame, **cols: Column) -> DataFrame:

@@ -46,13 +46,24 @@ RULES = (
 )
 
 
+#: So many different windows that occur twice are looked up one by one; with more, all windows are sorted with their places.
+FEW = 16
+
+
 def _covered(hashes: Column) -> Column:
     """How many words the windows found twice or more cover, from the hash of the window at each word."""
-    by_hash = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-    def positions(s: Column) -> Column:
-        twice = F.filter(s, lambda x, j: (F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"]))
-        return F.sort_array(F.transform(twice, lambda x: x["i"]))
+    def by_sorting(hs: Column) -> Column:
+        by_hash = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+        def positions(s: Column) -> Column:
+            twice = F.filter(s, lambda x, j: (F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"]))
+            return F.sort_array(F.transform(twice, lambda x: x["i"]))
+
+        return let(by_hash, positions)
+
+    def by_looking(hs: Column, twice: Column) -> Column:
+        return F.filter(F.transform(hs, lambda h, i: F.when(F.array_contains(twice, h), i)), lambda i: i.isNotNull())
 
     def union(p: Column) -> Column:
         return F.aggregate(
@@ -61,7 +72,8 @@ def _covered(hashes: Column) -> Column:
             lambda total, x: total + x,
         )
 
-    found = let(by_hash, lambda s: let(positions(s), union))
+    repeated = let(F.sort_array(hashes), lambda s: F.array_distinct(F.filter(s, lambda x, j: F.get(s, j + 1) == x)))
+    found = let(repeated, lambda r: let(F.when(F.size(r) <= FEW, by_looking(hashes, r)).otherwise(by_sorting(hashes)), union))
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("bigint")).otherwise(found)
 
 
@@ -74,10 +86,10 @@ def statistics(text: Column) -> dict[str, Column]:
     """Base counts (long) and the ratios that the rules name; ratios of nothing are null."""
     whole = F.coalesce(text, F.lit(""))
     stop = sorted(set(" ".join(STOP_WORDS.values()).split()))
-    plain = F.translate(F.lower(whole), PUNCTUATION, " " * len(PUNCTUATION))
+    apart = "[\\x20\\x09-\\x0D" + "".join("\\" + c for c in PUNCTUATION) + "]+"
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     count = lambda xs, test: F.size(F.filter(xs, test)).cast("bigint")
-    by_words = let(words_of(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), _repeat_words(w).alias("rep")))
+    by_words = let(words_of(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), _repeat_words(w).alias("rep"), F.length(F.array_join(w, "")).cast("bigint").alias("chars")))
     by_lines = let(
         lines,
         lambda ls: F.struct(
@@ -90,9 +102,8 @@ def statistics(text: Column) -> dict[str, Column]:
     return {
         "by_words": by_words,
         "by_lines": by_lines,
-        "word_chars": F.length(F.translate(whole, " \t\n\x0b\x0c\r", "")).cast("bigint"),
-        "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("bigint"),
-        "n_stop": let(words_of(plain), lambda w: count(w, lambda x: x.isin(stop))),
+        "n_symbols": F.regexp_count(whole, F.lit(f"[{SYMBOLS}]")).cast("bigint"),
+        "n_stop": count(F.split(F.lower(whole), apart), lambda x: x.isin(stop)),
     }
 
 
@@ -118,7 +129,7 @@ def verdict(text: Column, rules: tuple[Rule, ...] = RULES, min_words: int = 50,
     def judged(s: Column) -> Column:
         n, rep, lines = s["by_words"]["n"], s["by_words"]["rep"], s["by_lines"]["n"]
         values = {
-            "mean_word_chars": ratio(s["word_chars"], n),
+            "mean_word_chars": ratio(s["by_words"]["chars"], n),
             "symbols_per_word": ratio(s["n_symbols"], n),
             "stop_word_ratio": ratio(s["n_stop"], n),
             "dup_line_ratio": ratio(s["by_lines"]["dup"], lines),
@@ -126,7 +137,7 @@ def verdict(text: Column, rules: tuple[Rule, ...] = RULES, min_words: int = 50,
             "ellipsis_line_ratio": ratio(s["by_lines"]["ellipsis"], lines),
         }
         failed = (n < min_words) | (rep * 100 > n * max_repeat_percent)
-        found = (n, s["word_chars"], s["n_symbols"], s["by_lines"]["dup"], rep, failed, ~failed & compiled(rules, values))
+        found = (n, s["by_words"]["chars"], s["n_symbols"], s["by_lines"]["dup"], rep, failed, ~failed & compiled(rules, values))
         return F.struct(*[c.alias(name) for c, name in zip(found, RESULT, strict=True)])
 
     return let(F.struct(*[v.alias(k) for k, v in statistics(text).items()]), judged)
