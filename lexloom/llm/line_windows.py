@@ -4,8 +4,8 @@ Each document's lines that hold a word are hashed in overlapping windows of thre
 occurs anywhere before, by (document, position), is a later occurrence: its lines, and blank lines
 between them, go. Windows that overlap merge their positions.
 
-Plan: one narrow pass makes (hash, document, position) rows; counts and first places are summed
-before the shuffle; only hashes found twice are joined back. That join has no aggregate on the hash
+Plan: one narrow pass makes (hash, document, position) rows, which are written to the shared folder; counts and
+first places are summed before the shuffle; only hashes found twice are joined back. That join has no aggregate on the hash
 above it, so a hot window's partition can be split at run time. Positions are gathered by document,
 which its own length bounds. The text moves once, for the last join.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import let, put
+from lexloom.llm.common import Scratch, let, put
 
 WINDOW = 3
 
@@ -82,6 +82,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         keyed.select("__k", F.explode(_windows(F.split(t, "\n"))).alias("w"))
         .select("__k", "w.h1", "w.h2", "w.first", "w.last")
     )
+    rows = Scratch(docs.sparkSession).keep(rows)  # both sides of the join read them: the texts are cut and hashed once
     place = F.struct("__k", "first")
     repeated = rows.groupBy("h1", "h2").agg(F.min(place).alias("origin"), F.max(place).alias("latest")).filter(F.col("origin") != F.col("latest")).select("h1", "h2", "origin")
     later = rows.join(repeated, ["h1", "h2"]).filter(place != F.col("origin"))
