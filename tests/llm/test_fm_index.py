@@ -64,7 +64,7 @@ def test_odd_rows_in_blocks_and_shards(spark, odd, block_bytes, shard_bytes):
     assert not any(r["contaminated"] for r in fm_index.contamination(d, b.limit(0)).collect())
 
 
-@pytest.mark.parametrize("block_bytes", [10**7, 1])
+@pytest.mark.parametrize("block_bytes", [10**7, 7])
 def test_windows_that_meet_across_blocks_go_too(spark, block_bytes):
     """What the cut of one block's window brings together is another block's window."""
     items = [("a", "aa bb cc"), ("b", "xx yy"), ("c", "dd ee"), ("d", "x1 aa")]
