@@ -308,7 +308,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return joined.select(f"`{key}`", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: words of 64 bits, of which so many are compared within cells; texts and bytes of a block of the exact check.
+#: A component of more texts than TEXT_BLOCK is checked in blocks, of which up to SPREAD spread the work; beyond that
+#: there are as many as memory asks for: a block has so many bytes or rows at most. Each text is written once a block.
+SPREAD, TEXT_ROWS = 16, 8192
+#: Wide fingerprints: words of 64 bits, of which so many are compared within cells.
 WIDE_WORDS, CARRIED, SIMILARITY, TEXT_BLOCK, TEXT_BYTES = 16, 4, 0.8, 512, 8_000_000
 
 
@@ -375,7 +378,8 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     sized = held.select("key", F.xxhash64("text").alias("h"), "text").join(asked, ["key", "h"])
     texts = scratch.keep(sized.select("root", "node", *names, "text"))
     sums = texts.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    blocks = F.ceil(F.greatest(F.col("n") / TEXT_BLOCK, F.col("bytes") / TEXT_BYTES)).cast("int")
+    spread = F.least(F.col("n") / TEXT_BLOCK, F.lit(float(SPREAD)))
+    blocks = F.ceil(F.greatest(spread, F.col("n") / TEXT_ROWS, F.col("bytes") / TEXT_BYTES)).cast("int")
     large = sums.select("root", blocks.alias("blocks")).filter("blocks > 1")
     whole = wide_radius(similarity, WIDE_WORDS)
 
