@@ -33,7 +33,7 @@ BLOCK_TAGS = frozenset(
 )
 #: Elements whose content is no text of the page; those of the first line run to the page's end where their end tag is missing.
 RAW_TO_END = ("script", "style", "textarea")
-RAW_TAGS = ("noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "object", "canvas", "audio", "video", "select", "datalist")
+RAW_TAGS = ("title", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "object", "canvas", "audio", "video", "select", "datalist")
 BAD_TAGS = frozenset("nav footer aside form menu dialog head search".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
@@ -53,13 +53,12 @@ _ATTRIBUTES = r"(?>[^>\"']|\"[^\"]*\"|'[^']*')*+"
 _TOKEN = re.compile(
     rf"<!--(?:.*?-->|.*)"  # comments
     rf"|<({'|'.join(RAW_TO_END)})(?=[\s/>]){_ATTRIBUTES}>(?:.*?</\1(?=[\s/>])[^>]*>|.*)"
-    rf"|<title(?=[\s/>]){_ATTRIBUTES}>(?:.*?</title(?=[\s/>])[^>]*>|[^<]*)"
-    rf"|<({'|'.join(RAW_TAGS)})(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?</\2(?=[\s/>])[^>]*>"  # one that closes itself, or is never closed, holds nothing
     rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>"  # tags
     rf"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)"  # tags with odd quotes, or cut off
     rf"|<[!?/][^>]*(?:>|$)",  # declarations and the like
     re.S | re.I,
 )
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW_TAGS}
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -139,14 +138,24 @@ def blocks(page: str) -> list[Block]:
         if links:
             now.linked += len(piece.strip())
 
-    for m in _TOKEN.finditer(page):
+    never: set[str] = set()  # tags that nothing closes from here on
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
-        tag = (m[4] or m[7] or "").lower()
+        tag = (m[3] or m[6] or "").lower()
         if not tag:
             continue
-        closing = bool(m[3] or m[6])
+        closing = bool(m[2] or m[5])
+        attributes = (m[4] if m[3] else m[7]) or ""
+        if tag in _END and not closing and not attributes.endswith("/"):  # one that closes itself, or is never closed, holds nothing
+            end = None if tag in never else _END[tag].search(page, at)
+            if end:
+                at = end.end()
+                continue
+            never.add(tag)
+            if tag == "title":
+                at = page.find("<", at) if "<" in page[at:] else len(page)
         if tag == "a":
             links = 0 if closing else 1
         elif tag == "br":
@@ -160,7 +169,6 @@ def blocks(page: str) -> list[Block]:
                 links = 0
                 close()
         elif tag in BLOCK_TAGS:
-            attributes = (m[5] if m[4] else m[8]) or ""
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
             inside = stack[-1][1] if stack else 0

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -146,3 +147,10 @@ def test_odd_rows(spark):
     assert got.columns == ["page_id", "text", "n_chars"]
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got.collect()) == [(0, 1), (1, 0), (1, 0), (2, 999999)]
     assert html_text.extract(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("part", ["<video src=x>a ", "<svg>a ", "<title>a ", "<!-- a ", "<script>a ", "<p title='a ", "<div>a ", "</div>a ", "< a ", "&amp", "<a href=x>a "])
+def test_long_broken_pages_take_linear_time(part):
+    began = time.process_time()
+    main_text(f"<article><p>{PROSE}</p>" + part * 20000)
+    assert time.process_time() - began < 10
