@@ -336,6 +336,7 @@ def queries() -> dict[str, Query]:
         "count_tokens": of_text(n_tokens=T.count_tokens),
         "split_paragraphs": of_array(lambda c: chunking.split_paragraphs(sectioned(c))),
         "split_sentences": of_array(lambda c: chunking.split_sentences(abbreviated(c))),
+        "overlap_sentences": of_array(lambda c: chunking.last_sentences(chunking.split_sentences(abbreviated(c)))),
         "adjacent_similarity": adjacent_query,
         "group_threshold": threshold_query,
         "semantic_chunks": semantic_query,

@@ -689,6 +689,7 @@ def sql() -> dict[str, str]:
             final="SELECT doc_id, pos, length(t) AS n_chars, md5(t) AS text_md5 FROM r",
         ),
         "split_sentences": of_array(f"list_transform({sentences(abbreviations('text'))}, lambda y: replace(y, chr(2), '.'))", ABBREVIATED),
+        "overlap_sentences": of_array(f"(list_transform({sentences(abbreviations('text'))}, lambda y: replace(y, chr(2), '.')))[-{chunking.OVERLAP}:]", ABBREVIATED),
         "adjacent_similarity": adjacent(),
         "cosine_pairs": """WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings),
           m AS (SELECT label, dim, avg(x) AS mean FROM x GROUP BY label, dim), c AS (SELECT label, list(mean ORDER BY dim) AS c FROM m GROUP BY label)

@@ -58,6 +58,12 @@ def test_repeated_ids_stay_documents_of_their_own(spark):
     assert len(got) == 3 and {r["token_count"] for r in got} == {240}
 
 
+def test_last_sentences(spark):
+    rows = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],)], "s array<string>")
+    for k, expected in ((2, [["b", "c"], ["a"], []]), (0, [[], [], []])):
+        assert [r[0] for r in rows.select(chunking.last_sentences(F.col("s"), k)).collect()] == expected
+
+
 def test_config(spark):
     rows = spark.createDataFrame([("Fast", 60000), ("Fast", 10), ("x", 60000), ("High Quality", 1), ("Balanced", 50000)], "q string, n int")
     assert [r[0] for r in rows.select(chunking.chunk_config(F.col("q"), F.col("n"))).collect()] == [1200, 1000, 1000, 600, 800]
