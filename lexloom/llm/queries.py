@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexloom.llm import chatfsm, fm_index, html_text, line_windows, quality, secret_cnn, simhash, spm_sample, url_lm, warc
+from lexloom.llm import chatfsm, ctph, fim, fm_index, html_text, line_windows, prefix_trie, quality, secret_cnn, simhash, spm_sample, url_lm, warc
 from lexloom.session import spread
 
 
@@ -75,6 +75,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatfsm.digests(turns.unionByName(probe)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", fim.restored(F.col("output"), F.col("form"))["sha256"].alias("restored_sha256"))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.with_next(_read(spark, sf_dir, "documents").select("doc_id", "text"), ctph.edit_report, ctph.EDIT_FIELDS)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py; the rows without the piece ids, which ids_sha256 stands for."""
     return corpus_pipeline.run(spark, sf_dir).drop("ids")
@@ -92,6 +105,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_line_dedup": op9_line_dedup,
         "op10_chat_format": op10_chat_format,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_document_fingerprints": op12_document_fingerprints,
+        "op13_prefix_trie": op13_prefix_trie,
         "pipeline": pipeline,
     }
 
@@ -194,6 +210,45 @@ FROM e GROUP BY conv_id
 """
 
 
+_FIM = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS g FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+             ('0x' || substr(g, 1, 8))::BIGINT AS h1, ('0x' || substr(g, 9, 8))::BIGINT AS h2, ('0x' || substr(g, 17, 8))::BIGINT AS h3, ('0x' || substr(g, 25, 8))::BIGINT AS h4 FROM d),
+f AS (SELECT doc_id, text, w, len(w)::BIGINT AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, text, n, form, array_to_string(w[1:a], '') AS x, array_to_string(w[a + 1:b], '') AS y, array_to_string(w[b + 1:n], '') AS z FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(x) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN text ELSE x || y || z END) AS restored_sha256
+FROM p
+"""
+
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)), 4294967295::BIGINT)"""
+
+_TRIE = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, count(*) AS own FROM t GROUP BY conv_id),
+c AS (SELECT l.conv_id, l.conv_id - l.conv_id % 100 AS base, {_CRC32.replace("conv_id", "l.conv_id")} % 6 AS h FROM l),
+g AS (SELECT c.conv_id, base, h, least(h, coalesce(l.own, 0)) AS given FROM c LEFT JOIN l ON l.conv_id = c.base),
+r AS (SELECT g.conv_id, t.pos AS depth, role, text FROM g JOIN t ON t.conv_id = g.base AND t.pos <= g.h
+      UNION ALL SELECT g.conv_id, t.pos - h + given, role, text FROM g JOIN t ON t.conv_id = g.conv_id AND t.pos > g.h),
+m AS (SELECT conv_id, depth, length(text) AS chars, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS k FROM r
+      UNION ALL SELECT conv_id, 0, 0, '' FROM l),
+n AS (SELECT depth, k, min(conv_id) AS node, count(*) AS n_convs, max(chars) AS chars FROM m GROUP BY depth, k),
+e AS (SELECT depth, k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM m JOIN (SELECT conv_id, max(depth) AS depth FROM m GROUP BY conv_id) USING (conv_id, depth) GROUP BY depth, k),
+up AS (SELECT n.depth, n.k, pn.k AS parent_k, pn.node AS parent FROM n JOIN m ON m.conv_id = n.node AND m.depth = n.depth - 1 JOIN n pn ON pn.depth = m.depth AND pn.k = m.k),
+kids AS (SELECT depth - 1 AS depth, parent_k AS k, count(*) AS n FROM up GROUP BY ALL),
+below AS (SELECT m.depth, m.k, count(*) FILTER (kids.n IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved
+          FROM n JOIN m ON m.conv_id = n.node AND m.depth <= n.depth LEFT JOIN kids ON kids.depth = n.depth AND kids.k = n.k GROUP BY m.depth, m.k)
+SELECT n.node AS conv_id, n.depth::BIGINT AS depth, up.parent AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children,
+       below.n_leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM n JOIN below USING (depth, k) LEFT JOIN up USING (depth, k) LEFT JOIN kids USING (depth, k) LEFT JOIN e USING (depth, k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_quality_rules": _QUALITY,
@@ -201,4 +256,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_decontaminate": _LEAKS,
         "op9_line_dedup": _LINES,
         "op10_chat_format": _CHAT,
+        "op11_fill_in_middle": _FIM,
+        "op13_prefix_trie": _TRIE,
     }
