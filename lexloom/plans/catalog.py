@@ -11,7 +11,7 @@ from lexloom.functions import detect, metrics
 from lexloom.functions import normalize as N
 from lexloom.functions import predicates as P
 from lexloom.functions import text as T
-from lexloom.operators import chunking, lines, models, structure, vectors
+from lexloom.operators import chunking, dedup, lines, models, structure, vectors
 from lexloom.plans import oracle, pipeline
 from lexloom.session import spread, table
 from lexloom.sources import documents
@@ -204,6 +204,15 @@ def dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("passage", F.get("ids", F.col("pos")).alias("vec_id"))
 
 
+def whole_dedup(group: str | None) -> Query:
+    """What stays of all embeddings, in the order of their ids, within each label or over the whole table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return dedup.greedy_dedup(table(spark, sf_dir, "embeddings"), 0.3, "vec_id", "embedding", group)
+
+    return run
+
+
 def adjacent_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     sims = passages(spark, sf_dir).select("passage", "ids", vectors.adjacent(F.col("vs")).alias("s"))
     return sims.select("passage", F.posexplode("s").alias("pos", "c")).select("passage", "pos", F.round("c", 6).alias("cosine"))
@@ -367,7 +376,9 @@ def queries() -> dict[str, Query]:
         "metric_length_penalty": of_text(penalty=summary(metrics.length_penalty)),
         "evaluate_summaries": evaluated,
         "cosine_pairs": centroid_cosines,
-        "semantic_dedup": dedup_query,
+        "semantic_dedup": whole_dedup("label"),
+        "semantic_dedup_all": whole_dedup(None),
+        "passage_dedup": dedup_query,
         "centroid_by_label": centroid_query,
         "chunk_summaries": chunk_summaries,
         "refine_fold": fold_query(models.fold),

@@ -612,6 +612,18 @@ def greedy(threshold: float) -> str:
     SELECT passage, unnest(ids) AS vec_id FROM (SELECT passage, arg_max(ids, i) AS ids FROM k GROUP BY passage)"""
 
 
+def whole_greedy(threshold: float, group: str, select: str) -> str:
+    """The same for each group of all embeddings."""
+    return f"""WITH RECURSIVE n AS (SELECT {group} AS g, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY {group} ORDER BY vec_id) AS i FROM embeddings),
+    k(g, i, ids, vs) AS (
+      SELECT g, 1::BIGINT, [vec_id], [v] FROM n WHERE i = 1
+      UNION ALL
+      SELECT g, i, CASE WHEN near THEN ids ELSE list_append(ids, vec_id) END, CASE WHEN near THEN vs ELSE list_append(vs, v) END
+      FROM (SELECT n.g, n.i, k.ids, k.vs, n.vec_id, n.v, len(list_filter(k.vs, lambda x: list_cosine_similarity(x, n.v) > {threshold}::DOUBLE)) > 0 AS near
+            FROM k JOIN n ON n.g = k.g AND n.i = k.i + 1))
+    SELECT {select} FROM (SELECT g, arg_max(ids, i) AS ids FROM k GROUP BY g)"""
+
+
 def layouts() -> str:
     chapters = chapter_steps(BOOK)
     sections = section_steps(PAPER)
@@ -729,6 +741,8 @@ def sql() -> dict[str, str]:
         "refine_fold": refined_fold(),
         "pipeline_events": events("SELECT * FROM al"),
         "pipeline_event_counts": events("SELECT type, count(*) AS n FROM al GROUP BY type"),
-        "semantic_dedup": greedy(0.15),
+        "semantic_dedup": whole_greedy(0.3, "label", "g AS label, unnest(ids) AS vec_id"),
+        "semantic_dedup_all": whole_greedy(0.3, "0", "unnest(ids) AS vec_id"),
+        "passage_dedup": greedy(0.15),
         "centroid_by_label": "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) SELECT label, dim, round(avg(x), 6) AS mean FROM x GROUP BY label, dim",
     }
