@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,10 @@ from lexloom.functions import predicates as P
 from lexloom.functions import text as T
 from lexloom.operators import chunking, dedup, lines, models, structure, vectors
 from lexloom.plans import oracle, pipeline
-from lexloom.session import spread, table
+from lexloom.session import remove_at_end, shared_dir, spread, table
 from lexloom.sources import documents
+from lexloom.streaming import events as events_stream
+from lexloom.streaming import pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -286,6 +289,18 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.run_pipeline(docs(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n"))
 
 
+def page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as a stream of pages, put together again by keyed state; what the stream wrote, read as a table."""
+    top = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    remove_at_end(spark, top)
+    given = table(spark, sf_dir, "documents")
+    stream = spark.readStream.schema(given.schema).option("maxBytesPerTrigger", 64 << 30).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern, as a stream takes no single file
+    query = pages.page_documents(pages.split_into_pages(stream), events_stream.parquet_sink(f"{top}/out"), f"{top}/state")
+    query.awaitTermination()
+    made = spark.read.parquet(f"{top}/out")
+    return made.select(F.col("doc").alias("doc_id"), "n_pages", "missing", "status", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.pmod(F.length("text"), F.lit(3))
     text = F.when(shape == 0, book_like(F.col("text"))).when(shape == 1, paper_like(F.col("text"))).otherwise(F.col("text"))
@@ -387,6 +402,7 @@ def queries() -> dict[str, Query]:
         "pipeline_event_counts": event_counts,
         "pipeline_summaries": summaries,
         "adaptive_summaries": adaptive,
+        "page_stream": page_stream,
     }
 
 

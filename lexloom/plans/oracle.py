@@ -624,6 +624,16 @@ def whole_greedy(threshold: float, group: str, select: str) -> str:
     SELECT {select} FROM (SELECT g, arg_max(ids, i) AS ids FROM k GROUP BY g)"""
 
 
+def paged_documents(lines: int = 20) -> str:
+    page = strip(f"array_to_string(ls[i * {lines} + 1:i * {lines} + {lines}], chr(10))")
+    return docs(
+        "l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)",
+        f"g AS (SELECT doc_id, list_transform(range(0, (len(ls) - 1) // {lines} + 1), lambda i: {page}) AS ps FROM l)",
+        "j AS (SELECT doc_id, len(ps) AS n, array_to_string(list_filter(ps, lambda p: p <> ''), chr(10) || chr(10)) AS t FROM g)",
+        final="SELECT doc_id, n::INT AS n_pages, 0 AS missing, 'whole' AS status, length(t) AS n_chars, md5(t) AS text_md5 FROM j",
+    )
+
+
 def layouts() -> str:
     chapters = chapter_steps(BOOK)
     sections = section_steps(PAPER)
@@ -744,5 +754,6 @@ def sql() -> dict[str, str]:
         "semantic_dedup": whole_greedy(0.3, "label", "g AS label, unnest(ids) AS vec_id"),
         "semantic_dedup_all": whole_greedy(0.3, "0", "unnest(ids) AS vec_id"),
         "passage_dedup": greedy(0.15),
+        "page_stream": paged_documents(),
         "centroid_by_label": "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) SELECT label, dim, round(avg(x), 6) AS mean FROM x GROUP BY label, dim",
     }
