@@ -12,7 +12,7 @@ from lexloom.functions import detect, metrics
 from lexloom.functions import normalize as N
 from lexloom.functions import predicates as P
 from lexloom.functions import text as T
-from lexloom.operators import chunking, dedup, lines, models, structure, vectors
+from lexloom.operators import chunking, dedup, lines, models, sparse, structure, vectors
 from lexloom.plans import oracle, pipeline
 from lexloom.session import remove_at_end, shared_dir, spread, table
 from lexloom.sources import documents
@@ -261,7 +261,9 @@ def chunk_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def semantic_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = docs(spark, sf_dir).select("doc_id", chunking.semantic_chunks(chunking.split_sentences(F.col("text")), models.hashing_embedder(), 200, 1).alias("cs"))
+    split = docs(spark, sf_dir).select("doc_id", chunking.split_sentences(F.col("text")).alias("s"))
+    embedded = split.select("doc_id", "s", F.transform("s", lambda x: sparse.dense(sparse.hashed(x, 64), 64)).alias("v"))
+    made = embedded.select("doc_id", chunking.semantic_chunks(F.col("s"), F.col("v"), 200, 1).alias("cs"))
     return made.select("doc_id", F.explode("cs").alias("c")).select("doc_id", "c.chunk_id", "c.token_count", F.md5("c.text").alias("text_md5"))
 
 

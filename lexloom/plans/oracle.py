@@ -634,6 +634,59 @@ def paged_documents(lines: int = 20) -> str:
     )
 
 
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(w)), lambda i: ('0x' || substr(hex(w), 2 * i + 1, 2))::BIGINT)),
+  lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)), 4294967295::BIGINT)"""
+
+
+def word_vectors(name: str, source: str, key: str, dim: int) -> list[str]:
+    """name(key, v): the dense vectors of signed word counts of source(key, t); each word is hashed once."""
+    return [
+        f"{name}w AS (SELECT {key}, unnest({tok('lower(t)')}) AS w FROM {source})",
+        f"{name}h AS (SELECT w, {CRC32} AS h FROM (SELECT DISTINCT w FROM {name}w))",
+        f"{name}p AS (SELECT {key}, h % {dim} AS place, sum(2 * (h >> 31) - 1)::DOUBLE AS x FROM {name}w JOIN {name}h USING (w) GROUP BY ALL)",
+        f"{name}m AS (SELECT {key}, map_from_entries(list((place, x))) AS m FROM {name}p GROUP BY {key})",
+        f"{name} AS (SELECT {', '.join('s.' + k.strip() for k in key.split(','))}, list_transform(range(0, {dim}), lambda k: coalesce(m[k], 0.0::DOUBLE)) AS v FROM {source} s LEFT JOIN {name}m USING ({key}))",
+    ]
+
+
+def by_meaning(most: int, overlap: int, dim: int) -> str:
+    """Sentences walked twice: once with the sum of the open group, once with what the open chunk, the open cut and the closed chunks hold."""
+    cos = lambda a, b: f"(CASE WHEN list_dot_product({a}, {a}) * list_dot_product({b}, {b}) = 0 THEN 0.0::DOUBLE ELSE list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))) END)"
+    total = lambda xs: f"list_reduce(list_prepend(0.0::DOUBLE, {xs}), lambda a, x: a + x)"
+    words = lambda ids: f"coalesce(list_sum(list_transform({ids}, lambda z: cs[z + 1])), 0)"
+    tail = lambda ids: f"{ids}[-{overlap}:]" if overlap else "[]::BIGINT[]"
+    steps = [
+        f"s AS (SELECT doc_id, list_transform({sentences(abbreviations('text'))}, lambda y: replace(y, chr(2), '.')) AS xs FROM d)",
+        "r AS (SELECT doc_id, unnest(xs) AS t, generate_subscripts(xs, 1) - 1 AS i FROM s)",
+        *word_vectors("e", "r", "doc_id, i", dim),
+        f"n AS (SELECT doc_id, list(c ORDER BY i) AS ns FROM (SELECT a.doc_id, a.i, {cos('a.v', 'b.v')} AS c FROM e a JOIN e b ON b.doc_id = a.doc_id AND b.i = a.i + 1) GROUP BY doc_id)",
+        f"n2 AS (SELECT doc_id, ns, {total('ns')} / len(ns) AS mean FROM n)",
+        f"n3 AS (SELECT doc_id, mean, sqrt({total('list_transform(ns, lambda x: (x - mean) * (x - mean))')} / len(ns)) AS sd FROM n2)",
+        "th AS (SELECT s.doc_id, len(xs) AS total, CASE WHEN sd IS NULL OR sd = 0 THEN 0.4::DOUBLE ELSE greatest(0.35::DOUBLE, mean - 0.15::DOUBLE * sd) END AS least FROM s LEFT JOIN n3 USING (doc_id))",
+        f"""gr(doc_id, i, sum, n, g) AS (SELECT doc_id, i, v, 1, 0 FROM e WHERE i = 0
+          UNION ALL SELECT doc_id, i, CASE WHEN opens THEN v ELSE list_transform(v, lambda x, k: x + sum[k]) END, CASE WHEN opens THEN 1 ELSE n + 1 END, CASE WHEN opens THEN g + 1 ELSE g END
+          FROM (SELECT e.doc_id, e.i, e.v, gr.sum, gr.n, gr.g, total > 3 AND gr.n >= 2 AND {cos('gr.sum', 'e.v')} < least AS opens FROM gr JOIN e ON e.doc_id = gr.doc_id AND e.i = gr.i + 1 JOIN th ON th.doc_id = gr.doc_id))""",
+        f"c AS (SELECT r.doc_id, r.i, g, {n_tok('t')} AS c FROM r JOIN gr ON gr.doc_id = r.doc_id AND gr.i = r.i)",
+        "o AS (SELECT doc_id, g, min(i) AS b, max(i) AS e, sum(c) AS w FROM c GROUP BY doc_id, g)",
+        "al AS (SELECT doc_id, list(c ORDER BY i) AS cs, max(g) AS top FROM c GROUP BY doc_id)",
+        "it AS (SELECT c.doc_id, c.i, c.c, c.i = o.b AS head, c.i = o.e AS foot, w, c.g = top AS final, cs FROM c JOIN o ON o.doc_id = c.doc_id AND o.g = c.g JOIN al ON al.doc_id = c.doc_id)",
+        f"""pk(doc_id, i, open, cut, out) AS (SELECT doc_id, -1::BIGINT, []::BIGINT[], []::BIGINT[], []::STRUCT(ids BIGINT[], ends BOOLEAN)[] FROM al
+          UNION ALL SELECT doc_id, i,
+            CASE WHEN heavy THEN open WHEN over THEN list_append({tail('open')}, i) ELSE list_append(open, i) END,
+            CASE WHEN NOT heavy THEN cut WHEN foot THEN []::BIGINT[] ELSE cut2 END,
+            CASE WHEN NOT heavy THEN CASE WHEN over AND len(open) > 0 THEN list_append(out, {{'ids': open, 'ends': false}}) ELSE out END
+                 WHEN foot THEN list_append(out2, {{'ids': cut2, 'ends': final}}) ELSE out2 END
+          FROM (SELECT *, list_append(CASE WHEN head THEN []::BIGINT[] WHEN over THEN {tail('cut')} ELSE cut END, i) AS cut2, CASE WHEN over THEN list_append(out, {{'ids': cut, 'ends': false}}) ELSE out END AS out2
+            FROM (SELECT *, CASE WHEN heavy THEN NOT head AND {words('cut')} + c > {most} ELSE head AND {words('open')} + w > {most} END AS over
+              FROM (SELECT it.*, pk.open, pk.cut, pk.out, w > {most} AS heavy FROM pk JOIN it ON it.doc_id = pk.doc_id AND it.i = pk.i + 1))))""",
+        "ot AS (SELECT doc_id, CASE WHEN len(open) > 0 THEN list_append(out, {'ids': open, 'ends': true}) ELSE out END AS cs FROM (SELECT doc_id, arg_max(open, i) AS open, arg_max(out, i) AS out FROM pk GROUP BY doc_id))",
+        "ch AS (SELECT doc_id, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS chunk_id FROM ot)",
+        f"tx AS (SELECT ch.doc_id, chunk_id, c.ends AS ends, {strip(chr(34) + 'j' + chr(34))} AS t FROM (SELECT ch.*, array_to_string(list_transform(c.ids, lambda z: xs[z + 1]), ' ') AS j FROM ch JOIN s USING (doc_id)) ch)",
+        "fx AS (SELECT doc_id, chunk_id, CASE WHEN t <> '' AND NOT ends AND NOT regexp_matches(t, '[.!?]$') THEN t || '.' ELSE t END AS t FROM tx)",
+    ]
+    return docs(*steps, final=f"SELECT doc_id, chunk_id::INT AS chunk_id, ({n_tok('t')})::INT AS token_count, md5(t) AS text_md5 FROM fx").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def layouts() -> str:
     chapters = chapter_steps(BOOK)
     sections = section_steps(PAPER)
@@ -754,6 +807,7 @@ def sql() -> dict[str, str]:
         "semantic_dedup": whole_greedy(0.3, "label", "g AS label, unnest(ids) AS vec_id"),
         "semantic_dedup_all": whole_greedy(0.3, "0", "unnest(ids) AS vec_id"),
         "passage_dedup": greedy(0.15),
+        "semantic_chunks": by_meaning(200, 1, 64),
         "page_stream": paged_documents(),
         "centroid_by_label": "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) SELECT label, dim, round(avg(x), 6) AS mean FROM x GROUP BY label, dim",
     }

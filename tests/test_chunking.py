@@ -4,7 +4,8 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexloom.operators import chunking, models, vectors
+import chunk_rules as rules
+from lexloom.operators import chunking, models, sparse, vectors
 
 
 def absorb(counts, least):
@@ -73,16 +74,16 @@ words = lambda n: " ".join(["w"] * n)
 
 
 def test_pack():
-    assert chunking.pack([[words(3)], [words(4)]], 10, 1) == [(words(7), 7)]
-    assert chunking.pack([[words(6)], [words(6)]], 10, 1) == [(words(6) + ".", 6), (words(12), 12)]
-    assert chunking.pack([[words(6)], [words(6)]], 10, 0) == [(words(6) + ".", 6), (words(6), 6)]
+    assert rules.pack([[words(3)], [words(4)]], 10, 1) == [(words(7), 7)]
+    assert rules.pack([[words(6)], [words(6)]], 10, 1) == [(words(6) + ".", 6), (words(12), 12)]
+    assert rules.pack([[words(6)], [words(6)]], 10, 0) == [(words(6) + ".", 6), (words(6), 6)]
     # an oversized group comes out before the chunk that was open
-    assert chunking.pack([["a"], ["b b b.", "c c c."]], 4, 0) == [("b b b.", 3), ("c c c.", 3), ("a", 1)]
+    assert rules.pack([["a"], ["b b b.", "c c c."]], 4, 0) == [("b b b.", 3), ("c c c.", 3), ("a", 1)]
 
 
 @given(st.lists(st.lists(st.integers(1, 9), min_size=1, max_size=4), max_size=6), st.integers(3, 20))
 def test_pack_without_overlap_loses_no_word(groups, most):
-    made = chunking.pack([[words(n) for n in g] for g in groups], most, 0)
+    made = rules.pack([[words(n) for n in g] for g in groups], most, 0)
     assert sum(n for _, n in made) == sum(map(sum, groups))
 
 
@@ -92,7 +93,7 @@ def test_cuts_follow_the_rules(groups, most, overlap):
     ends = np.cumsum(sizes).tolist()
     heavy = {e - n: e for n, e, g in zip(sizes, ends, groups, strict=True) if sum(g) > most}  # begin: end of oversized groups
     inside = {i for a, b in heavy.items() for i in range(a, b)}
-    found = chunking.cut_places(counts, sizes, most, overlap)
+    found = rules.cut_places(counts, sizes, most, overlap)
     held = [[i for a, b in spans for i in range(a, b)] for spans, _ in found]
     split = [c for c in held if c[-1] in inside]
     whole = [c for c in held if c[-1] not in inside]
@@ -136,31 +137,54 @@ def test_groups_equal_brute_force():
             if len(v) > 3 and len(groups[-1]) > 1 and cos(np.mean(v[groups[-1]], axis=0), v[i]) < least:
                 groups.append([])
             groups[-1].append(i)
-        assert chunking.group_by_meaning(v) == [g for g, members in enumerate(groups) for _ in members]
-
-
-def test_semantic_query_joins_what_the_parts_find(spark):
-    """The registered query against sentences, vectors, groups and cuts taken one after the other, over a whole table."""
+        assert rules.group_by_meaning(v) == [g for g, members in enumerate(groups) for _ in members]
+
+
+def test_columns_equal_the_rules(spark):
+    rng = np.random.default_rng(7)
+    cases, rows = [], []
+    for n in [0, 1, 2, 3, 4, 5, *rng.integers(4, 40, 120)]:
+        sentences = [" ".join(["w"] * int(k) + [rng.choice(["end.", "end!", "end"])]) for k in rng.integers(0, 12, n)]
+        v = rng.integers(-2, 3, (n, 3)).astype(float) if len(cases) % 3 else rng.normal(size=(n, 3)) + 1
+        cases.append((sentences, v))
+        rows.append((len(cases) - 1, sentences, v.tolist()))
+    df = spark.createDataFrame(rows, "k int, s array<string>, v array<array<double>>")
+    for most, overlap in ((20, 1), (9, 2), (30, 0), (5, 9)):
+        got = {r["k"]: r for r in df.select("k", chunking.group_numbers(F.col("v")).alias("g"), chunking.semantic_chunks(F.col("s"), F.col("v"), most, overlap).alias("c")).collect()}
+        for k, (sentences, v) in enumerate(cases):
+            numbers = rules.group_by_meaning(v)
+            groups = {}
+            for x, g in zip(sentences, numbers, strict=True):
+                groups.setdefault(g, []).append(x)
+            assert got[k]["g"] == numbers
+            assert [(c["text"], c["token_count"]) for c in got[k]["c"]] == rules.pack(list(groups.values()), most, overlap)
+            assert [c["chunk_id"] for c in got[k]["c"]] == list(range(len(got[k]["c"])))
+
+
+def test_semantic_chunks_run_without_python(spark):
     from lexloom.plans import catalog
 
-    sf, embed, expected = "/root/testdata/sf0.001", models.hashing_embedder(), []
-    rows = catalog.docs(spark, sf).select("doc_id", chunking.split_sentences(F.col("text")).alias("s")).collect()
-    for r in rows:
-        groups = {}
-        for s, g in zip(r["s"], chunking.group_by_meaning(embed(r["s"])) if r["s"] else [], strict=True):
-            groups.setdefault(g, []).append(s)
-        expected += [(r["doc_id"], i, n, t) for i, (t, n) in enumerate(chunking.pack(list(groups.values()), 200, 1))]
-    import hashlib
+    plan = catalog.queries()["semantic_chunks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
 
-    got = catalog.queries()["semantic_chunks"](spark, sf).collect()
-    assert sorted((r["doc_id"], r["chunk_id"], r["token_count"], r["text_md5"]) for r in got) == sorted((d, i, n, hashlib.md5(t.encode()).hexdigest()) for d, i, n, t in expected)
+def test_sparse_vectors(spark):
+    texts = ["", "a", "a b a c", "A  b\nB ünder 😀", " ".join(f"w{i % 300}" for i in range(900)), None]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    embed = models.hashing_embedder()
+    both = pairs.select("a", "b", sparse.cosine(sparse.hashed(F.col("a")), sparse.hashed(F.col("b"))).alias("c"), sparse.dense(sparse.hashed(F.col("a"))).alias("d"))
+    for r in both.collect():
+        u, w = embed([r["a"] or ""])[0], embed([r["b"] or ""])[0]
+        assert r["c"] == pytest.approx(float(u @ w), abs=1e-12)
+        d = np.array(r["d"])
+        assert len(d) == 256 and np.allclose(d / (np.linalg.norm(d) or 1), u)
 
 
 def test_grouping():
     a, b = np.array([1.0, 0.0]), np.array([0.0, 1.0])
-    assert chunking.group_by_meaning(np.array([a, b, a])) == [0, 0, 0]
-    assert chunking.group_by_meaning(np.array([a, a, b, b, a])) == [0, 0, 1, 1, 2]
-    assert chunking.group_by_meaning(np.array([a, b, b, b])) == [0, 0, 0, 0]  # a group of one takes the next in
+    assert rules.group_by_meaning(np.array([a, b, a])) == [0, 0, 0]
+    assert rules.group_by_meaning(np.array([a, a, b, b, a])) == [0, 0, 1, 1, 2]
+    assert rules.group_by_meaning(np.array([a, b, b, b])) == [0, 0, 0, 0]  # a group of one takes the next in
 
 
 def test_thresholds(spark):
@@ -171,7 +195,8 @@ def test_thresholds(spark):
 
 def test_semantic_chunks(spark):
     rows = spark.createDataFrame([(["red red", "red red", "blue blue", "blue blue", "red red"],), ([],), (None,)], "s array<string>")
-    got = [r[0] for r in rows.select(chunking.semantic_chunks(F.col("s"), models.hashing_embedder(), 4, 0)).collect()]
+    vectors_of = F.transform("s", lambda x: sparse.dense(sparse.hashed(x)))
+    got = [r[0] for r in rows.select(chunking.semantic_chunks(F.col("s"), vectors_of, 4, 0)).collect()]
     assert [c["text"] for c in got[0]] == ["red red red red.", "blue blue blue blue.", "red red"] and got[1:] == [[], []]
 
 
