@@ -281,9 +281,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The final events with what the models say."""
+    """The final events with what the models say and all scores."""
     made = pipeline.run_pipeline(docs(spark, sf_dir)).filter("type = 'final'")
-    return made.select("doc_id", "doc_type", F.round("confidence", 2).alias("confidence"), "total_chunks", "chunks_summarized", "compression", "summary", F.col("metrics.overall_score").alias("overall_score"))
+    return made.select("doc_id", "doc_type", F.round("confidence", 2).alias("confidence"), "total_chunks", "chunks_summarized", "compression", "summary", *[f"metrics.{m}" for m in ("cosine_similarity", "coverage", "density", "redundancy", "readability_flesch", "length_penalty", "overall_score")])
 
 
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -687,6 +687,46 @@ def by_meaning(most: int, overlap: int, dim: int) -> str:
     return docs(*steps, final=f"SELECT doc_id, chunk_id::INT AS chunk_id, ({n_tok('t')})::INT AS token_count, md5(t) AS text_md5 FROM fx").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def even(x: str, digits: int) -> str:
+    """x rounded half to even by its decimal digits, not by a product of binary numbers."""
+    scaled = f"({x})::DOUBLE::VARCHAR::DECIMAL(30, 20) * {10**digits}::DECIMAL(6, 0)"
+    return f"list_transform([{scaled}], lambda y: (floor(y) + CASE WHEN y - floor(y) > 0.5 OR (y - floor(y) = 0.5 AND floor(y) % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE / {10**digits}.0::DOUBLE)[1]"
+
+
+def final_events() -> str:
+    """The final events by the offline models: chunk summaries, those of them that stay, their merge, and its scores against the clean text."""
+    said = told(f"left(CASE WHEN total > 4 THEN t ELSE left(t, 8000) END, {models.CHUNK_CAP})", models.CHUNK_TOKENS)
+    tidied = chain(strip(f"left(running, {models.FINAL_CAP})"), N.SUMMARY_CLEAN)
+    zero = lambda x: f"CASE WHEN none THEN 0.0::DOUBLE ELSE {x} END"
+    start = events("SELECT 1").removeprefix("WITH ").removesuffix(" SELECT 1").replace("valid AS (SELECT doc_id,", "valid AS (SELECT doc_id, text,", 1)
+    steps = [
+        f"su AS (SELECT doc_id, i, {said} AS text FROM (SELECT doc_id, i, text AS t, total FROM valid JOIN head USING (doc_id)))",
+        f"good AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, text AS t FROM su WHERE length({strip('text')}) > {models.MIN_SUMMARY})",
+        *word_vectors("ev", "good", "doc_id, i", 256),
+        "gv AS (SELECT doc_id, i, t, v FROM good JOIN ev USING (doc_id, i))",
+        """st(doc_id, i, ts, vs) AS (SELECT doc_id, i, [t], [v] FROM gv WHERE i = 1
+          UNION ALL SELECT doc_id, i, CASE WHEN near THEN ts ELSE list_append(ts, t) END, CASE WHEN near THEN vs ELSE list_append(vs, v) END
+          FROM (SELECT gv.doc_id, gv.i, gv.t, gv.v, st.ts, st.vs, len(list_filter(st.vs, lambda x: list_dot_product(x, gv.v) > 0.75::DOUBLE * sqrt(list_dot_product(x, x) * list_dot_product(gv.v, gv.v)))) > 0 AS near FROM st JOIN gv ON gv.doc_id = st.doc_id AND gv.i = st.i + 1))""",
+        "kt AS (SELECT doc_id, max(i) AS n_good, arg_max(ts, i) AS ts FROM st GROUP BY doc_id)",
+        "seq AS (SELECT doc_id, unnest(ts) AS text, generate_subscripts(ts, 1)::BIGINT AS i FROM kt)",
+        *walked("mg", "seq", "text", [("running2", told("text", models.REFINE_TOKENS, f"left(running, {models.RUNNING_CAP})"))]),
+        f"sm AS (SELECT d.doc_id, d.text, {chain('m', N.READABILITY)} AS sm, n_good FROM (SELECT d.doc_id, text, coalesce(n_good, 0) AS n_good, coalesce(CASE WHEN n = 1 THEN running ELSE {tidied} END, '') AS m FROM d LEFT JOIN kt USING (doc_id) LEFT JOIN mg USING (doc_id)) d)",
+        "ta AS (SELECT doc_id, left(text, 8000) AS t FROM sm)", "tb AS (SELECT doc_id, left(sm, 8000) AS t FROM sm)",
+        *word_vectors("va", "ta", "doc_id", 256), *word_vectors("vb", "tb", "doc_id", 256),
+        "co AS (SELECT va.doc_id, CASE WHEN list_dot_product(va.v, va.v) * list_dot_product(vb.v, vb.v) = 0 THEN 0.0::DOUBLE ELSE list_dot_product(va.v, vb.v) / sqrt(list_dot_product(va.v, va.v) * list_dot_product(vb.v, vb.v)) END AS cos FROM va JOIN vb USING (doc_id))",
+        *flesch_steps("sm", "sm", "fl"),
+        *redundancy_steps("sm", "sm", "rd"),
+        f"q AS (SELECT doc_id, sm, n_good, {n_tok('sm')} AS sw, {compression('text', 'sm')} AS c, {even(coverage('text', 'sm'), 4)} AS cov, {even(density('sm'), 4)} AS den, {penalty('text', 'sm')} AS pen, sm = '' AS none FROM sm)",
+        f"z AS (SELECT q.*, fl.v AS ease, {even('rd.v', 4)} AS red, cos FROM q JOIN fl USING (doc_id) JOIN rd USING (doc_id) JOIN co USING (doc_id))",
+        "sure AS (SELECT doc_id, t AS doc_type, words, round_even(CASE WHEN t = 'book' THEN b WHEN t = 'paper' THEN p ELSE 1.0::DOUBLE - greatest(b, p) END, 2) AS confidence FROM dk)",
+    ]
+    overall = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, cos * 0.20::DOUBLE + cov * 0.25::DOUBLE + least(1.0::DOUBLE, c / 5.0::DOUBLE) * 0.20::DOUBLE + den * 0.15::DOUBLE + (1.0::DOUBLE - least(0.3::DOUBLE, red)) * 0.10::DOUBLE + pen * 0.10::DOUBLE))"
+    return "WITH RECURSIVE " + ", ".join([start, *steps]) + f""" SELECT doc_id, doc_type, confidence, total::INT AS total_chunks, n_good::INT AS chunks_summarized,
+      round(sure.words::DOUBLE / greatest(sw, 1), 1) AS compression, sm AS summary, {zero(even('cos', 4))} AS cosine_similarity, {zero('cov')} AS coverage, {zero('den')} AS density, {zero('red')} AS redundancy,
+      CASE WHEN none THEN 50.0::DOUBLE ELSE {even('ease', 2)} END AS readability_flesch, CASE WHEN NOT none THEN {even('pen', 4)} END AS length_penalty, {zero(even(overall, 4))} AS overall_score
+      FROM z JOIN sure USING (doc_id) JOIN (SELECT doc_id, total FROM head) h USING (doc_id)"""
+
+
 def layouts() -> str:
     chapters = chapter_steps(BOOK)
     sections = section_steps(PAPER)
@@ -807,6 +847,7 @@ def sql() -> dict[str, str]:
         "semantic_dedup": whole_greedy(0.3, "label", "g AS label, unnest(ids) AS vec_id"),
         "semantic_dedup_all": whole_greedy(0.3, "0", "unnest(ids) AS vec_id"),
         "passage_dedup": greedy(0.15),
+        "pipeline_summaries": final_events(),
         "semantic_chunks": by_meaning(200, 1, 64),
         "page_stream": paged_documents(),
         "centroid_by_label": "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) SELECT label, dim, round(avg(x), 6) AS mean FROM x GROUP BY label, dim",

@@ -14,38 +14,13 @@ from lexloom.functions import detect, metrics
 from lexloom.functions import normalize as N
 from lexloom.functions import predicates as P
 from lexloom.functions import text as T
-from lexloom.operators import chunking, lines, models, structure, vectors
+from lexloom.operators import chunking, lines, models, sparse, structure, vectors
 from lexloom.session import checkpointed
 
 PARALLEL_OVER, SEQUENTIAL_CAP = 4, 8000
 EVENTS = ("doc_detected", "summary_start", "chunk_summary", "final", "error")
 
 
-def dedup_texts(texts: Column, threshold: float = vectors.DEDUP_THRESHOLD, make=models.hashing_embedder) -> Column:
-    """Texts that are not too near to an earlier one that stayed."""
-
-    @F.pandas_udf("array<string>")
-    def run(rows: pd.Series) -> pd.Series:
-        embed = make()
-
-        def kept(xs):
-            xs = [] if xs is None else [x for x in xs if x is not None]
-            if len(xs) < 2:
-                return xs
-            v = embed(xs)
-            norm = np.linalg.norm(v, axis=1)
-            unit = v / np.where(norm == 0, 1, norm)[:, None]
-            stay: list[int] = []
-            for i in range(len(xs)):
-                if not any(float(unit[i] @ unit[k]) > threshold for k in stay):
-                    stay.append(i)
-            return [xs[i] for i in stay]
-
-        return rows.map(kept)
-
-    return run(texts)
-
-
 def greedy(texts: list[str], embed, threshold: float = vectors.DEDUP_THRESHOLD) -> list[str]:
     """Texts that are not too near to an earlier one that stayed."""
     if len(texts) < 2:
@@ -94,18 +69,9 @@ def condensed(chunks: Column, backend: models.Backend | None = None, make=models
     return run(chunks)
 
 
-def text_cosine(a: Column, b: Column, make=models.hashing_embedder) -> Column:
-    """Cosine of the embeddings of two texts, 0 where the second is empty."""
-
-    @F.pandas_udf("double")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        embed = make()
-        for x, y in batches:
-            u, v = (embed([t or "" for t in z]) for z in (x, y))
-            scale = np.linalg.norm(u, axis=1) * np.linalg.norm(v, axis=1)
-            yield pd.Series(np.where(scale == 0, 0.0, (u * v).sum(axis=1) / np.where(scale == 0, 1, scale)), index=x.index)
-
-    return run(a, b)
+def text_cosine(a: Column, b: Column) -> Column:
+    """Cosine of the signed word counts of two texts, 0 where one has no words; inside the JVM."""
+    return sparse.cosine(sparse.hashed(a), sparse.hashed(b))
 
 
 def gated(docs: DataFrame, text: str = "text") -> DataFrame:
