@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from lexloom.functions import decompose
 from lexloom.functions import text as T
 
 # The operators' patterns and replacements, in their order.
@@ -55,12 +54,9 @@ def dehyphenate(c: Column) -> Column:
     return F.when(T.has(c, r"-{s}*\n"), T.chain(c, DEHYPHENATE)).otherwise(c)
 
 
-@F.pandas_udf(StringType())
-def nfkd(texts: pd.Series) -> pd.Series:
-    """Compatibility decomposition, for which Spark has no function; plain ASCII texts pass untouched."""
-    import unicodedata
-
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t))
+def nfkd(c: Column) -> Column:
+    """Compatibility decomposition; plain ASCII texts pass untouched."""
+    return decompose.nfkd(c)
 
 
 def strip_control(c: Column) -> Column:

@@ -136,7 +136,7 @@ def clean_kept_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nfkd_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", N.nfkd("text").alias("t")).select("doc_id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
+    return docs(spark, sf_dir).select("doc_id", N.nfkd(F.col("text")).alias("t")).select("doc_id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
 
 
 def chunks(min_tokens: int) -> Query:

@@ -11,8 +11,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -39,56 +38,57 @@ class Assembler(StatefulProcessor):
         self.head = handle.getValueState("head", StructType([StructField("pages", IntegerType()), StructField("told", IntegerType())]))
         self.held = handle.getMapState("held", StructType([StructField("page", IntegerType())]), StructType([StructField("text", StringType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self.head.get() if self.head.exists() else None
         fresh: dict[int, str] = {}
         total = known[0] if known and not known[1] and known[0] >= 0 else None
-        for frame in rows:
-            for page, pages, text in zip(frame["page"], frame["pages"], frame["text"], strict=True):
-                if known and known[1]:
-                    yield self._row(key, [text], 0, LATE)
-                    continue
-                total = total if pd.isna(pages) else int(pages)
-                if not pd.isna(page):
-                    fresh.setdefault(int(page), "" if text is None else text)
+        for row in rows:
+            if known and known[1]:
+                yield self._row(key, [row.text], 0, LATE)
+                continue
+            total = total if row.pages is None else row.pages
+            if row.page is not None:
+                fresh.setdefault(row.page, row.text or "")
         if known and known[1]:
             return
         now = timerValues.getCurrentProcessingTimeInMs()
         held = {k[0]: v[0] for k, v in self.held.iterator()} if known else {}
         together = fresh | held
         if total is not None and all(p in together for p in range(1, total + 1)):
-            yield self._told(key, together, total, now)
+            yield self._told(key, together, total, now, known is not None)
             return
         for page, text in fresh.items():
             if page not in held:
                 self.held.updateValue((page,), (text,))
         self.head.update((-1 if total is None else total, 0))
-        self._wake(now + self.wait_ms)
+        self._wake(now + self.wait_ms, known is not None)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         known = self.head.get() if self.head.exists() else None
         if known is None or known[1]:
             self.head.clear()
             return
         held = {k[0]: v[0] for k, v in self.held.iterator()}
         total = known[0] if known[0] >= 0 else max(held, default=0)
-        yield self._told(key, held, total, timerValues.getCurrentProcessingTimeInMs())
+        yield self._told(key, held, total, timerValues.getCurrentProcessingTimeInMs(), True)
 
-    def _told(self, key, pages: dict[int, str], total: int, now: int) -> pd.DataFrame:
+    def _told(self, key, pages: dict[int, str], total: int, now: int, held: bool) -> Row:
         there = [pages[p] for p in sorted(pages) if p <= total]
         missing = sum(p not in pages for p in range(1, total + 1))
-        self.held.clear()
+        if held:
+            self.held.clear()
         self.head.update((total, 1))
-        self._wake(now + self.remember_ms)
+        self._wake(now + self.remember_ms, held)
         return self._row(key, there, missing, PARTIAL if missing else WHOLE)
 
-    def _wake(self, at: int) -> None:
-        for timer in list(self.handle.listTimers()):
+    def _wake(self, at: int, held: bool) -> None:
+        """The one timer of a key; held: whether it may have one already."""
+        for timer in list(self.handle.listTimers()) if held else ():
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(at)
 
-    def _row(self, key, texts: list[str], missing: int, status: str) -> pd.DataFrame:
-        return pd.DataFrame({"doc": [key[0]], "texts": [texts], "missing": [missing], "status": [status]})
+    def _row(self, key, texts: list[str], missing: int, status: str) -> Row:
+        return Row(doc=key[0], texts=texts, missing=missing, status=status)
 
     def close(self) -> None:
         pass
@@ -103,7 +103,7 @@ def assembled(pages: DataFrame, wait_ms: int = 600_000, remember_ms: int = 86_40
     kind = pages.schema["doc"].dataType
     out = StructType([StructField("doc", kind), StructField("texts", ArrayType(StringType())), StructField("missing", IntegerType()), StructField("status", StringType())])
     rows = pages.select("doc", F.col("page").cast("int"), F.col("pages").cast("int"), F.col("text").cast("string"))
-    return rows.groupBy("doc").transformWithStateInPandas(Assembler(wait_ms, remember_ms), out, "Append", "ProcessingTime")
+    return rows.groupBy("doc").transformWithState(Assembler(wait_ms, remember_ms), out, "Append", "ProcessingTime")
 
 
 @contextlib.contextmanager
