@@ -238,12 +238,10 @@ def centroid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("label", "dim", F.round("mean", 6).alias("mean"))
 
 
-def fold_query(how) -> Query:
+def fold_query(how: models.Fold) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-        ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
-        texts = turns.groupBy("conv_id").agg(F.transform(ordered, lambda x: x["text"]).alias("texts"))
-        return texts.select("conv_id", F.size("texts").alias("n"), models.folded(F.col("texts"), how=how).alias("summary"))
+        made = models.folded_rows(table(spark, sf_dir, "conversations"), "conv_id", "turn", how=how)
+        return made.select("conv_id", F.col("n").cast("int").alias("n"), "summary")
 
     return run
 
@@ -398,8 +396,8 @@ def queries() -> dict[str, Query]:
         "passage_dedup": dedup_query,
         "centroid_by_label": centroid_query,
         "chunk_summaries": chunk_summaries,
-        "refine_fold": fold_query(models.fold),
-        "merge_summaries": fold_query(models.merge),
+        "refine_fold": fold_query(models.Refining),
+        "merge_summaries": fold_query(models.Merging),
         "pipeline_events": events,
         "pipeline_event_counts": event_counts,
         "pipeline_summaries": summaries,

@@ -15,6 +15,7 @@ from lexloom.functions import normalize as N
 from lexloom.functions import predicates as P
 from lexloom.functions import text as T
 from lexloom.operators import chunking, lines, models, sparse, structure, vectors
+from lexloom.operators.asking import in_order
 from lexloom.session import checkpointed
 
 PARALLEL_OVER, SEQUENTIAL_CAP = 4, 8000
@@ -46,9 +47,13 @@ def dedup_texts(texts: Column, threshold: float = vectors.DEDUP_THRESHOLD, make=
     return run(texts)
 
 
-def condensed(chunks: Column, backend: models.Backend | None = None, make=models.hashing_embedder) -> Column:
+def condensed(chunks: Column, backend: models.Backend | None = None, make=models.hashing_embedder, workers: int = 1) -> Column:
     """struct<summaries, good, merged, seconds> of an ordered array of chunk texts: a summary each (null where there
     is none), how many count, and the merged one of those that are not too near to an earlier one.
+
+    workers: requests that a task has open at once. The chunks of a batch of documents are asked in one go, whichever
+    document they are of; merging is serial within a document, and so many documents are merged at once. seconds: those of
+    the batch, in equal parts.
     """
     used = backend or models.ExtractiveBackend()
 
@@ -56,15 +61,16 @@ def condensed(chunks: Column, backend: models.Backend | None = None, make=models
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         embed = make()
         for rows in batches:
-            out = []
-            for chunks_ in rows:
-                began = time.perf_counter()
-                all_ = list(chunks_) if chunks_ is not None else []
-                capped = all_ if len(all_) > PARALLEL_OVER else [c[:SEQUENTIAL_CAP] for c in all_]
-                said = [models.summarise_chunk(c, used) for c in capped]
-                good = [s for s in said if s and len(s.strip()) > models.KEEP_SUMMARY]
-                out.append((said, len(good), models.merge(greedy(good, embed), used), time.perf_counter() - began))
-            yield pd.DataFrame(out, columns=["summaries", "good", "merged", "seconds"])
+            began = time.perf_counter()
+            all_ = [[] if cs is None else list(cs) for cs in rows]
+            capped = [c if len(cs) > PARALLEL_OVER else c[:SEQUENTIAL_CAP] for cs in all_ for c in cs]
+            answers = in_order(lambda c: models.summarise_chunk(c, used), capped, workers)
+            said = [[next(answers) for _ in cs] for cs in all_]
+            next(answers, None)  # ends its threads
+            good = [[s for s in of if s and len(s.strip()) > models.KEEP_SUMMARY] for of in said]
+            merged = list(in_order(lambda texts: models.merge(texts, used), [greedy(g, embed) for g in good], workers))
+            share = (time.perf_counter() - began) / max(len(all_), 1)
+            yield pd.DataFrame({"summaries": said, "good": [len(g) for g in good], "merged": merged, "seconds": share})
 
     return run(chunks)
 
@@ -95,7 +101,7 @@ def with_chunks(ready: DataFrame, quality: str = "Balanced") -> DataFrame:
 FAILED = "[Failed]"
 
 
-def run_pipeline(docs: DataFrame, doc: str = "doc_id", text: str = "text", backend: models.Backend | None = None, quality: str = "Balanced", chunk_overlap: int = chunking.OVERLAP) -> DataFrame:
+def run_pipeline(docs: DataFrame, doc: str = "doc_id", text: str = "text", backend: models.Backend | None = None, quality: str = "Balanced", chunk_overlap: int = chunking.OVERLAP, workers: int = 1) -> DataFrame:
     """Events (doc, seq, type, doc_type, confidence, words, detection, total_chunks, max_tokens, chunk_id, is_last, summary,
     chunks_summarized, compression, metrics, seconds, message) of every document.
 
@@ -111,7 +117,7 @@ def run_pipeline(docs: DataFrame, doc: str = "doc_id", text: str = "text", backe
     if chunk_overlap < 0:
         raise ValueError("chunk_overlap counts sentences")
     ready = gated(docs.select(doc, F.coalesce(F.col(text), F.lit("")).alias("text"))).select(doc, "clean", "passes")
-    done = with_chunks(ready, quality).withColumn("said", condensed(F.col("chunks"), backend)).withColumn("summary", N.readability(F.col("said.merged")))
+    done = with_chunks(ready, quality).withColumn("said", condensed(F.col("chunks"), backend, workers=workers)).withColumn("summary", N.readability(F.col("said.merged")))
     cosine = text_cosine(F.left("clean", F.lit(8000)), F.left("summary", F.lit(8000)))
     scored = done.withColumn("cos", cosine).withColumns(
         {
@@ -208,13 +214,11 @@ def adaptive_summarise(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     return book.unionByName(paper).unionByName(general)
 
 
-def fold_only(texts: list[str], backend: models.Backend) -> str:
+class Untidied(models.Merging):
     """The first text, with each other worked in; no tidying at the end."""
-    running = ""
-    for t in texts:
-        if not running:
-            running = t
-            continue
-        answer = backend.complete(models.Request(models.prompt("refine", t, running[: models.RUNNING_CAP]), models.REFINE_TOKENS, models.WARM))
-        running = models.tidy(answer.text) if answer.ok else running + "\n\n" + t
-    return running
+
+    tidied = False
+
+
+def fold_only(texts: list[str], backend: models.Backend) -> str:
+    return models.whole(Untidied, texts, backend)
