@@ -101,7 +101,7 @@ def opening(text: Column) -> Column:
 
 
 def clean_documents(docs: DataFrame, text: str = "text", to: str = "clean", keep_newlines: bool = False) -> DataFrame:
-    """docs with the cleaned text. The one Python step, NFKD, runs between two JVM projections."""
+    """docs with the cleaned text, inside the JVM; what NFKD gives is a column of its own, so that it is computed once."""
     return (
         docs.withColumn("__nfkd", N.nfkd(opening(F.col(text))))
         .withColumn(to, clean(F.col(text), F.col("__nfkd"), keep_newlines))

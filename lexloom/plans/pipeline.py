@@ -16,7 +16,6 @@ from lexloom.functions import predicates as P
 from lexloom.functions import text as T
 from lexloom.operators import chunking, lines, models, sparse, structure, vectors
 from lexloom.operators.asking import in_order
-from lexloom.session import checkpointed
 
 PARALLEL_OVER, SEQUENTIAL_CAP = 4, 8000
 EVENTS = ("doc_detected", "summary_start", "chunk_summary", "final", "error")
@@ -156,64 +155,6 @@ def adaptive_route(detection: Column) -> Column:
     )
 
 
-def adaptive_summarise(docs: DataFrame, doc: str = "doc_id", text: str = "text", backend: models.Backend | None = None) -> DataFrame:
-    """(doc, doc_type, confidence, summary, title, names, parts, metadata): each document by its type's strategy.
-
-    Detection reads the raw text. Books go by chapter, papers by section, all else by chunk. A null text is an
-    empty one; no rows are joined, so those with a null or a repeated id are documents of their own.
-    """
-    held = docs.select(doc, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    seen = checkpointed(held.withColumn("d", detect.detection(F.col("text"))).withColumn("route", adaptive_route(F.col("d"))))
-    shared = [F.col(doc), F.col("route").alias("doc_type"), F.col("d.confidence").alias("confidence")]
-    first = lambda a: F.transform(a, lambda s: s["text"])
-
-    def each(texts: Column) -> Column:
-        """Summaries of an array of texts, one request each, null where there is none."""
-        used = backend or models.ExtractiveBackend()
-
-        @F.pandas_udf("array<string>")
-        def run(rows: pd.Series) -> pd.Series:
-            return rows.map(lambda xs: [models.summarise_chunk(x, used) for x in xs])
-
-        return run(texts)
-
-    book = seen.filter("route = 'book'").withColumn("all", structure.chapters(F.col("text"))).withColumn("parts", structure.top_chapters(F.col("all")))
-    book = book.withColumn("said", each(first(F.col("parts"))))
-    titled = F.filter(F.transform("parts", lambda c, i: F.concat(F.lit("### Chapter "), c["number"], F.lit(": "), c["title"], F.lit("\n"), F.get(F.col("said"), i))), lambda x: x.isNotNull())
-    book = book.withColumn("titled", titled).withColumn("overview", models.folded(F.col("titled"), backend, fold_only))
-    book = book.select(
-        *shared,
-        structure.book_layout(structure.book_title(F.col("text")), structure.book_author(F.col("text")), F.size("all"), F.size("titled"), F.col("overview")).alias("summary"),
-        structure.book_title(F.col("text")).alias("title"),
-        F.array(structure.book_author(F.col("text"))).alias("names"),
-        F.size("titled").alias("parts"),
-        F.col("d.metadata").alias("metadata"),
-    )
-    paper = seen.filter("route = 'paper'").withColumn("found", structure.summarised_sections(structure.sections(F.col("text"))))
-    paper = paper.withColumn("said", each(first(F.col("found"))))
-    named = F.filter(F.transform("found", lambda s, i: F.struct(s["name"].alias("name"), F.get(F.col("said"), i).alias("text"))), lambda s: s["text"].isNotNull())
-    paper = paper.withColumn("named", named).withColumn("joined", models.folded(first(F.col("named")), backend, fold_only))
-    paper = paper.select(
-        *shared,
-        structure.paper_layout(structure.paper_title(F.col("text")), structure.paper_authors(F.col("text")), F.transform("named", lambda s: s["name"]), F.col("joined")).alias("summary"),
-        structure.paper_title(F.col("text")).alias("title"),
-        structure.paper_authors(F.col("text")).alias("names"),
-        F.size("named").alias("parts"),
-        F.col("d.metadata").alias("metadata"),
-    )
-    general = seen.filter("route = 'general'")
-    plain = lines.clean_documents(general)
-    general = plain.withColumn("texts", T.settled(F.transform(chunking.chunk_or_head(F.col("clean")), lambda c: c["text"]))).select(
-        *shared,
-        models.folded(F.col("texts"), backend, models.fold).alias("summary"),
-        F.lit(None).cast("string").alias("title"),
-        F.array().cast("array<string>").alias("names"),
-        F.size("texts").alias("parts"),
-        F.col("d.metadata").alias("metadata"),
-    )
-    return book.unionByName(paper).unionByName(general)
-
-
 class Untidied(models.Merging):
     """The first text, with each other worked in; no tidying at the end."""
 
@@ -222,3 +163,54 @@ class Untidied(models.Merging):
 
 def fold_only(texts: list[str], backend: models.Backend) -> str:
     return models.whole(Untidied, texts, backend)
+
+
+def routed(route: Column, parts: Column, backend: models.Backend | None = None, workers: int = 1) -> Column:
+    """struct<summary, heads> of an array of parts (head, text): of books and papers each part is summarised and what is
+    told is worked into one, behind its head in a book; of other texts the parts themselves are. heads: of the parts that
+    were told.
+    """
+    used = backend or models.ExtractiveBackend()
+
+    def one(kind: str, of: list[dict]) -> tuple[str, list[str]]:
+        texts = [p["text"] for p in of]
+        if kind == "general":
+            return models.fold(texts, used), [p["head"] for p in of]
+        said = in_order(lambda t: models.summarise_chunk(t, used), texts, workers)
+        told = [(p["head"], t) for p, t in zip(of, said, strict=True) if t is not None]
+        return fold_only([head + t if kind == "book" else t for head, t in told], used), [head for head, _ in told]
+
+    @F.pandas_udf("struct<summary:string,heads:array<string>>")
+    def run(routes: pd.Series, rows: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(k, list(ps)) for k, ps in zip(routes, rows, strict=True)], columns=["summary", "heads"])
+
+    return run(route, parts)
+
+
+def adaptive_summarise(docs: DataFrame, doc: str = "doc_id", text: str = "text", backend: models.Backend | None = None, workers: int = 1) -> DataFrame:
+    """(doc, doc_type, confidence, summary, title, names, parts, metadata): each document by its type's strategy.
+
+    Detection reads the raw text. Books go by chapter, papers by section, all else by chunk: the route chooses the array
+    of parts, and all documents pass one narrow projection. A null text is an empty one; no rows are joined, so those
+    with a null or a repeated id are documents of their own.
+    """
+    none = F.array().cast("array<struct<head:string,text:string>>")
+    held = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("d", detect.detection(F.col("text"))).withColumn("route", adaptive_route(F.col("d")))
+    general, book, paper = (F.col("route") == k for k in ("general", "book", "paper"))
+    cleaned = lines.clean_documents(held.withColumn("plain", F.when(general, F.col("text")).otherwise("")), "plain")
+    chapters = cleaned.withColumn("chapters", F.when(book, structure.chapters(F.col("text"))))
+    part = lambda head, t: F.struct(head.cast("string").alias("head"), t.alias("text"))
+    of_book = F.transform(structure.top_chapters(F.col("chapters")), lambda c: part(F.concat(F.lit("### Chapter "), c["number"], F.lit(": "), c["title"], F.lit("\n")), c["text"]))
+    of_paper = F.transform(structure.summarised_sections(structure.sections(F.col("text"))), lambda s: part(s["name"], s["text"]))
+    of_general = F.transform(chunking.chunk_or_head(F.col("clean")), lambda c: part(F.lit(""), c["text"]))
+    parted = chapters.withColumn("parts", T.settled(F.coalesce(F.when(book, of_book).when(paper, of_paper).otherwise(of_general), none)))
+    said = parted.withColumn("said", routed(F.col("route"), F.col("parts"), backend, workers)).withColumn("n", F.size("said.heads"))
+    title = F.when(book, structure.book_title(F.col("text"))).when(paper, structure.paper_title(F.col("text")))
+    names = F.when(book, F.array(structure.book_author(F.col("text")))).when(paper, structure.paper_authors(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    named = said.withColumns({"title": title, "names": names})
+    summary = (
+        F.when(book, structure.book_layout(F.col("title"), F.get("names", F.lit(0)), F.size("chapters"), F.col("n"), F.col("said.summary")))
+        .when(paper, structure.paper_layout(F.col("title"), F.col("names"), F.col("said.heads"), F.col("said.summary")))
+        .otherwise(F.col("said.summary"))
+    )
+    return named.select(F.col("doc").alias(doc), F.col("route").alias("doc_type"), F.col("d.confidence").alias("confidence"), summary.alias("summary"), "title", "names", F.col("n").alias("parts"), F.col("d.metadata").alias("metadata"))
