@@ -44,6 +44,8 @@ BAD_WORDS = frozenset(
     "disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo "
     "promoted reply replies respond sharing sidebar sidenav signup sponsor sponsored subscribe teaser toolbar topbar".split()
 )
+#: Those of them that name a place in a layout, and so are found on wrappers of whole pages too.
+PLACE_WORDS = frozenset("banner footer masthead menu menubar modal nav navbar navigation overlay pager pagination sidebar sidenav toolbar topbar".split())
 HINT_WORDS = frozenset("header promotion recommended related share social widget widgets".split())
 #: Next to these such a word tells of a layout, not of the element.
 MODIFIERS = frozenset("has with no without".split())
@@ -60,6 +62,9 @@ _TOKEN = re.compile(
 )
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW_TAGS}
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_HREF = re.compile(r"(?:^|\s)href(?=[\s=]|$)", re.I)
+#: A notice of rights: the mark at the begin, or before a year.
+_RIGHTS = re.compile(r"^\W*(?:copyright\b|©)|©\s*(?:19|20)\d\d", re.I)
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -81,47 +86,58 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     region: int = 0  # 0: outside an article, 1: inside, 2: inside, in what hints at boilerplate, -1: in a boilerplate container
+    wrapper: int = 0  # the outermost container that may be a mere wrapper, if that is what makes the region -1
+    within: int = 0  # the region without that container
     heading: bool = False
     text: str = ""
     label: int = 0  # 1 good, -1 bad, 0 ambiguous
     decided: str = ""  # what decided: container, density, neighbour or article
 
 
-def _region(tag: str, attributes: str, inside: int) -> int:
-    """What an element makes of its content, given what it stands in."""
+def _region(tag: str, attributes: str, inside: int) -> tuple[int, bool]:
+    """What an element makes of its content, given what it stands in, and whether it may be a wrapper all the same: a
+    form, or an element outside articles whose name tells a place in a layout and nothing worse.
+    """
     if inside < 0:
-        return -1
+        return -1, False
     if tag in BAD_TAGS or (tag == "header" and inside == 0):
-        return -1
-    found = inside
+        return -1, tag == "form" and not inside
+    found, wrapper = inside, False
     if attributes and tag not in ("body", "html"):
         for name, value in _NAMES.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                return -1
+                return -1, False
             if name == "role":
                 if value.lower() in BAD_ROLES:
-                    return -1
+                    return -1, False
                 if value.lower() in ARTICLE_TAGS and not inside:
                     found = 1
             elif name in ("class", "id") and tag not in ARTICLE_TAGS:
                 words = {w.lower() for w in _WORD.findall(_CAMEL.sub(" ", value))}
                 if words & BAD_WORDS and not words & MODIFIERS:
-                    return -1
-                if found and words & HINT_WORDS:
+                    if words & BAD_WORDS - PLACE_WORDS:
+                        return -1, False
+                    if inside:  # in an article a place's name alone drops nothing: densities are asked
+                        found = 2
+                    else:
+                        wrapper = True
+                elif found and words & HINT_WORDS:
                     found = 2
                 elif not inside and words & HINT_WORDS == {"header"}:
-                    return -1
+                    return -1, False
                 elif not inside and words & ARTICLE_WORDS:
                     found = 1
-    return 1 if tag in ARTICLE_TAGS else found
+    if wrapper:
+        return -1, True
+    return (1 if tag in ARTICLE_TAGS else found), False
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open elements that can change the region
-    links, at = 0, 0
+    stack: list[tuple[str, int, int, int]] = []  # open elements that can change the region, with region, wrapper and region without it
+    links, at, wrappers = 0, 0, 0
     now = Block()
 
     def close(tag: str = "") -> None:
@@ -130,8 +146,8 @@ def blocks(page: str) -> list[Block]:
             now.text = " ".join(html.unescape("".join(now.parts)).split())
             if now.text:
                 out.append(now)
-        region = stack[-1][1] if stack else 0
-        now = Block(region=region, heading=tag[:1] == "h" and tag[1:].isdigit())
+        region, wrapper, within = stack[-1][1:] if stack else (0, 0, 0)
+        now = Block(region=region, wrapper=wrapper, within=within, heading=tag[:1] == "h" and tag[1:].isdigit())
 
     def text(piece: str) -> None:
         now.parts.append(piece)
@@ -157,7 +173,7 @@ def blocks(page: str) -> list[Block]:
             if tag == "title":
                 at = page.find("<", at) if "<" in page[at:] else len(page)
         if tag == "a":
-            links = 0 if closing else 1
+            links = 0 if closing else int(bool(_HREF.search(attributes)))  # one without is an anchor, no link
         elif tag == "br":
             now.parts.append(" ")
         elif closing:
@@ -171,11 +187,18 @@ def blocks(page: str) -> list[Block]:
         elif tag in BLOCK_TAGS:
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-            inside = stack[-1][1] if stack else 0
+            inside, wrapper, within = stack[-1][1:] if stack else (0, 0, 0)
             if tag not in VOID_TAGS:
-                region = _region(tag, attributes, inside)
-                if tag != "p" or region != inside:  # a plain paragraph often stays open
-                    stack.append((tag, region))
+                region, may_wrap = _region(tag, attributes, inside)
+                if wrapper:
+                    own = _region(tag, attributes, within)[0]
+                elif may_wrap:
+                    wrappers += 1
+                    wrapper, own = wrappers, inside
+                else:
+                    own = region
+                if tag != "p" or (region, own) != (inside, within):  # a plain paragraph often stays open
+                    stack.append((tag, region, wrapper, own))
             close(tag)
     if at < len(page):
         text(page[at:])
@@ -188,7 +211,7 @@ def first_pass(text: str, linked: int, region: int, rules: Rules) -> int:
     n = len(text)
     if linked > rules.max_links * n:
         return 0 if region == 1 else -1
-    if n < rules.long and region != 1 and "©" in text:
+    if n < rules.long and region != 1 and _RIGHTS.search(text):
         return -1
     if n < rules.short:
         return 0
@@ -199,8 +222,24 @@ def first_pass(text: str, linked: int, region: int, rules: Rules) -> int:
     return 0 if stop >= rules.stop_low or region == 1 else -1
 
 
+def unwrap(found: list[Block], rules: Rules) -> None:
+    """A container that may be a wrapper, and holds over half of the page's prose while no article is marked outside it, is
+    no boilerplate: its blocks take the region that they have without it. Prose: blocks that densities call good.
+    """
+    if not any(b.wrapper for b in found) or any(b.region > 0 for b in found):
+        return
+    prose: dict[int, int] = {}
+    for b in found:
+        if (b.within if b.wrapper else b.region) >= 0 and first_pass(b.text, b.linked, 0, rules) > 0:
+            prose[b.wrapper] = prose.get(b.wrapper, 0) + len(b.text)
+    for b in found:
+        if b.wrapper and 2 * prose.get(b.wrapper, 0) > sum(prose.values()):
+            b.region = b.within
+
+
 def classify(found: list[Block], rules: Rules = Rules()) -> None:
     """Sets the labels of a page's blocks."""
+    unwrap(found, rules)
     marked = any(b.region > 0 for b in found)
     asked = []
     for b in found:

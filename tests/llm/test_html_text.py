@@ -83,6 +83,27 @@ def test_markup_is_a_feature_and_loses_no_text(page, text):
     assert main_text(page) == text
 
 
+OTHER = "A dog ran by the river and it was not as quick as the one that had been there in the morning with all of its friends. "
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><form id=aspnet>{NAV}<div><h1>T</h1><p>{LONG}</p></div><div class=sidebar>{OTHER}</div></form></body>", f"T\n{PROSE}"),
+        (f'<div id="sidebar-left-layout"><article><h1>T</h1><p>{LONG}</p></article></div>', f"T\n{PROSE}"),
+        (f'<div class="page-with-nav menu"><div><p>{LONG}</p></div><div class=menu>{OTHER}</div><div class=ads>{OTHER}</div></div>', PROSE),
+        (f"<div><p>{LONG}</p></div><form><p>{OTHER}</p></form>", PROSE),  # a form with less than half of it
+        (f"<article><p>One</p></article><form><p>{LONG}</p></form>", "One"),  # an article is marked outside
+        (f"<div><p>{OTHER}</p></div><div class=comments><p>{LONG}</p><p>{LONG}</p></div>", OTHER.strip()),  # comments are none, however long
+        (f'<article><p>{LONG}</p><section id="menu"><p>{OTHER * 2}</p></section><div class=sidebar><a href=x>Read this too</a></div></article>', f"{PROSE}\n{(OTHER * 2).strip()}"),
+        (f"<div><p><a name=top>{LONG}</a></p><p><a href=x>{LONG}</a></p></div>", PROSE),
+        (f"<div><p>{LONG}</p><p>The sign © stands for the rights of those who wrote the work, and it was in the law by then.</p><p>Copyright by us</p><p>All © 2020</p></div>", f"{PROSE}\nThe sign © stands for the rights of those who wrote the work, and it was in the law by then."),
+    ],
+)
+def test_wrappers_anchors_and_signs_lose_no_text(page, text):
+    assert main_text(page) == text
+
+
 def by_brute_force(found, rules=html_text.Rules()):
     """Labels by the two passes as the module's text has them, block against block."""
     marked = any(b.region > 0 for b in found)
@@ -92,7 +113,7 @@ def by_brute_force(found, rules=html_text.Rules()):
         words = re.findall(r"[^\W\d_]+", b.text.lower())
         stop = sum(w in html_text._STOP for w in words) / max(1, len(words))
         links, n, sure = b.linked / len(b.text), len(b.text), b.region == 1
-        if links > rules.max_links or (not sure and n < rules.long and "©" in b.text):
+        if links > rules.max_links or (not sure and n < rules.long and re.search(r"(?i)^\W*(copyright\b|©)|©\s*(19|20)\d\d", b.text)):
             return "?" if sure else "bad"
         if n >= rules.short and (stop >= rules.stop_high or (n >= rules.long and stop >= rules.stop_low)):
             return "good"
