@@ -89,8 +89,8 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages of corpus_pipeline.py; the rows without the piece ids, which ids_sha256 stands for."""
-    return corpus_pipeline.run(spark, sf_dir).drop("ids")
+    """All stages of corpus_pipeline.py, with the piece ids of each segmentation."""
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -332,7 +332,7 @@ def alike(texts: list[str | None], node: np.ndarray, fp: np.ndarray, radius: int
     a, b = [], []
     for i in range(len(texts) - 1):
         far = _ones(fp[i + 1 :] ^ fp[i])
-        near = np.flatnonzero(((far <= radius) | (n[i + 1 :] < FEW)) & (root[i + 1 :] != root[i]) & (node[i + 1 :] != node[i]) & ((side[i] == 0) | (side[i + 1 :] != side[i])))
+        near = np.flatnonzero(((far <= radius) | (np.minimum(n[i + 1 :], n[i]) < FEW)) & (root[i + 1 :] != root[i]) & (node[i + 1 :] != node[i]) & ((side[i] == 0) | (side[i + 1 :] != side[i])))
         near = near[np.argsort(far[near], kind="stable")] + i + 1  # the likeliest first: what they link needs no look
         near = near[np.minimum(n[near], n[i]) >= similarity * np.maximum(n[near], n[i])]
         step = 8
