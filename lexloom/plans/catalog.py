@@ -16,6 +16,7 @@ from lexloom.operators import chunking, dedup, lines, models, sparse, structure,
 from lexloom.plans import oracle, pipeline
 from lexloom.session import remove_at_end, shared_dir, spread, table
 from lexloom.sources import documents
+from lexloom.sources import paged as paged_files
 from lexloom.streaming import events as events_stream
 from lexloom.streaming import pages
 
@@ -301,6 +302,13 @@ def page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("doc").alias("doc_id"), "n_pages", "missing", "status", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the table's files, read as pages in ranges: each page's own text, or a stand-in where that is not valid."""
+    made = paged_files.read_pages(spark, f"{sf_dir}/documents.parquet", paged_files.ParquetPages())
+    text = documents.page_text(F.coalesce("text", F.lit("")), F.lit("recognised"))
+    return made.select(text.alias("t")).groupBy(F.md5("t").alias("text_md5"), F.length("t").alias("n_chars")).agg(F.count("*").alias("n"))
+
+
 def adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.pmod(F.length("text"), F.lit(3))
     text = F.when(shape == 0, book_like(F.col("text"))).when(shape == 1, paper_like(F.col("text"))).otherwise(F.col("text"))
@@ -403,6 +411,7 @@ def queries() -> dict[str, Query]:
         "pipeline_summaries": summaries,
         "adaptive_summaries": adaptive,
         "page_stream": page_stream,
+        "page_ranges": page_ranges,
     }
 
 

@@ -760,6 +760,7 @@ def sql() -> dict[str, str]:
         "src_documents": text_md5("text"),
         "ingest_gate": text_md5(f"CASE WHEN length({strip('text')}) < 50 THEN '' ELSE text END"),
         "join_pages": text_md5(f"array_to_string({stripped_pages}, chr(10) || chr(10))"),
+        "page_ranges": docs(f"p AS (SELECT CASE WHEN {page_ok('text', 50)} THEN {strip('text')} ELSE 'recognised' END AS t FROM d)", final="SELECT md5(t) AS text_md5, length(t) AS n_chars, count(*) AS n FROM p GROUP BY ALL"),
         "page_fallback": text_md5(f"array_to_string(list_filter(list_transform(list_transform(string_split(text, chr(10)), lambda p: CASE WHEN {page_ok('p', 50)} THEN {strip('p')} ELSE 'recognised' END), lambda p: {strip('p')}), lambda p: p <> ''), chr(10) || chr(10))"),
         "ordered_concat": f"""WITH t AS (SELECT conv_id, turn, {strip("coalesce(text, '')")} AS s FROM conversations), m AS (SELECT conv_id, coalesce(string_agg(CASE WHEN s <> '' THEN s END, chr(10) || chr(10) ORDER BY turn), '') AS t FROM t GROUP BY conv_id)
           SELECT conv_id, length(t) AS n_chars, md5(t) AS text_md5 FROM m""",
