@@ -276,7 +276,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events. Of what a model says, only that there is something, and that scores lie in their range."""
     made = pipeline.run_pipeline(docs(spark, sf_dir))
     scored = F.col("metrics.overall_score").between(0, 1) & (F.col("metrics.original_words") >= 0)
-    return made.select("doc_id", "seq", "type", "doc_type", "words", "total_chunks", "chunk_id", "is_last", F.length("summary").isNotNull().alias("has_summary"), scored.alias("scored"))
+    return made.select("doc_id", "seq", "type", "doc_type", "confidence", "words", "total_chunks", "max_tokens", "chunk_id", "is_last", F.length("summary").isNotNull().alias("has_summary"), scored.alias("scored"))
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,13 +235,14 @@ def events(final: str) -> str:
         "bare AS (SELECT doc_id, 0 AS chunk_id, left(text, 8000) AS text FROM d WHERE doc_id NOT IN (SELECT doc_id FROM k))",
         "every AS (SELECT doc_id, chunk_id, text FROM k UNION ALL SELECT doc_id, chunk_id, text FROM bare)",
         f"valid AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) - 1 AS i FROM every WHERE {valid_chunk('text')})",
-        "head AS (SELECT dk.doc_id, dk.t AS doc_type, dk.words, (SELECT count(*) FROM valid WHERE valid.doc_id = dk.doc_id) AS total FROM dk)",
+        """head AS (SELECT dk.doc_id, dk.t AS doc_type, dk.words, (SELECT count(*) FROM valid WHERE valid.doc_id = dk.doc_id) AS total,
+          round_even(CASE WHEN dk.t = 'book' THEN b WHEN dk.t = 'paper' THEN p ELSE 1.0::DOUBLE - greatest(b, p) END, 2) AS sure, CASE WHEN length(d.text) > 50000 THEN 1000 ELSE 800 END AS most FROM dk JOIN d ON d.doc_id = dk.doc_id)""",
         """al AS (
-          SELECT doc_id, 0 AS seq, 'error' AS type, NULL AS doc_type, NULL::INT AS words, NULL::INT AS total_chunks, NULL::INT AS chunk_id, NULL::BOOLEAN AS is_last, false AS has_summary, NULL::BOOLEAN AS scored FROM zm WHERE length(t) < 100
-          UNION ALL SELECT doc_id, 0, 'doc_detected', doc_type, words, NULL, NULL, NULL, false, NULL FROM head
-          UNION ALL SELECT doc_id, 1, 'summary_start', doc_type, words, total, NULL, NULL, false, NULL FROM head
-          UNION ALL SELECT doc_id, 2 + i, 'chunk_summary', NULL, NULL, total, i, i = total - 1, true, NULL FROM valid JOIN head USING (doc_id)
-          UNION ALL SELECT doc_id, 2 + total, 'final', doc_type, NULL, total, NULL, NULL, true, true FROM head)""",
+          SELECT doc_id, 0 AS seq, 'error' AS type, NULL AS doc_type, NULL::DOUBLE AS confidence, NULL::INT AS words, NULL::INT AS total_chunks, NULL::INT AS max_tokens, NULL::INT AS chunk_id, NULL::BOOLEAN AS is_last, false AS has_summary, NULL::BOOLEAN AS scored FROM zm WHERE length(t) < 100
+          UNION ALL SELECT doc_id, 0, 'doc_detected', doc_type, sure, words, NULL, NULL, NULL, NULL, false, NULL FROM head
+          UNION ALL SELECT doc_id, 1, 'summary_start', doc_type, sure, words, total, most, NULL, NULL, false, NULL FROM head
+          UNION ALL SELECT doc_id, 2 + i, 'chunk_summary', NULL, NULL, NULL, total, NULL, i, i = total - 1, true, NULL FROM valid JOIN head USING (doc_id)
+          UNION ALL SELECT doc_id, 2 + total, 'final', doc_type, sure, NULL, total, NULL, NULL, NULL, true, true FROM head)""",
     ]
     return "WITH " + ", ".join(steps) + " " + final
 
