@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.operators import models
 from lexloom.operators.asking import Answers, SharedRate, in_order
-from lexloom.operators.models import HttpBackend, Request, Response
+from lexloom.operators.models import HttpBackend, Response
 from lexloom.plans import pipeline
 
 
