@@ -171,3 +171,12 @@ def test_a_node_is_a_set_of_shingles(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "A b  c d e f"), (3, "a b c d e f a b c d e f"), (4, "x y"), (5, "X Y"), (6, " "), (7, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["node"] for r in simhash.fingerprint_column(docs, "doc_id", "text", 5, 2, distinct=True).collect()}
     assert got[1] == got[2] != got[3] and got[4] == got[5] and got[6] is got[7] is None
+
+
+@pytest.mark.parametrize("order", [(0, 1), (1, 0)])
+def test_a_small_set_is_compared_whichever_comes_first(order):
+    """Seven shingles against eight, with fingerprints that are far from each other."""
+    texts = ["a b c d e f g h i j k", "a b c d e f g h i j k l"]
+    fp = np.array([[0] * 16, [2**64 - 1] * 16], np.uint64)
+    picked = [texts[i] for i in order]
+    assert simhash.alike(picked, np.array([5, 9])[list(order)], fp, 10, 5, 0.8, np.zeros(2, int))[0] == [(5, 9)[order[0]]]
