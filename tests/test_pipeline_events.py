@@ -1,11 +1,12 @@
 import glob
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import models
-from lexloom.plans import pipeline
+from lexloom.plans import catalog, oracle, pipeline
 from lexloom.streaming import events, progress
 
 GOOD = " ".join(f"This is sentence number {w} of the text that we have here." for w in "one two three four five six seven".split())
@@ -69,6 +70,17 @@ def test_no_valid_chunk_still_ends_well(made):
     assert [r["type"] for r in made[5]][0] == "doc_detected" and made[5][-1]["type"] == "final"
 
 
+def test_query_equals_sql_where_no_chunk_is_valid(spark, tmp_path):
+    rows = [(1, "x" * 200), (2, GOOD), (3, "short"), (4, "ab cd. " * 40)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.events(spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({oracle.sql()['pipeline_events']})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert [r["scored"] for r in got.filter("doc_id = 1").orderBy("seq").collect()] == [None, None, True]
+
+
 def test_adaptive_strategies(spark):
     book = "A BOOK OF CHAPTERS\nBy: Ann Lee\nContents\n" + "\n".join(f"Chapter {i}: Name {i}\n{GOOD}" for i in range(1, 8))
     paper = "A Paper With a Long Title\nBob Ray, 1\n" + "\n".join(f"{s}\n{GOOD}" for s in ("Abstract", "Introduction", "Methodology", "Results", "Discussion", "Conclusion", "References"))
