@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import detect
+from lexloom.functions import normalize as N
 from lexloom.functions import text as T
+from lexloom.operators import lines
 
 BITS = ["a", "Bz", "Z", ".", ",", "!", "?", "-", " ", "\n", "\r", "\r\n", "\t", "\x1c", "\x85", "\xa0", " ", "0", "59", "_", "é", "٣", "\U0001d400", "\U0001d7d9", "中", "²",
         "wo-\nrd", "- \n ", "\nPart x", "Chapter 1", "\nchapter 2", "CHAPTER 3", "Ch. 4", "CONTENTS\n", "\nAbstract\n", "abstract", "References", "of ce", "Speci c", "DE NED", "ſpeci c", "Made with Gamma", "the end. Next"]
@@ -22,6 +24,18 @@ def differ(odd, a, b):
     return odd.select("t", a.alias("a"), b.alias("b")).filter(~F.col("a").eqNullSafe(F.col("b"))).take(3)
 
 
+def test_cleaner_steps(odd):
+    t = F.col("t")
+    steps = [*N.NEWLINES, *N.MISSING_SPACES, *N.AFTER_STOPS, *N.DEHYPHENATE]
+    assert len(N.SPACED) < len(N.MISSING_SPACES)
+    assert not differ(odd, T.chain(t, steps), lines.opening(t))
+    assert not differ(odd, T.chain(t, N.AFTER_STOPS), N.after_stops(t))
+    assert not differ(odd, T.chain(t, [(rf"(?iu)(?U)\b{found}\b", whole) for found, whole in N.LIGATURES]), N.ligatures(t))
+    all_ = F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(T.replace(t, rf"(?:{T.BREAK})\z", ""), T.BREAK))
+    assert not differ(odd, all_, T.lines(t))
+    assert not differ(odd, F.length(t) - F.length(F.translate(t, T.WS_CHARS, "")), T.chars_of(t, T.WS_CHARS))
+
+
 def test_detector_patterns(odd):
     t, behind = F.col("t"), F.concat(F.lit("\n"), F.col("t"))
     for p in [*detect.BOOK_PATTERNS, *[detect.SECTION.replace("{name}", f"(?:{s})") for s in detect.PAPER_SECTIONS]]:
