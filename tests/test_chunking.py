@@ -222,3 +222,12 @@ def test_dropped_vectors_drop_no_others(spark):
 def test_cosine(spark):
     rows = spark.createDataFrame([([1.0, 2.0], [2.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     assert [r[0] for r in rows.select(vectors.cosine(F.col("a"), F.col("b"))).collect()] == [pytest.approx(0.8), 0.0]
+
+
+@pytest.mark.parametrize("name", ["semantic_chunks", "adjacent_similarity"])
+def test_no_filter_computes_an_array_again(spark, name):
+    """Of a column that a generator takes, Spark asks first whether it is null and whether it is empty."""
+    from lexloom.plans import catalog
+
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan
