@@ -1,0 +1,62 @@
+"""Classes and steps that are written for the JVM, held against the patterns that define them, and how often texts are read."""
+
+import random
+import unicodedata
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexloom.functions import decompose, metrics
+from lexloom.functions import normalize as N
+from lexloom.functions import predicates as P
+from lexloom.functions import text as T
+from lexloom.operators import sparse
+from lexloom.plans import pipeline
+
+BITS = ["a", "Bz", "Zürich", ".", ",", "!", "?", "-", " ", "  ", "\n", "\r\n", "\t", " \t", "\x1c", "\x85", "\xa0", " ", "0", "59", "_", "é", "ẹ́", "ṩ", "가", "ﬁ", "٣",
+        "\U0001d400", "\U0001d7d9", "中", "²", "A1-B2", "XYZ", "12", "rhythm", "MMXX-9999", "😀", "😀xyz", "Made with Gamma", "1a", ".5", ",b", ".A", "A", "NBC", "7", "qrst", " tree", " employee", " a-be", "co-ed", " yes", " Eye"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rng = random.Random(11)
+    made = lambda: rng.choice(["", "", " "]).join(rng.choices(BITS, k=rng.choice([0, 1, 2, 5, 30])))
+    return spark.createDataFrame([(made(),) for _ in range(4000)], "t string").repartition(4).cache()
+
+
+def differ(odd, a, b):
+    return odd.select("t", a.alias("a"), b.alias("b")).filter(~F.col("a").eqNullSafe(F.col("b"))).take(3)
+
+
+def test_classes_hold_the_same_characters(spark):
+    codes = spark.range(0x20, 0x110000).filter("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    for name in ("{s}", "{S}", "{w}", "{W}", "{d}"):
+        assert T.java(name) != T.rx(name)
+        assert codes.filter(F.col("c").rlike(T.rx(f"^{name}$")) != F.col("c").rlike(T.java(f"^{name}$"))).count() == 0, name
+
+
+def test_steps_in_one_go(odd):
+    t = F.col("t")
+    assert not differ(odd, T.chain(t, N.SPACED), N.missing_spaces(t))
+    assert not differ(odd, T.chain(t, N.CHUNK_CLEAN), N.chunk_clean(t))
+    squeezed = lambda c: F.array_join(F.transform(F.split(c, "\n\n"), N.light_cleanup), "\n\n")
+    assert not differ(odd, T.chain(squeezed(t), N.SQUEEZE), N.per_paragraph(t))
+    assert not differ(odd, F.udf(lambda x: unicodedata.normalize("NFKD", x))(t), decompose.nfkd(t))
+    by_word = T.let(T.tokens(t), lambda w: (F.size(w) >= 4) & (2 * F.size(F.filter(w, lambda x: T.has(x, P.DATA_TOKEN))) > F.size(w)))
+    assert not differ(odd, by_word, P.data_row(t))
+    assert odd.filter(by_word).count() > 20
+    words = F.regexp_extract_all(T.plain_words(t), F.lit(metrics.WORD), F.lit(0))
+    assert not differ(odd, T.total(F.transform(words, metrics.syllables)), metrics.all_syllables(words).cast("bigint"))
+    for n in (1, 3, 10):
+        assert not differ(odd, F.least(F.size(T.tokens(t)), F.lit(n)), T.fewer_tokens(t, F.lit(n)))
+
+
+def test_cosine_is_that_of_sparse_vectors(odd):
+    t, u = F.col("t"), F.reverse("t")
+    assert not differ(odd, sparse.cosine(sparse.hashed(t), sparse.hashed(u)), pipeline.text_cosine(t, u))
+
+
+def test_words_of_a_text_are_counted_once(spark):
+    made = pipeline.run_pipeline(spark.createDataFrame([(1, "x")], "doc_id bigint, text string")).filter("type = 'final'").select("doc_type", "metrics.*", "compression")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("size(regexp_extract_all(clean#") == 1
