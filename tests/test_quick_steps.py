@@ -42,3 +42,12 @@ def test_detector_patterns(odd):
         assert not differ(odd, T.count_of(t, p), T.count_of(behind, detect._headed(p)))
     for name in ("Abstract", "References?"):
         assert not differ(odd, T.has(t, detect.WHOLE_WORD.replace("{name}", name)), T.has(t, detect._whole_word(name)))
+
+
+def test_texts_without_a_heading_are_told_by_one_look(odd):
+    t, behind = F.col("t"), F.concat(F.lit("\n"), F.col("t"))
+    sections = [detect.SECTION.replace("{name}", f"(?:{s})") for s in detect.PAPER_SECTIONS]
+    for heads, patterns in ((detect.BOOK_HEADS, detect.BOOK_PATTERNS), (detect.PAPER_HEADS, sections)):
+        found = F.greatest(*(T.has(t, p) for p in patterns))
+        assert not odd.filter(found & ~T.has(behind, heads)).take(3)
+        assert odd.filter(~T.has(behind, heads)).count() > 500
