@@ -23,6 +23,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 #: Characters of text sampled together, and edges that a bank of lattices holds before it starts anew.
 BATCH_CHARS, BANK_EDGES = 500_000, 3_000_000
+#: A path of a higher log-probability than this has what it leaves of its unit summed from the other edges.
+NEAR = -1e-3
 _PRIME = np.uint64(0x100000001B3)
 _UNITS = re.compile(r" *[^ ]+| +$")
 #: Stands for a literal U+2581 inside a text, which is no space: a lone surrogate, which no text holds.
@@ -119,6 +122,13 @@ class Vocabulary:
         """The text of a segmentation."""
         return b"".join(self.table.take(np.asarray(ids, np.int64)).tolist())[1:].decode("utf-8", "surrogatepass") if len(ids) else ""
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """decode() of many segmentations at once, as bytes: ids of all in order, and the place where each ends, from 0."""
+        taken = self.column.take(pa.array(ids))
+        offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
+        data, cuts = memoryview(taken.buffers()[2] or b""), offsets[ends].tolist()
+        return [bytes(data[a + 1 : b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     @property
     def table(self) -> np.ndarray:
         """The bytes of each piece."""
@@ -128,9 +138,12 @@ class Vocabulary:
             object.__setattr__(self, "_table", made)
         return self.__dict__["_table"]
 
-    def bytes_of(self, code: int) -> list[int]:
-        char = SPACE if code == ord(_LITERAL) else chr(code)
-        return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
+    @property
+    def column(self) -> pa.Array:
+        """table for Arrow."""
+        if "_column" not in self.__dict__:
+            object.__setattr__(self, "_column", pa.array(self.table.tolist(), pa.large_binary()))
+        return self.__dict__["_column"]
 
 
 class Matcher:
@@ -206,20 +219,27 @@ class Rows:
         self.data[self.n : self.n + len(more)] = more
         self.n += len(more)
 
+    def clear(self) -> None:
+        """Empties it, but keeps its memory for what comes, unless that is far more than a bank takes."""
+        self.n = 0
+        if len(self.data) > 4 * BANK_EDGES:
+            self.data = np.empty(1024, self.data.dtype)
+
 
 class Bank:
     """Lattices of distinct units, as edges sorted by node. A path's edge names its piece, or a character by its bytes."""
 
     def __init__(self, vocabulary: Vocabulary, theta: float = 1.0, matcher: Matcher | None = None) -> None:
         self.vocabulary, self.theta, self.matcher = vocabulary, theta, matcher or Matcher(vocabulary)
-        self.clear()
-
-    def clear(self) -> None:
         self.types: dict[str, int] = {}  # the first node of each unit
-        self.n_nodes = 0
         self._count = Rows(np.int32)
         self._first, self._cum, self._logc, self._others, self._target, self._piece = Rows(np.int32), Rows(np.float64), Rows(np.float64), Rows(np.float64), Rows(np.int32), Rows(np.int32)
 
+    def clear(self) -> None:
+        self.types = {}
+        for rows in (self._count, self._first, self._cum, self._logc, self._others, self._target, self._piece):
+            rows.clear()
+
     @property
     def first(self) -> np.ndarray:
         """First edge of each node; -1 at a unit's end."""
@@ -241,7 +261,7 @@ class Bank:
 
     @property
     def others(self) -> np.ndarray:
-        """Log of the conditional probability that a node's likeliest edge leaves to the others; known of those edges alone."""
+        """Log of the conditional probability that a node's likeliest edge leaves to the others; known of edges above NEAR alone."""
         return self._others.data
 
     @property
@@ -255,25 +275,31 @@ class Bank:
 
     def nodes(self, units: list[str]) -> np.ndarray:
         """The root node of each unit; new units get lattices."""
-        new = [u for u in dict.fromkeys(units) if u not in self.types]
-        if new:
-            if len(self._cum) > BANK_EDGES:
-                self.clear()
-                new = list(dict.fromkeys(units))
-            self._add(new)
-        return np.fromiter(map(self.types.__getitem__, units), np.int64, len(units))
-
-    def _add(self, new: list[str]) -> None:
+        out = np.fromiter(map(self.types.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(out < 0)
+        if len(new) and len(self._cum) > BANK_EDGES:
+            self.clear()
+            new = np.arange(len(units))
+        if len(new):
+            missing = [units[i] for i in new.tolist()]
+            once = list(dict.fromkeys(missing))
+            roots = self._add(once)
+            out[new] = roots if len(once) == len(missing) else [self.types[u] for u in missing]
+        return out
+
+    def _add(self, new: list[str]) -> np.ndarray:
+        """Makes the lattices of distinct new units; the root node of each."""
         n0, e0 = len(self._first), len(self._cum)
         # a unit's own text stands for one space before it
         joined = SPACE + SPACE.join(new).replace(" ", SPACE)
         code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        size = np.array([len(u) + 1 for u in new], np.int64)
+        size = np.fromiter(map(len, new), np.int64, len(new)) + 1
         begin = np.cumsum(size) - size
         unit = np.repeat(np.arange(len(new)), size)
         room = (begin + size)[unit] - np.arange(len(code))
         node = np.arange(len(code)) + unit  # each unit has one node more than characters
-        self.types.update(zip(new, (begin + np.arange(len(new)) + n0).tolist(), strict=True))
+        roots = begin + np.arange(len(new)) + n0
+        self.types.update(zip(new, roots.tolist(), strict=True))
         found: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []  # nodes, length, pieces, log-probabilities
         single = np.zeros(len(code), bool)
         for d, at, ids in self.matcher.matches(code, room):
@@ -282,8 +308,7 @@ class Bank:
             found.append((node[at], d, ids, self.vocabulary.logp[ids]))
         odd = np.flatnonzero(~single)
         c = code[odd].astype(np.int64)
-        n_bytes = np.where(c == ord(_LITERAL), 3, 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
-        found.append((node[odd], 1, (-1 - c).astype(np.int32), n_bytes * self.vocabulary.byte_logp))
+        found.append((node[odd], 1, (-1 - c).astype(np.int32), _n_bytes(c) * self.vocabulary.byte_logp))
         # edges by their node's distance from the unit's end; a node's longest pieces come first
         n = len(code) + len(new)
         far = np.repeat(np.cumsum(size + 1) - 1, size + 1) - np.arange(n)
@@ -300,72 +325,76 @@ class Bank:
             free[at] = to + 1
             src[to], dst[to], piece[to], logp[to] = at, at + d, ids, lp
         logp *= self.theta
+        heads = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]])) if m else np.zeros(0, np.int64)
+        times = np.diff(np.append(heads, m))
         # backward sums
         beta = np.zeros(n)
         level = far[src]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(level)) + 1, [len(src)]]) if len(src) else np.zeros(1, np.int64)
         wide = np.flatnonzero(np.diff(cuts) > 48)
         split = int(wide[-1]) + 1 if len(wide) else 0  # from there on few units are as long
-        for a, b in zip(cuts[:split].tolist(), cuts[1 : split + 1].tolist(), strict=True):
-            s = src[a:b]
+        inner = np.searchsorted(heads, cuts[: split + 1]).tolist()
+        cuts_ = cuts[: split + 1].tolist()
+        for a, b, i, j in zip(cuts_[:-1], cuts_[1:], inner[:-1], inner[1:], strict=True):
             value = logp[a:b] + beta[dst[a:b]]
-            heads = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            top = np.maximum.reduceat(value, heads)
-            times = np.diff(np.append(heads, b - a))
-            beta[s[heads]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, times)), heads))
+            here = heads[i:j] - a
+            top = np.maximum.reduceat(value, here)
+            beta[src[heads[i:j]]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, times[i:j])), here))
         at = int(cuts[split])
         if at < len(src):
             _backward(beta, src[at:], dst[at:], logp[at:])
         logc = np.minimum(logp + beta[dst] - beta[src], 0.0)
-        heads = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]]))
-        times = np.diff(np.append(heads, len(src)))
-        # what a node's likeliest edge leaves, as the sum of the others
+        first, count = np.full(n, -1, np.int32), np.zeros(n, np.int32)
+        first[src[heads]] = heads + e0
+        count[src[heads]] = times
+        # what an edge that takes nearly all leaves, as the sum of the others
         share = np.exp(logc)
         sums = np.cumsum(share)
         others = np.full(len(src), -np.inf)
-        if len(heads):
-            number = np.repeat(np.arange(len(heads)), times)
-            best = np.empty(len(heads), np.int64)
-            is_top = np.flatnonzero(logc == np.maximum.reduceat(logc, heads)[number])[::-1]
-            best[number[is_top]] = is_top
-            share[best] = 0.0
+        best = np.flatnonzero((logc > 2 * NEAR) & np.repeat(times > 1, times))
+        if len(best):
+            head, c = first[src[best]] - e0, count[src[best]].astype(np.int64)
+            here = np.cumsum(c) - c
+            beside = share[np.repeat(head - here, c) + np.arange(int(c.sum()))]
+            beside[best - head + here] = 0.0
             with np.errstate(divide="ignore"):
-                others[best] = np.log(np.add.reduceat(share, heads))
-            for i in np.flatnonzero((times > 1) & np.isinf(others[best])).tolist():  # too little to be summed but as logs
-                beside = np.delete(logc[heads[i] : heads[i] + times[i]], best[i] - heads[i])
-                others[best[i]] = np.logaddexp.reduce(beside)
+                left = np.log(np.add.reduceat(beside, here))
+            for i in np.flatnonzero(np.isinf(left)).tolist():  # too little to be summed but as logs
+                left[i] = np.logaddexp.reduce(np.delete(logc[head[i] : head[i] + c[i]], best[i] - head[i]))
+            others[best] = left
         cum = sums - np.repeat(np.concatenate([[0.0], sums])[heads], times)
         cum[np.append(heads[1:], len(src)) - 1] = 2.0
-        first, count = np.full(n, -1, np.int32), np.zeros(n, np.int32)
-        first[src[heads]] = heads + e0
-        count[src[heads]] = times
         for rows, more in ((self._first, first), (self._count, count), (self._cum, cum), (self._logc, logc), (self._others, others), (self._target, dst + n0), (self._piece, piece)):
             rows.add(more)
+        return roots
 
     def walk(self, root: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A path sampled for each unit: (pieces of each, log-probability of each, edges of all in order)."""
         first, cum, target = self.first, self.cum, self.target
-        now, logp = root.copy(), np.zeros(len(root))
-        at, steps, n = np.arange(len(root)), [], np.zeros(len(root), np.int64)
+        logc = self.logc
+        at, now, next_, left, own = np.arange(len(root)), root, first[root], seed, np.zeros(len(root))
+        steps, n, logp = [], np.zeros(len(root), np.int64), np.zeros(len(root))
         t = 0
         while len(at) > 4:
-            u = uniform(seed[at], t)
-            edge = first[now]
+            u = uniform(left, t)
+            edge = next_
             over = np.flatnonzero(u >= cum[edge])
             while len(over):
                 edge[over] += 1
                 over = over[u[over] >= cum[edge[over]]]
-            logp[at] += self.logc[edge]
-            n[at] += 1
+            own = own + logc[edge]
             steps.append((at, edge))
-            now = target[edge]
-            open_ = np.flatnonzero(first[now] >= 0)
-            at, now = at[open_], now[open_]
             t += 1
+            now = target[edge]
+            next_ = first[now]
+            ended = np.flatnonzero(next_ < 0)
+            n[at[ended]], logp[at[ended]] = t, own[ended]
+            open_ = np.flatnonzero(next_ >= 0)
+            at, now, next_, left, own = at[open_], now[open_], next_[open_], left[open_], own[open_]
         ends = [(i, t, self._finish(int(x), int(seed[i]), t)) for i, x in zip(at.tolist(), now.tolist(), strict=True)]
-        for i, _, path in ends:
-            logp[i] += self.logc[path].sum()
-            n[i] += len(path)
+        for (i, _, path), x in zip(ends, own.tolist(), strict=True):
+            n[i] = t + len(path)
+            logp[i] = np.cumsum(np.append(x, logc[path]))[-1]  # one after the other, so that no batch changes a sum
         start = np.cumsum(n) - n
         flat = np.empty(int(n.sum()), np.int32)
         for t, (at, edge) in enumerate(steps):
@@ -389,7 +418,7 @@ class Bank:
         """The log of what each path leaves of its unit: at each step the other edges, after the steps before."""
         with np.errstate(divide="ignore", invalid="ignore"):
             out = np.log(-np.expm1(logp))
-        near = np.flatnonzero(logp > -1e-3)  # what a whole leaves is rounded away there; its edges are all the likeliest
+        near = np.flatnonzero(logp > NEAR)  # what a whole leaves is rounded away there; its edges are all the likeliest
         if len(near):
             c = count[near]
             here = np.cumsum(c) - c
@@ -563,7 +592,7 @@ def roots_of(texts: list[str], bank: Bank) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.empty(len(texts), np.int64)
     sizes[is_plain] = np.diff(parts.offsets.to_numpy())
     sizes[~is_plain] = [len(u) for u in odd]
-    distinct = coded.dictionary.to_pylist()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     nodes = bank.nodes([*distinct, *(u for units in odd for u in units)])
     from_plain = np.repeat(is_plain, sizes)
     root = np.empty(len(from_plain), np.int64)
@@ -596,7 +625,9 @@ def sample(texts: list[str], seeds: np.ndarray, bank: Bank, k: int) -> Samples:
         part[active] = True
         mine = part[doc]
         fresh = np.flatnonzero(mine & (place > leave[doc]))
-        n, lp, flat = bank.walk(root[fresh], _seeds(seeds[doc[fresh]], s, place[fresh]))
+        owner = doc[fresh]
+        unit_seeds = _seeds(seeds[owner], s, place[fresh])
+        n, lp, flat = bank.walk(root[fresh], unit_seeds)
         count, logp = np.zeros(len(root), np.int64), np.zeros(len(root))
         count[fresh], logp[fresh] = n, lp
         start = np.zeros(len(root), np.int64)
@@ -631,8 +662,8 @@ def sample(texts: list[str], seeds: np.ndarray, bank: Bank, k: int) -> Samples:
         before -= before[np.minimum(begin, max(0, len(before) - 1))][doc] if len(before) else 0
         with np.errstate(divide="ignore"):
             mass = before[fresh] + bank.rest(logp[fresh], start[fresh], count[fresh], flat)
-        limit = score[doc[fresh]]
-        noise = -np.log(uniform(_seeds(seeds[doc[fresh]], s, place[fresh]), -2) + 2.0**-54)
+        limit = score[owner]
+        noise = -np.log(uniform(unit_seeds, -2) + 2.0**-54)
         with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
             best = np.where(np.isfinite(mass), mass - np.log(np.exp(np.minimum(mass - limit, 700.0)) + noise), -np.inf)
         total = np.bincount(doc[mine], logp[mine], minlength=len(texts))
@@ -640,14 +671,14 @@ def sample(texts: list[str], seeds: np.ndarray, bank: Bank, k: int) -> Samples:
             out.logp[d].append(float(total[d]))
             out.perturbed[d].append(float(score[d]))
         if len(fresh):
-            heads = np.flatnonzero(np.concatenate([[True], doc[fresh][1:] != doc[fresh][:-1]]))
+            heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             times = np.diff(np.append(heads, len(fresh)))
             for _ in range(k - s):  # no more of them can be among the best k + 1
                 top = np.maximum.reduceat(best, heads)
                 hit = np.flatnonzero((best == np.repeat(top, times)) & np.isfinite(best))
                 if not len(hit):
                     break
-                hit = hit[np.concatenate([[True], doc[fresh[hit]][1:] != doc[fresh[hit]][:-1]])]
+                hit = hit[np.concatenate([[True], owner[hit][1:] != owner[hit][:-1]])]
                 for i in hit.tolist():
                     u = int(fresh[i])
                     path = flat[start[u] : start[u] + count[u]]
@@ -688,22 +719,38 @@ def sample(texts: list[str], seeds: np.ndarray, bank: Bank, k: int) -> Samples:
     return out
 
 
+def _n_bytes(code: np.ndarray) -> np.ndarray:
+    """How many bytes of UTF-8 each code point has; the literal's stand-in has as many as the literal."""
+    return 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+
+
 def ids_of(edges: np.ndarray, bank: Bank) -> np.ndarray:
     """Piece ids of a path; a character without a piece is its bytes."""
-    ids = bank.piece[edges]
+    return ids_of_all([edges], bank)[0]
+
+
+def ids_of_all(paths: list[np.ndarray], bank: Bank) -> tuple[np.ndarray, np.ndarray]:
+    """ids_of() of many paths, one after the other, and the place where each ends, from 0."""
+    ends = np.cumsum([0, *map(len, paths)])
+    ids = bank.piece[np.concatenate([*paths, np.empty(0, np.int32)])]
     odd = np.flatnonzero(ids < 0)
     if not len(odd):
-        return ids
-    code = -1 - ids[odd]
-    single = code < 128
-    ids[odd[single]] = np.array(bank.vocabulary.byte_ids[:128], np.int32)[code[single]]
-    if single.all():
-        return ids
-    out, at = [], 0
-    for i, c in zip(odd[~single].tolist(), code[~single].tolist(), strict=True):
-        out += [ids[at:i], np.array(bank.vocabulary.bytes_of(c), np.int32)]
-        at = i + 1
-    return np.concatenate([*out, ids[at:]])
+        return ids, ends
+    code, by_byte = -1 - ids[odd], np.array(bank.vocabulary.byte_ids, np.int32)
+    code[code == ord(_LITERAL)] = ord(SPACE)
+    width = _n_bytes(code)
+    size = np.ones(len(ids), np.int64)
+    size[odd] = width
+    last = np.cumsum(size)
+    out = np.empty(int(last[-1]), np.int32)
+    out[last - size] = ids
+    for w, lead in ((1, 0), (2, 0xC0), (3, 0xE0), (4, 0xF0)):
+        these = np.flatnonzero(width == w)
+        c, at = code[these], last[odd[these]]
+        for back in range(1, w):
+            out[at - back] = by_byte[0x80 | (c >> 6 * (back - 1)) & 0x3F]
+        out[at - w] = by_byte[lead | c >> 6 * (w - 1)]
+    return out, np.concatenate([[0], last])[ends]
 
 
 def row_seed(key, seed: int) -> int:
@@ -740,21 +787,22 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
             seeds = np.array([row_seed(x, seed) for x in keys.to_pylist()], np.uint64)
             got = sample(texts, seeds, bank, k)
             at = [d for d, x in enumerate(got.logp) for _ in x]
-            coded = [ids_of(e, bank) for x in got.edges for e in x]
-            back = [vocabulary.decode(c) for c in coded] if verify or decoded else [None] * len(coded)
+            flat, ends = ids_of_all([e for x in got.edges for e in x], bank)
+            little, cuts = flat.astype("<i4"), ends.tolist()
+            back = vocabulary.decode_all(flat, ends) if verify or decoded else []
+            whole = [t.encode() for t in texts] if verify else []
             cols = [
                 keys.take(pa.array(at, pa.int64())),
                 pa.array([s + 1 for x in got.logp for s in range(len(x))], pa.int32()),
-                pa.array([len(c) for c in coded], pa.int64()),
+                pa.array(np.diff(ends), pa.int64()),
                 *(pa.array([v for x in y for v in x], pa.float64()) for y in (got.logp, got.perturbed, got.inclusion)),
-                pa.array([hashlib.sha256(c.astype("<i4").tobytes()).hexdigest() for c in coded], pa.string()),
-                pa.array([b == texts[d] if verify else None for d, b in zip(at, back, strict=True)], pa.bool_()),
+                pa.array([hashlib.sha256(little[a:b]).hexdigest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.string()),
+                pa.array([b == whole[d] for d, b in zip(at, back, strict=True)] if verify else [None] * len(at), pa.bool_()),
             ]
             if ids:
-                ends = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*coded, np.empty(0, np.int32)]).astype(np.int32))))
+                cols.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)))
             if decoded:
-                cols.append(pa.array(back, pa.string()))
+                cols.append(pa.array([b.decode("utf-8", "surrogatepass") for b in back], pa.string()))
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         gc.disable()  # what is made here has no cycles, and there is much of it

@@ -8,7 +8,7 @@ import pytest
 import public_tokenizers
 
 from lexloom.llm import queries, spm_sample
-from lexloom.llm.spm_sample import Bank, Vocabulary, ids_of, sample
+from lexloom.llm.spm_sample import Bank, Vocabulary, ids_of, ids_of_all, sample
 
 SF = "/root/testdata/sf0.001"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -164,3 +164,62 @@ def test_the_query_returns_its_segmentations(spark):
     got = queries.op1_sentencepiece(spark, SF).select("n_pieces", "ids_sha256", "ids").collect()
     assert got and all(len(r["ids"]) == r["n_pieces"] for r in got)
     assert all(hashlib.sha256(np.array(r["ids"], "<i4").tobytes()).hexdigest() == r["ids_sha256"] for r in got)
+
+
+def test_paths_of_a_batch_are_coded_and_decoded_at_once(vocabulary):
+    texts = ["the cat", "", "é\n𝄞s ▁▁ ", "\0\x7f\x80 \u07ff\u0800 \uffff 𐀀", "  a", "", "слово 漢字 ﷐"]
+    bank = Bank(vocabulary)
+    paths = [e for es in sample(texts, seeds(len(texts)), bank, 2).edges for e in es]
+    plain = []
+    for path in paths:
+        ids = []
+        for p in bank.piece[path].tolist():
+            char = "▁" if p == -1 - 0xDFFF else chr(-1 - p) if p < 0 else ""
+            ids += [vocabulary.byte_ids[b] for b in char.encode()] if p < 0 else [p]
+        plain.append(ids)
+    flat, ends = ids_of_all(paths, bank)
+    assert [flat[a:b].tolist() for a, b in itertools.pairwise(ends.tolist())] == plain == [ids_of(e, bank).tolist() for e in paths]
+    assert [b.decode() for b in vocabulary.decode_all(flat, ends)] == [vocabulary.decode(ids) for ids in plain]
+    assert set(texts) == {vocabulary.decode(ids) for ids in plain}
+    flat, ends = ids_of_all([np.empty(0, np.int32)] * 2, bank)
+    assert len(flat) == 0 and vocabulary.decode_all(flat, ends) == [b"", b""]
+    flat, ends = ids_of_all([], bank)
+    assert ends.tolist() == [0] and vocabulary.decode_all(flat, ends) == []
+
+
+def test_a_known_unit_is_looked_up_once_and_a_full_bank_keeps_its_memory(vocabulary, monkeypatch):
+    class Counted(dict):
+        n = 0
+
+        def get(self, *a):
+            Counted.n += 1
+            return super().get(*a)
+
+        def __getitem__(self, a):
+            Counted.n += 1
+            return super().__getitem__(a)
+
+        def __contains__(self, a):
+            Counted.n += 1
+            return super().__contains__(a)
+
+    bank = Bank(vocabulary)
+    units = [f"word{i}" for i in range(300)]
+    root = bank.nodes(units)
+    bank.types = Counted(bank.types)
+    assert bank.nodes(units).tolist() == root.tolist() and Counted.n == len(units)
+    assert bank.nodes(["new", "word7", "new"]).tolist() == [bank.types["new"], root[7], bank.types["new"]]
+    kept = [rows.data for rows in (bank._cum, bank._logc, bank._others, bank._target, bank._piece)]
+    monkeypatch.setattr(spm_sample, "BANK_EDGES", len(bank._cum) - 1)
+    assert bank.nodes([*units, "other"])[0] == 0  # it began anew
+    assert all(a is rows.data for a, rows in zip(kept, (bank._cum, bank._logc, bank._others, bank._target, bank._piece), strict=True))
+    whole = sample(["word1 other"], seeds(1), bank, 3)
+    plain = sample(["word1 other"], seeds(1), Bank(vocabulary), 3)
+    assert [ids_of(e, bank).tolist() for e in whole.edges[0]] and whole.logp == plain.logp and whole.inclusion == plain.inclusion
+
+
+def test_a_batch_of_empty_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string").coalesce(1)
+    got = spm_sample.encode(docs, MODEL, decoded=True).collect()
+    assert [(r["n_pieces"], r["round_trip"], r["ids"], r["decoded"]) for r in got] == [(0, True, [], "")] * 2
+    assert all(r["round_trip"] is None for r in spm_sample.encode(docs, MODEL, verify=False).collect())
